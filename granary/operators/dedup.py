@@ -1,11 +1,94 @@
-"""Exact duplicate groups over a texture catalogue."""
+"""Exact duplicates over a texture catalogue (archive, ordinal, name, sha, data_size), and what to do about them.
+
+Groups are made by group-by with partial aggregation; no group is ever brought together in one task.  The first
+member in (archive, ordinal) order is its master.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Key length of names in bytes.
+KEY_BYTES = 64
+POSITION = ("archive", "ordinal")
+
+
+def name_key(name: Column, size: int = KEY_BYTES) -> Column:
+    """The lower-cased name, cut to size characters."""
+    return F.substring(F.lower(name), 1, size)
+
+
+def keyed(textures: DataFrame, criterion: str, key_bytes: int = KEY_BYTES) -> DataFrame:
+    """textures with dup_key for the criterion name, hash or name_hash. Rows without data have no hash, so they only
+    take part by name."""
+    by_name = name_key(F.col("name"), key_bytes)
+    key = {"name": by_name, "hash": F.col("sha"), "name_hash": F.when(F.col("sha").isNotNull(), F.concat(by_name, F.lit("|"), F.col("sha")))}[criterion]
+    return textures.withColumn("dup_key", key).where(F.col("dup_key").isNotNull())
+
+
+def groups(textures: DataFrame, criterion: str, key_bytes: int = KEY_BYTES) -> DataFrame:
+    """Groups of two members or more: dup_key, members, distinct_payloads, first_archive, first_ordinal (the master),
+    master_size, total_bytes, wasted_bytes."""
+    rows = keyed(textures, criterion, key_bytes)
+    first = F.min(F.struct("archive", "ordinal", "data_size"))
+    # distinct payloads: least and greatest hash tell one from several; exact numbers take a second level
+    by_payload = rows.groupBy("dup_key", "sha").agg(F.count("*").alias("n"), F.sum("data_size").alias("bytes"), first.alias("first"))
+    out = by_payload.groupBy("dup_key").agg(F.sum("n").alias("members"), F.count("sha").alias("distinct_payloads"), F.sum("bytes").alias("total_bytes"), F.min("first").alias("first"))
+    return out.where("members > 1").select("dup_key", "members", "distinct_payloads", F.col("first.archive").alias("first_archive"), F.col("first.ordinal").alias("first_ordinal"), F.col("first.data_size").alias("master_size"), "total_bytes", (F.col("total_bytes") - F.col("first.data_size")).alias("wasted_bytes"))
+
+
+def members(textures: DataFrame, criterion: str, key_bytes: int = KEY_BYTES) -> DataFrame:
+    """Members of the groups with is_master."""
+    found = groups(textures, criterion, key_bytes).select("dup_key", "members", "first_archive", "first_ordinal")
+    rows = keyed(textures, criterion, key_bytes).join(found, "dup_key")
+    return rows.withColumn("is_master", (F.col("archive") == F.col("first_archive")) & (F.col("ordinal") == F.col("first_ordinal")))
+
+
+def copies(textures: DataFrame, criterion: str, strategy: str) -> DataFrame:
+    """What goes to consolidated bins: dup_key, archive, ordinal, name, data_size. mixed: the master of each group;
+    remove: the first of each distinct name (whatever its case) of a group."""
+    rows = members(textures, criterion)
+    if strategy == "mixed":
+        return rows.where("is_master").select("dup_key", "archive", "ordinal", "name", "data_size")
+    first = rows.groupBy("dup_key", F.lower("name").alias("low")).agg(F.min(F.struct("archive", "ordinal", "name", "data_size")).alias("m"))
+    return first.select("dup_key", "m.archive", "m.ordinal", "m.name", "m.data_size")
+
+
+def removals(textures: DataFrame, criterion: str, strategy: str) -> DataFrame:
+    """Members to be removed from their archives: dup_key, archive, ordinal. mixed: all but the master; remove: all."""
+    rows = members(textures, criterion)
+    return (rows.where("NOT is_master") if strategy == "mixed" else rows).select("dup_key", "archive", "ordinal")
+
+
+def commit(textures: DataFrame, removed: DataFrame) -> DataFrame:
+    """The catalogue without the removed rows, by stable ids."""
+    return textures.join(removed.select("archive", "ordinal").distinct(), ["archive", "ordinal"], "left_anti")
+
+
+def kept_back(removed: DataFrame, bins: DataFrame, keep_bins: tuple[int, ...]) -> DataFrame:
+    """The removals that don't feed a bin whose originals are to be kept. bins: (dup_key, bin)."""
+    held = bins.where(F.col("bin").isin(*keep_bins)).select("dup_key").distinct()
+    return removed.join(held, "dup_key", "left_anti")
+
+
+def aliases(blocks: DataFrame) -> DataFrame:
+    """Blocks (archive, ordinal, data_off) with aliased: whether another of the archive has the same offset."""
+    shared = blocks.groupBy("archive", "data_off").agg(F.count("*").alias("n"))
+    return blocks.join(shared, ["archive", "data_off"]).select("archive", "ordinal", "data_off", (F.col("n") > 1).alias("aliased"))
+
+
+def distinct_sources(paths: DataFrame) -> DataFrame:
+    """Distinct source containers, whatever their case: the least spelling of each."""
+    return paths.where(F.col("source_path").isNotNull()).groupBy(F.lower("source_path").alias("source_key")).agg(F.min("source_path").alias("source_path"), F.count("*").alias("entries"))
+
 
-def duplicate_groups(textures: DataFrame, key: str) -> DataFrame:
-    """Groups of two or more rows with the same key: key, members."""
-    return textures.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("members")).where("members > 1")
+def numbered(rows: DataFrame, keys: list[str], position: str, block: int = 4096) -> DataFrame:
+    """rows with n: the place of each within its key by the long column position, from 1. Keys are dealt into blocks
+    of positions, so that a hot key is no single task: numbers within blocks, plus the rows of the blocks before."""
+    dealt = rows.withColumn("__block", F.floor(F.col(position) / block))
+    sizes = dealt.groupBy(*keys, "__block").agg(F.count("*").alias("__size"))
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
+    inside = Window.partitionBy(*keys, "__block").orderBy(position)
+    return dealt.withColumn("__n", F.row_number().over(inside)).join(offsets, [*keys, "__block"]).withColumn("n", F.col("__before") + F.col("__n")).drop("__block", "__before", "__n")
