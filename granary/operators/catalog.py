@@ -111,3 +111,28 @@ def sort_textures(textures: DataFrame, mode: str) -> DataFrame:
     return rows.orderBy("archive", *_order(keys or [], ["ordinal"]))
 
 
+
+
+#: Textures of an archive, archives of a workspace and replacements of a container at most.
+LIMITS = {"textures": 4096, "archives": 8192, "replacements": 4096, "sources": 512}
+
+
+def beyond_limits(counts: DataFrame, limit: str = "textures") -> DataFrame:
+    """counts (with the column named as the limit) with within_limit: nothing is dropped, excess is told."""
+    return counts.withColumn("within_limit", F.col(limit) <= LIMITS[limit])
+
+
+def savable(textures: DataFrame, kind: str = "ytd") -> DataFrame:
+    """Per archive: invalid textures (no data, no name, or a format that the kind of file can't hold), savable."""
+    code = T.wtd_code(F.col("format")) if kind == "wtd" else T.dx9_code(F.col("format"))
+    bad = F.coalesce(F.col("data_size"), F.lit(0)) <= 0
+    bad = bad | (F.coalesce(F.col("name"), F.lit("")) == "") | (code == 0)
+    return textures.groupBy("archive").agg(F.count_if(bad).alias("invalid"), F.bool_and(~bad).alias("savable"))
+
+
+def labelled(keys: DataFrame, translations: DataFrame, language: str, fallback: str = "en") -> DataFrame:
+    """keys (key) with label: that of the language, else of the fallback, else the key. translations: (language, key,
+    label), of which there may be any number."""
+    of = lambda lang, name: translations.where(F.col("language") == lang).groupBy("key").agg(F.min("label").alias(name))
+    out = keys.join(of(language, "__own"), "key", "left").join(of(fallback, "__else"), "key", "left")
+    return out.withColumn("label", F.coalesce("__own", "__else", "key")).drop("__own", "__else")

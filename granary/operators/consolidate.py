@@ -49,7 +49,12 @@ def bins(copies: DataFrame, limit: int = LIMIT) -> DataFrame:
     return ordered.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "dup_key string, archive string, ordinal long, data_size long, bin long")
 
 
-def summary(binned: DataFrame) -> DataFrame:
-    """bin, textures, bytes, file_name."""
+def summary(binned: DataFrame, archives: DataFrame | None = None) -> DataFrame:
+    """bin, textures, bytes, file_name; in the folder of the first archive (archive, path) that has a path, if given."""
     out = binned.groupBy("bin").agg(F.count("*").alias("textures"), F.sum("data_size").alias("bytes"))
-    return out.withColumn("file_name", F.format_string("consolidated_textures_%d.ytd", F.col("bin")))
+    name = F.format_string("consolidated_textures_%d.ytd", F.col("bin"))
+    if archives is None:
+        return out.withColumn("file_name", name)
+    first = archives.where(F.col("path").isNotNull()).agg(F.min_by("path", "archive").alias("path"))  # one row
+    folder = F.coalesce(F.regexp_extract("path", r"^(.*[/\\\\])", 1), F.lit(""))
+    return out.join(F.broadcast(first.select(folder.alias("folder"))), F.lit(True), "left").withColumn("file_name", F.concat(F.coalesce("folder", F.lit("")), name)).drop("folder")

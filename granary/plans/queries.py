@@ -113,6 +113,12 @@ def consolidation_summary(spark, d):
     return consolidate.summary(_binned(spark, d))
 
 
+@query("consolidation_paths", sql(_BINS, "SELECT bin, count(*) AS textures, CAST(sum(data_size) AS BIGINT) AS bytes, (SELECT 'in/' || min(source) || '/' FROM documents) || 'consolidated_textures_' || bin || '.ytd' AS file_name FROM binned GROUP BY bin", recursive=True))
+def consolidation_paths(spark, d):
+    archives = read(spark, d, "documents").select(c("source").alias("archive"), F.concat(F.lit("in/"), c("source"), F.lit("/a.ytd")).alias("path")).distinct()
+    return consolidate.summary(_binned(spark, d), archives)
+
+
 @query("migrate_commit_textures", sql(_ranked("hash"), "SELECT archive, ordinal, name, sha FROM tex_docs t WHERE NOT EXISTS (SELECT 1 FROM dup x WHERE x.rn > 1 AND x.archive = t.archive AND x.ordinal = t.ordinal)"))
 def migrate_commit_textures(spark, d):
     t = tex_docs(spark, d)
@@ -211,6 +217,24 @@ for _mode, _by in _TEXTURE_ORDER.items():
     query(f"sort_textures_{_mode}", sql(PARTS, f"SELECT archive, ordinal, CAST(row_number() OVER (PARTITION BY archive ORDER BY {_by}, ordinal) AS INTEGER) AS rank FROM sized JOIN format_dim ON format = code"))(_sorted_textures)
 
 
+@query("archive_limits", "SELECT source AS archive, count(*) AS textures, count(*) <= 4096 AS within_limit FROM documents GROUP BY source")
+def archive_limits(spark, d):
+    return catalog.beyond_limits(tex_docs(spark, d).groupBy("archive").agg(F.count("*").alias("textures")))
+
+
+@query("save_validity", sql([*PARTS, "holed AS (SELECT archive, format, CASE WHEN ordinal % 50 = 0 THEN '' ELSE name END AS name, CASE WHEN ordinal % 60 = 0 THEN 0 ELSE data_size END AS data_size FROM sized)", "marked AS (SELECT archive, name = '' OR data_size = 0 OR wtd = 0 AS bad FROM holed JOIN format_dim ON format = code)"], "SELECT archive, count(*) FILTER (WHERE bad) AS invalid, bool_and(NOT bad) AS savable FROM marked GROUP BY archive"))
+def save_validity(spark, d):
+    rows = sized_parts(spark, d).withColumn("name", F.when(c("ordinal") % 50 == 0, "").otherwise(c("name"))).withColumn("data_size", F.when(c("ordinal") % 60 == 0, 0).otherwise(c("data_size")))
+    return catalog.savable(rows, "wtd")
+
+
+@query("labels_with_fallback", "SELECT n_name AS key, CASE WHEN n_nationkey % 3 = 0 THEN 'fr:' || n_name WHEN n_nationkey % 3 = 1 THEN 'en:' || n_name ELSE n_name END AS label FROM nation")
+def labels_with_fallback(spark, d):
+    n, k = read(spark, d, "nation"), c("n_nationkey")
+    given = n.where(k % 3 < 2).select(F.when(k % 3 == 0, "fr").otherwise("en").alias("language"), c("n_name").alias("key"))
+    return catalog.labelled(n.select(c("n_name").alias("key")), given.withColumn("label", F.concat("language", F.lit(":"), "key")), "fr")
+
+
 @query("search_textures", sql(["tex_parts"], "SELECT archive, ordinal, name FROM tex_parts WHERE contains(lower(name), 'ring')"))
 def search_textures(spark, d):
     return catalog.search_textures(tex_parts(spark, d), "RING").select("archive", "ordinal", "name")
