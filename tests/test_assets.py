@@ -299,3 +299,20 @@ def test_alpha_and_plans(spark):
     assert out[0].mip_count == 3 and out[0].data_size == 24
     seen = pixels.previews(df.withColumn("mip_count", F.lit(1)), 4).collect()
     assert sum(r.bgra is not None for r in seen) == 4
+
+
+def test_bc7_modes():
+    from granary.pixels import bc7
+
+    rng = np.random.default_rng(0)
+    shapes = bc7.Partitions(rng.integers(0, 2, (64, 16)), rng.integers(0, 3, (64, 16)), np.full((64, 1), 15), np.tile([3, 15], (64, 1)))
+    for mode in range(8):
+        raw = bytearray(rng.integers(0, 256, 16, np.uint8).tobytes())
+        raw[0] = raw[0] >> mode + 1 << mode + 1 & 255 | 1 << mode
+        px = bc7.decode_block(bytes(raw), shapes)
+        assert px.shape == (16, 4) and px.min() >= 0 and px.max() <= 255
+        alone = bc7.decode_block(bytes(raw))
+        assert (alone == px).all() if mode in (4, 5, 6) else (alone == [0, 0, 0, 255]).all()
+    # a mode 6 block of one colour: both ends 127 << 1 | 1, indices 0
+    block = 1 << 6 | sum(127 << 7 + 7 * k for k in range(8)) | 3 << 63
+    assert (bc7.decode_block(block.to_bytes(16, "little")) == 255).all()
