@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import decontaminate, html_text, langid, lm_score, neardup, packing, pii, quality, secrets, topk
+from granary.llm import decontaminate, html_text, langid, lm_score, neardup, packing, pii, quality, secrets, sql, topk
 from granary.llm.common import table
 
 
@@ -117,4 +117,4 @@ FROM docs d JOIN least_id l USING (doc_id) LEFT JOIN sizes s USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": CONTAMINATION_SQL, "op6_maxscore_topk": topk.NEAREST_SQL, "op9_near_duplicates": NEAR_DUPLICATES_SQL}
+    return {"op1_secret_scan": sql.secrets_sql(), "op3_decontamination": CONTAMINATION_SQL, "op6_maxscore_topk": topk.NEAREST_SQL, "op9_near_duplicates": NEAR_DUPLICATES_SQL, "op10_pii": sql.pii_sql()}
