@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 
 #: Texts longer than this are cut at white space before their words are listed, to bound memory.
 CHUNK = 1 << 20
-#: A worker forgets its distinct words when their number or their bytes pass these bounds.
-MAX_WORDS, MAX_WORD_BYTES = 600_000, 64 << 20
+#: A worker forgets words when their number or their bytes pass these bounds.
+MAX_WORDS, MAX_WORD_BYTES = 400_000, 32 << 20
+#: Rows of an Arrow batch where the session has Spark's default of 10,000, which is large for whole texts.
+BATCH_ROWS = 1000
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 #: A-Z lower-cased; every ASCII character that is neither a digit nor a letter becomes a space.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -33,27 +37,50 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders of the tables that stored() has made in this process.
+_MADE: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/granary-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._granary_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table made by stored() once nothing reads it any more."""
     path = getattr(df, "_granary_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _MADE:
+        _MADE.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all tables that stored() has made in this process: for callers that have written their results."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches of whole texts, unless the session has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, body binary): UTF-8 bytes of each whole text, null as empty; other columns are left unread."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
 
 
@@ -71,12 +98,14 @@ def pieces(body: bytes) -> list[bytes]:
 
 
 class Words(dict):
-    """Numbers distinct words from 0 in order of sight; fresh holds those not yet seen by the operator."""
+    """Numbers distinct words from 0 in order of sight; fresh holds those not yet seen by the operator, which keeps what
+    it knows of a word under its number. A worker may keep one over many tasks."""
 
     def __init__(self) -> None:
         super().__init__()
         self.fresh: list[bytes] = []
         self.bytes = 0
+        self.seen = np.zeros(1 << 14, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -87,12 +116,35 @@ class Words(dict):
     def full(self) -> bool:
         return len(self) > MAX_WORDS or self.bytes > MAX_WORD_BYTES
 
+    def evict(self) -> np.ndarray:
+        """Forgets words seen once, and the rarer half beyond that; the old numbers of those kept, in their new order.
+        To be called with no fresh words, before new ones are numbered."""
+        words, seen = list(self), self.seen[: len(self)]
+        keep = np.flatnonzero(seen > 1)
+        most = MAX_WORDS // 3
+        if len(keep) > most:
+            keep = np.sort(keep[np.argsort(-seen[keep], kind="stable")[:most]])
+        self.clear()
+        kept = [words[i] for i in keep.tolist()]
+        if sum(map(len, kept)) > MAX_WORD_BYTES // 2:
+            kept, keep = [], keep[:0]
+        self.update(zip(kept, range(len(kept))))
+        self.bytes = sum(map(len, kept))
+        self.seen = seen[keep] // 2 + 1
+        return keep
+
     def ids(self, body: bytes) -> np.ndarray:
         """The number of each word between ASCII white space."""
         get, parts = self.__getitem__, pieces(body)
         found = [np.array(list(map(get, x.split())), dtype=np.int32) for x in parts]
         return found[0] if len(found) == 1 else np.concatenate(found)
 
+    def count(self, ids: np.ndarray) -> None:
+        """Notes that words were seen, for evict()."""
+        if len(self.seen) < len(self):
+            self.seen = np.concatenate([self.seen, np.zeros(2 * len(self) - len(self.seen), np.int64)])
+        self.seen[: len(self)] += np.bincount(ids, minlength=len(self))
+
 
 def looked_up(table: dict, body: bytes) -> np.ndarray:
     """Each word's value in table, 0 for those outside it."""
@@ -100,10 +152,26 @@ def looked_up(table: dict, body: bytes) -> np.ndarray:
     return found[0] if len(found) == 1 else np.concatenate(found)
 
 
+def trimmed(batches):
+    """batches, with memory that an earlier task on this worker has left given back first, and its own at the end."""
+    give_back()
+    yield from batches
+    give_back()
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def groups(batches, size: int = 1 << 19):
     """(ids, bodies) lists of about size bytes, and at least one row, from Arrow batches of texts()."""
     ids, bodies, total = [], [], 0
-    for batch in batches:
+    for batch in trimmed(batches):
         for i, body in zip(batch.column(0).to_pylist(), batch.column(1)):
             body = body.as_py()
             ids.append(i)

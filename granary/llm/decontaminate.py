@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ALNUM, groups, looked_up, texts
+from granary.llm.common import ALNUM, groups, looked_up, small_batches, texts, trimmed
 
 #: Windows in one broadcast; about 120 bytes each in a worker.
 MAX_WINDOWS = 500_000
@@ -167,9 +167,10 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: floa
     if not sets:
         return docs
     at = docs.columns.index(text_col)
+    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
                 bodies = [(b or "").encode() for b in part.column(at).to_pylist()]

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import trimmed
+
 #: Browsers bound the depth of a tree too.
 MAX_DEPTH = 512
 #: Columns are not padded beyond this width; wider cells run over.
@@ -359,7 +361,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     schema = pa.schema([("page_id", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
                 out = [visible_text(h) for h in part.column(1).to_pylist()]

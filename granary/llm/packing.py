@@ -12,6 +12,7 @@ on its own; a null doc_id is carried along; an empty table gives no rows; other
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,25 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.
 MARK = "\x01"
 
 
+#: Words of these characters, if lower-case, go the short way: Latin letters and ASCII marks but apostrophes.
+SIMPLE = re.compile(r"[a-zà-öø-ɏªµºß!-&(-/:-@\[-`{-~]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def byte_characters() -> dict[int, int]:
+    """The characters that stand for the bytes of a byte-level vocabulary: visible ones for themselves, the rest in
+    order from U+0100; the space stays."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)} | {32: 32}
+
+
 class WordIds:
     """Token ids of whole texts from the ids of their distinct words.
 
     The tokenizer drops white space and never joins characters across it, so the ids of a text are those of its
-    words one after another; each distinct word is encoded once per worker."""
+    words one after another; each distinct word is encoded once, and remembered by the worker. For a vocabulary of
+    lower-cased words with word ends, simple words are cut into letter runs and marks here, as its pre-tokenizer
+    does, and need no normalising; all other words, and other tokenizers, take the whole way."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,49 +56,92 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.clear()
-
-    def clear(self) -> None:
-        self.words, self.ids, self.ends = Words(), np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-        self.n_ids = self.n_words = 0
+        self.quick = self._quick(path) if self.mark is not None else None
+        self.words, self.ids, self.used = Words(), np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _quick(self, path: str):
+        """The same model behind a split at white space, if that gives the same ids on a trial of all kinds of words."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        quick = Tokenizer.from_file(path)
+        quick.encode_special_tokens = True
+        quick.normalizer, quick.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.characters = byte_characters()
+        trial = ["thing", "été", "a,b", "(übung)", "x...", "<b>", "ñ-ñ", "..!!", "ßa;", "zest", "naïveté,"]
+        self.quick = quick
+        same = self._quick_ids(trial)[0].tolist() == [x for w in trial for x in self.tokenizer.encode(w, add_special_tokens=False).ids]
+        return quick if same else None
+
+    def _cut(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids without marks, and how many stand before each."""
+        ids = np.array(ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+
+    def _quick_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of simple words, and how many each has."""
+        text = LETTERS.sub(r" \g<0> ", f" {MARK} ".join([*words, ""])).encode().decode("latin-1").translate(self.characters)
+        return self._cut(self.quick.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _whole_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any words."""
+        encode = lambda x: self.tokenizer.encode_batch_fast(x, add_special_tokens=False)
+        if self.mark is None or any(MARK in w for w in words):
+            lists = [e.ids for e in encode(words)]
+            return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
+        return self._cut(encode([f" {MARK} ".join([*words, ""])])[0].ids)
 
     def _learn(self) -> None:
-        fresh = [w.decode("utf-8", "replace") for w in self.words.fresh]
-        self.words.fresh = []
-        encode = lambda x: self.tokenizer.encode_batch_fast(x, add_special_tokens=False)
-        at = 0
-        while at < len(fresh):
-            part = fresh[at : at + 4000]
-            at += len(part)
-            if self.mark is None or any(MARK in w for w in part):
-                lists = [np.array(e.ids, np.uint32) for e in encode(part)]
-                ids, lengths = np.concatenate([np.zeros(0, np.uint32), *lists]), np.array([len(x) for x in lists], np.int64)
-            else:
-                ids = np.array(encode([f" {MARK} ".join([*part, ""])])[0].ids, np.uint32)
-                marks = np.flatnonzero(ids == self.mark)
-                lengths = np.diff(marks, prepend=-1) - 1
-                ids = np.delete(ids, marks)
-            self.ids = grown(self.ids, self.n_ids, ids)
-            self.ends = grown(self.ends, self.n_words, self.n_ids + np.cumsum(lengths))
-            self.n_ids += len(ids)
-            self.n_words += len(lengths)
+        fresh, self.words.fresh = [w.decode("utf-8", "replace") for w in self.words.fresh], []
+        first = len(self.words) - len(fresh)
+        simple = np.array([self.quick is not None and SIMPLE.fullmatch(w) is not None and w == w.lower() for w in fresh], bool)
+        self.starts = grown(self.starts, first, np.zeros(len(fresh), np.int64))
+        self.lengths = grown(self.lengths, first, np.zeros(len(fresh), np.int64))
+        for which, coded in ((np.flatnonzero(simple), self._quick_ids), (np.flatnonzero(~simple), self._whole_ids)):
+            for at in range(0, len(which), 4000):
+                part = which[at : at + 4000]
+                ids, lengths = coded([fresh[i] for i in part.tolist()])
+                self.starts[first + part] = self.used + np.cumsum(lengths) - lengths
+                self.lengths[first + part] = lengths
+                self.ids = grown(self.ids, self.used, ids)
+                self.used += len(ids)
+
+    def _gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words laid one after another, and how many each has."""
+        lengths = self.lengths[words]
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        return self.ids[np.arange(total[-1]) + np.repeat(self.starts[words] - total[:-1], lengths)], lengths
+
+    def _forget(self) -> None:
+        self.ids, self.lengths = self._gather(self.words.evict())
+        self.starts, self.used = np.cumsum(self.lengths) - self.lengths, len(self.ids)
 
     def encode(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         if self.words.full():
-            self.clear()
+            self._forget()
         each = [self.words.ids(lowered(b)) for b in bodies]
         if self.words.fresh:
             self._learn()
-        words = np.concatenate(each).astype(np.int64)
-        ends = self.ends[words]
-        starts = np.where(words > 0, self.ends[np.maximum(words - 1, 0)], 0)
-        lengths = ends - starts
+        words = np.concatenate(each)
+        self.words.count(words)
+        ids, lengths = self._gather(words)
         total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.ids[np.arange(total[-1]) + np.repeat(starts - total[:-1], lengths)]
         return ids, np.diff(total[np.concatenate([[0], np.cumsum([len(x) for x in each])])])
 
 
+#: A worker's encoders, kept over its tasks.
+_CODERS: dict[str, WordIds] = {}
+
+
+def coder_of(path: str) -> WordIds:
+    if path not in _CODERS:
+        _CODERS.clear()
+        _CODERS[path] = WordIds(path)
+    return _CODERS[path]
+
+
 def lowered(body: bytes) -> bytes:
     """A-Z lower-cased, as the tokenizer does itself, for fewer distinct words; where combining marks (U+0300 to
     U+036F) occur the text is left to the tokenizer, which composes letters before it lowers them."""
@@ -103,7 +161,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int
         raise ValueError("max_len must be a power of two")
 
     def run(batches):
-        coder, number = WordIds(tokenizer_path), TaskContext.get().partitionId() << 40
+        coder, number = coder_of(tokenizer_path), TaskContext.get().partitionId() << 40
         for doc_ids, bodies in groups(batches):
             ids, counts = coder.encode(bodies)
             raw, last, at = ids.astype("<u4").tobytes(), int(end_id).to_bytes(4, "little"), 0

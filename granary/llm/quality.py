@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, groups, grown, stored, texts
+from granary.llm.common import Words, groups, grown, stored, texts, trimmed
 
 BUCKETS, DIMS, NONZERO, WINDOW = 4096, 32, 4, 2
 HIDDEN, SAMPLE, EPOCHS, SEED = 24, 12_000, 40, 11
@@ -58,15 +58,27 @@ class Units:
 
     def ids(self, bodies: list[bytes]) -> list[np.ndarray]:
         if self.words.full():
-            self.words, self.used = Words(), 0
+            self.held = self.held[self.words.evict()]
+            self.used = len(self.held)
         each = [self.words.ids(b) for b in bodies]
         fresh, self.words.fresh = self.words.fresh, []
         if fresh:
             self.held = grown(self.held, self.used, np.array([units(w) for w in fresh], np.int32))
             self.used += len(fresh)
+        self.words.count(np.concatenate(each))
         return each
 
 
+#: A worker's, kept over its tasks.
+_UNITS: list[Units] = []
+
+
+def worker_units() -> Units:
+    if not _UNITS:
+        _UNITS.append(Units())
+    return _UNITS[0]
+
+
 def contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """The context vectors (BUCKETS, DIMS) of the whole corpus."""
     names = [f"v{i}" for i in range(DIMS)]
@@ -75,7 +87,7 @@ def contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches):
         places, signs = index_vectors()
         total = np.zeros(BUCKETS * DIMS)
-        coder = Units()
+        coder = worker_units()
         for _, bodies in groups(batches, 1 << 20):
             each = coder.ids(bodies)
             flat = np.concatenate([y for x in each for y in (x, np.full(WINDOW, -1, np.int32))])  # no context crosses texts
@@ -109,7 +121,7 @@ def word_vectors(context: np.ndarray) -> np.ndarray:
 
 class Pooler:
     def __init__(self, vectors: np.ndarray) -> None:
-        self.vectors, self.coder = vectors, Units()
+        self.vectors, self.coder = vectors, worker_units()
 
     def pooled(self, bodies: list[bytes]) -> np.ndarray:
         """(texts, 3 * DIMS + 1)."""
@@ -193,7 +205,7 @@ def pooled_sample(labelled: DataFrame, vectors: np.ndarray) -> tuple[np.ndarray,
 
     def run(batches):
         pooler = Pooler(held.value)
-        for batch in batches:
+        for batch in trimmed(batches):
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
                 x = pooler.pooled([b.as_py() for b in part.column(1)])

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.llm.common import trimmed
+
 #: Queries in one broadcast, and rows in a shard.
 QUERIES, SHARD = 2048, 4096
 SCHEMA = "query bigint, query_id bigint, vec_id bigint, score bigint"
@@ -138,7 +140,7 @@ def searcher(held, k: int, block: int):
             for q in range(len(ids)):
                 shard.search(q, ids[q], matrix_of[q], best[n])
 
-        for batch in batches:
+        for batch in trimmed(batches):
             ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             sizes = np.diff(column.offsets.to_numpy())
             for n in np.unique(sizes).tolist():
