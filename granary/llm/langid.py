@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, groups, grown, texts
+from granary.llm.common import Words, groups, grown, small_batches, texts, trimmed
 
 PER_LANG, SPAN = 400, 120
 #: At most so many languages are learned, the most frequent ones: the model's size is bounded by it.
@@ -38,6 +38,21 @@ LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
+class Slots(dict):
+    """Table slots of feature names; whole words are not kept."""
+
+    def __missing__(self, name: str) -> int:
+        slot = crc32(name.encode("utf-8", "surrogatepass")) % TABLE
+        if len(name) < 6 and len(self) < 200_000:
+            self[name] = slot
+        return slot
+
+
+SLOTS = Slots()
+#: A-Z lower-cased; ASCII characters become spaces but for letters, digits, apostrophes and hyphens.
+SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 or c in b"'-" else 32 for c in range(256))
+
+
 def features(word: str) -> list[int]:
     """Table slots of a word's features; none if it has no letter."""
     core = EDGE.sub("", word).lower()
@@ -46,11 +61,11 @@ def features(word: str) -> list[int]:
     if len(core) > 40:
         core = core[:20] + core[-20:]
     marked = f"<{core}>"
-    names = ["w" + core]
-    names += ["p" + core[:k] for k in (1, 2, 3, 4)] + ["s" + core[-k:] for k in (1, 2, 3, 4)]
-    names += ["g" + marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1)]
-    names += [f"o{ord(c) >> 6}" for c in set(core) if c > "\x7f"] + ["c" + c for c in set(core) if c > "\x7f"]
-    return [crc32(n.encode("utf-8", "surrogatepass")) % TABLE for n in dict.fromkeys(names)]
+    names = ["w" + core, "p" + core[:2], "p" + core[:3], "s" + core[-1:], "s" + core[-2:], "s" + core[-3:], "s" + core[-4:]]
+    names += [marked[i : i + 3] for i in range(len(marked) - 2)]
+    if not core.isascii():
+        names += ["c" + c for c in set(core) if c > "\x7f"]
+    return list(map(SLOTS.__getitem__, names))
 
 
 def posteriors(emit: np.ndarray, move: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> np.ndarray:
@@ -196,39 +211,60 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, span: int = SPAN, id_co
     share = F.lit(0.0)
     for r in counts:  # three times the wanted number are drawn, so that limit() below has enough
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 3.0 * per_lang / r["count"]))).otherwise(share)
-    words = F.split(F.trim("text"), "[ \\t\\n\\r\\f]+")
+    words = F.split(F.trim(F.lower(F.regexp_replace("text", "[\\x00-&(-,./:-@\\[-`{-\\x7F]+", " "))), " ")
     spanned = rows.where(draw < share).select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", words.alias("words"))
     at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.size("words") - span + 1)) + 1
     spanned = spanned.select("lang", "h", "doc_id", F.slice("words", at.cast("int"), span).alias("words"))
-    found = []
-    for r in sorted(counts, key=lambda r: r["lang"]):
-        found += [(x.lang, list(x.words)) for x in spanned.where(F.col("lang") == r["lang"]).orderBy("h", "doc_id", F.xxhash64("words")).limit(per_lang).collect()]  # bounded by the parameters
-    return fit(found)
-
-
-def scored(model: Crf, words: Words, emit: list, bodies: list[bytes]):
-    """(language number, score) of each text, None without letters. emit holds the emission rows of words, in a list
-    so that it can grow: [array, used]."""
-    if words.full():
-        words.clear()
-        words.bytes, emit[1] = 0, 0
-    each = [words.ids(b) for b in bodies]
-    fresh, words.fresh = words.fresh, []
-    k = len(model.langs)
-    for a in range(0, len(fresh), 20_000):
-        slots = [features(w.decode("utf-8", "replace")) for w in fresh[a : a + 20_000]]
-        sizes = np.array([len(x) for x in slots])
-        flat = np.array([y for x in slots for y in x], np.int64)
-        rows = np.full((len(slots), k), np.nan)
-        some = sizes > 0
-        if len(flat):
-            rows[some] = np.add.reduceat(model.weights[flat].astype(np.float64), np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
-        emit[0] = grown(emit[0], emit[1], rows)
-        emit[1] += len(rows)
-    kept = [x[~np.isnan(emit[0][x, 0])] for x in each]
+    most = 4 * per_lang * max(1, len(counts))  # about three quarters of it are drawn
+    drawn = spanned.orderBy("h", "doc_id", F.xxhash64("words")).limit(most).collect()
+    by_lang: dict[str, list] = {}
+    for x in drawn:
+        by_lang.setdefault(x.lang, []).append((x.lang, list(x.words)))
+    return fit([y for lang in sorted(by_lang) for y in by_lang[lang][:per_lang]])
+
+
+class Emissions:
+    """What a worker knows of words: their log-potentials by number, NaN for words without a letter."""
+
+    def __init__(self, model: Crf) -> None:
+        self.model, self.words, self.used = model, Words(), 0
+        self.rows = np.zeros((1 << 14, len(model.langs)))
+
+    def of(self, bodies: list[bytes]) -> list[np.ndarray]:
+        """The word numbers of each text."""
+        if self.words.full():
+            self.rows = self.rows[self.words.evict()]
+            self.used = len(self.rows)
+        each = [self.words.ids(b.translate(SPACED)) for b in bodies]
+        fresh, self.words.fresh = self.words.fresh, []
+        for a in range(0, len(fresh), 20_000):
+            slots = [features(w.decode("utf-8", "replace")) for w in fresh[a : a + 20_000]]
+            sizes = np.array([len(x) for x in slots])
+            flat = np.array([y for x in slots for y in x], np.int64)
+            rows = np.full((len(slots), len(self.model.langs)), np.nan)
+            some = sizes > 0
+            if len(flat):
+                rows[some] = np.add.reduceat(self.model.weights[flat].astype(np.float64), np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
+            self.rows = grown(self.rows, self.used, rows)
+            self.used += len(rows)
+        self.words.count(np.concatenate(each))
+        return each
+
+
+def emissions(model: Crf) -> Emissions:
+    """The worker's, kept with the broadcast model over its tasks."""
+    if getattr(model, "known", None) is None:
+        model.known = Emissions(model)
+    return model.known
+
+
+def scored(known: Emissions, bodies: list[bytes]):
+    """(language number, score) of each text, None without letters."""
+    each = known.of(bodies)
+    kept = [x[~np.isnan(known.rows[x, 0])] for x in each]
     lengths = np.array([len(x) for x in kept])
     flat = np.concatenate(kept) if kept else np.zeros(0, np.int32)
-    post = posteriors(emit[0][flat], model.move, lengths)
+    post = posteriors(known.rows[flat], known.model.move, lengths)
     ends = np.cumsum(lengths)
     for a, b in zip(ends - lengths, ends):
         if a == b:
@@ -248,9 +284,9 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
-        crf, words, emit = held.value, Words(), [np.zeros((1 << 14, len(held.value.langs))), 0]
+        crf = held.value
         for ids, bodies in groups(batches, 1 << 20):
-            found = list(scored(crf, words, emit, bodies))
+            found = list(scored(emissions(crf), bodies))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(["und" if x is None else crf.langs[x[0]] for x in found]), pa.array([0.0 if x is None else x[1] for x in found])], schema=schema)
 
     return texts(docs, id_col, text_col).mapInArrow(run, SCHEMA)
@@ -260,14 +296,15 @@ def accepted(docs: DataFrame, model: Crf | None, min_score: float, text_col: str
     """The rows of docs, columns and types as they were, whose text has a language with at least min_score."""
     if model is None:
         return docs.limit(0)
+    small_batches(docs.sparkSession)
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
-        crf, words, emit = held.value, Words(), [np.zeros((1 << 14, len(held.value.langs))), 0]
-        for batch in batches:
+        known = emissions(held.value)
+        for batch in trimmed(batches):
             for k in range(0, batch.num_rows, 300):
                 part = batch.slice(k, 300)
-                found = scored(crf, words, emit, [(b or "").encode() for b in part.column(at).to_pylist()])
+                found = scored(known, [(b or "").encode() for b in part.column(at).to_pylist()])
                 yield part.filter(pa.array([x is not None and x[1] >= min_score for x in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
