@@ -9,14 +9,14 @@
    the threshold with a chance of about 1e-6; less similar pairs don't matter, as links are confirmed exactly.)
 3. Each class is compared with the least class of each of its keys, on full shingle sets, and linked classes are
    joined into components.  This settles groups of copies with as many comparisons as there are members.
-4. Keys whose members lie in several components are looked through completely: members are dealt into blocks, and
-   pairs of blocks are tested in one task each on signatures and sizes, only between different components, each pair
-   under its first shared key alone.  Only pairs within the signature threshold come out, and are confirmed exactly.
-   A bound spares most of them in groups of many loosely similar texts: shingles that no other member holds can't
-   be shared.
+4. Keys whose members lie in several components are looked through completely.  Of small keys, the pairs between
+   different components that are within the signature threshold come out, each under its first shared key alone, and
+   are confirmed exactly.  Large keys are dealt into blocks; each pair of blocks is compared on full sets in a task
+   of its own, by products of incidence matrices, and only true links between different components come out.
 5. Components of all links; the class membership is joined back on the set digest.
 
-Full sets are made again from the texts for classes that share a key, never for all documents.
+Full sets are made again from the texts for classes that share a key, never for all documents; pairs are first tried
+on longer sketches, so that few sets have to travel.
 
 Defined cases: documents without words (or a null text) have no shingles and are components of their own; fewer
 words than a shingle has form one shingle; equal rows belong to one component; rows that share a doc_id count
@@ -33,17 +33,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, groups, grown, mix, stored, texts
+from granary.llm.common import Words, groups, grown, mix, stored, texts, trimmed
 from granary.llm.components import components
 
 CHUNKS, WIDTH, BITS = 8, 4, 16
 SYMBOLS = CHUNKS * WIDTH
 MAX_DISTANCE = 2 * CHUNKS - 1
-#: Members of a key in one block of step 4; keys with more members than this get the bound on unshared shingles.
+#: Classes whose ids may be broadcast (some 50 bytes each), which spares the texts a shuffle; more are joined by one.
+MAX_WANTED = 500_000
+#: Members of a small key, and of a block of a large key, in step 4.
 MEMBERS = 256
 _RNG = np.random.default_rng(20240229)
-_A = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
+#: Places of the longer sketches (8 bits each), and how many must agree: a pair of similarity 0.8 agrees in fewer with a
+#: chance of about 1e-7.
+LONG, LEAST_AGREED = 128, 78
+_A = _RNG.integers(1, 1 << 63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, LONG, dtype=np.uint64)
 SKETCH = "doc_id long, n long, digest binary, sig binary"
 SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 
@@ -56,13 +61,15 @@ class Shingler:
 
     def sets(self, bodies: list[bytes]) -> list[np.ndarray]:
         if self.words.full():
-            self.words, self.used = Words(), 0
+            self.hashes = self.hashes[self.words.evict()]
+            self.used = len(self.hashes)
         each = [self.words.ids(b.lower()) for b in bodies]
         fresh, self.words.fresh = self.words.fresh, []
         if fresh:
             raw = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in fresh)
             self.hashes = grown(self.hashes, self.used, np.frombuffer(raw, np.uint64))
             self.used += len(fresh)
+        self.words.count(np.concatenate([x for x in each] or [np.zeros(0, np.int32)]))
         return [self._set(self.hashes[x]) for x in each]
 
     def _set(self, h: np.ndarray) -> np.ndarray:
@@ -75,13 +82,17 @@ class Shingler:
         return np.unique(out)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """The b-bit MinHash of each non-empty set: (sets, SYMBOLS) of 16 bits."""
+def digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def signatures(sets: list[np.ndarray], size: int = SYMBOLS) -> np.ndarray:
+    """The b-bit MinHash of each non-empty set: (sets, size) of 16 bits."""
     if not sets:
-        return np.zeros((0, SYMBOLS), np.uint16)
+        return np.zeros((0, size), np.uint16)
     flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])[:-1]])
-    out = np.empty((len(sets), SYMBOLS), np.uint16)
-    for k in range(SYMBOLS):
+    out = np.empty((len(sets), size), np.uint16)
+    for k in range(size):
         least = np.minimum.reduceat(flat * _A[k] + _B[k], starts)
         out[:, k] = mix(least) >> np.uint64(64 - BITS)
     return out
@@ -96,7 +107,7 @@ def sketched(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
             sigs: list = [None] * len(sets)
             for i, sig in zip(some, signatures([sets[i] for i in some])):
                 sigs[i] = sig.tobytes()
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            digests = [digest(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], schema=SKETCH_ARROW)
 
     return texts(docs, id_col, text_col).mapInArrow(run, SKETCH)
@@ -121,7 +132,7 @@ def keyed(classes: DataFrame) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             for k in range(0, batch.num_rows, 4000):
                 part = batch.slice(k, 4000)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
@@ -132,44 +143,88 @@ def keyed(classes: DataFrame) -> DataFrame:
     return classes.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose longer sketches agree in at least LEAST_AGREED places: spares most full sets' way."""
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("long").alias("x")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("long").alias("y")), "b").select("a", "b", "x", "y")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in trimmed(batches):
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, LONG) for i in (2, 3))
+            keep = np.flatnonzero((x == y).sum(axis=1) >= LEAST_AGREED)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(i).to_numpy(zero_copy_only=False)[keep]) for i in (0, 1)], schema=schema)
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    near = alike(pairs, sets)
+    left = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u")).where(100 * F.col("c") >= percent * F.col("u")).select("a", "b")
 
 
-def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Step 4 within pairs of blocks: rows (key, low, high, block, id, label, n, lone, sig) grouped by key, low, high."""
+def key_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Step 4 for keys of MEMBERS members or fewer: rows (key, id, label, n, sig); pairs (a, b) to be confirmed."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy() for c in ("key", "low", "high", "block", "id", "label", "n", "lone")}
+        key, ids, label, n = (table.column(c).to_numpy() for c in ("key", "id", "label", "n"))
         sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        low, high, key = col["low"][0], col["high"][0], col["key"][0]
-        p = np.flatnonzero(col["block"] == low)
-        q = p if low == high else np.flatnonzero(col["block"] == high)
-        n, lone, label, ids = col["n"].astype(np.int64), col["lone"].astype(np.int64), col["label"], col["id"]
-        most = np.minimum((n - lone)[p][:, None], (n - lone)[q][None, :])  # common shingles at most
-        fit = (label[p][:, None] != label[q][None, :]) & (100 * most >= percent * (n[p][:, None] + n[q][None, :] - most))
-        if low == high:
-            fit &= ids[p][:, None] < ids[q][None, :]
+        least = np.minimum(n[:, None], n[None, :])
+        fit = (label[:, None] != label[None, :]) & (ids[:, None] < ids[None, :]) & (100 * least >= percent * np.maximum(n[:, None], n[None, :]))
         i, j = np.nonzero(fit)
-        i, j = p[i], q[j]
-        out_a, out_b = [], []
-        all_keys = key_parts(sigs).view(np.int64)
-        for s in range(0, len(i), 20_000):
-            x, y = i[s : s + 20_000], j[s : s + 20_000]
-            near = np.flatnonzero((sigs[x] != sigs[y]).sum(axis=1) <= MAX_DISTANCE)
-            x, y = x[near], y[near]
-            same = all_keys[x] == all_keys[y]
-            first = all_keys[x, same.argmax(axis=1)]
-            mine = np.flatnonzero(first == key)  # the pair's first shared key brings it out, no other
-            out_a.append(np.minimum(ids[x[mine]], ids[y[mine]]))
-            out_b.append(np.maximum(ids[x[mine]], ids[y[mine]]))
-        empty = np.zeros(0, np.int64)
-        return pa.Table.from_arrays([pa.array(np.concatenate([empty, *out_a])), pa.array(np.concatenate([empty, *out_b]))], schema=schema)
+        near = np.flatnonzero((sigs[i] != sigs[j]).sum(axis=1) <= MAX_DISTANCE)
+        i, j = i[near], j[near]
+        keys = key_parts(sigs).view(np.int64)
+        same = keys[i] == keys[j]
+        mine = np.flatnonzero(keys[i, same.argmax(axis=1)] == key[0]) if len(i) else np.zeros(0, np.int64)  # a pair's first shared key alone brings it out
+        return pa.Table.from_arrays([pa.array(ids[i[mine]]), pa.array(ids[j[mine]])], schema=schema)
+
+    return rows.groupBy("key").applyInArrow(run, "a long, b long")
+
+
+def common_counts(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray, width: int = 1 << 14) -> np.ndarray:
+    """Shingles common to each set of p and each of q, by products of incidence matrices of width columns."""
+    sizes = np.array([len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(p), len(q)), np.float32)
+    for a in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(column, (a, a + width))
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[lo:hi], column[lo:hi] - a] = 1
+        out += part[p] @ part[q].T
+    return out.astype(np.int64)
+
+
+def block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Step 4 for larger keys, a pair of blocks at a time: rows (key, low, high, block, id, label, shingles); exact
+    links (a, b) between different components. A group holds two blocks, some 2 * MEMBERS sets."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        block, ids, label = (table.column(c).to_numpy() for c in ("block", "id", "label"))
+        sets = [s.values.to_numpy() for s in table.column("shingles")]
+        n = np.array([len(s) for s in sets])
+        p, q = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        if not len(p) or not len(q) or label.min() == label.max():
+            return schema.empty_table()
+        c = common_counts(sets, p, q)
+        fit = (label[p][:, None] != label[q][None, :]) & (100 * c >= percent * (n[p][:, None] + n[q][None, :] - c))
+        i, j = np.nonzero(fit)
+        x, y = ids[p[i]], ids[q[j]]
+        return pa.Table.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
 
     return rows.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
 
@@ -189,8 +244,9 @@ def resolved(sketch: DataFrame, docs: DataFrame, n: int, percent: int, id_col: s
     held = stored(keys.join(shared, "key"), "keys")
     wanted = held.select("id").distinct()
     # sets of the classes that share a key; a class's text is that of any row with its digest
-    again = texts(docs, id_col, text_col).join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = stored(shingled(again, n), "sets").join(classes.select("id", "digest"), ["id", "digest"], "left_semi").select("id", "shingles")
+    few = stored(classes.join(wanted, "id").select(F.col("id").alias("doc_id"), "digest"), "wanted")
+    again = texts(docs, id_col, text_col).join(F.broadcast(few) if few.count() <= MAX_WANTED else few, "doc_id")
+    sets = stored(shingled(again, n), "sets")
 
     stars = held.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     first = stored(linked(stars, sets, percent), "links")
@@ -198,16 +254,13 @@ def resolved(sketch: DataFrame, docs: DataFrame, n: int, percent: int, id_col: s
     members = held.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "members", F.coalesce("root", "id").alias("label"))
     open_keys = members.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
     rest = stored(members.join(open_keys, "key", "left_semi"), "open")
-    # shingles held by one class alone among those in large open keys
-    large = rest.where(F.col("members") > MEMBERS).select("id").distinct()
-    lone = sets.join(large, "id", "left_semi").select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("lone"))
-    facts = rest.join(classes.select("id", "n", "sig"), "id").join(lone, "id", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
-    facts = facts.where(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n"))  # else no text can be near enough
-    blocks = F.ceil(F.col("members") / MEMBERS).cast("int")
-    facts = facts.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = facts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "label", "n", "lone", "sig")
-    more = linked(block_pairs(dealt, percent).distinct(), sets, percent)
+    small = rest.where(F.col("members") <= MEMBERS).join(classes.select("id", "n", "sig"), "id").select("key", "id", "label", "n", "sig")
+    more = linked(key_pairs(small, percent).distinct(), sets, percent)
+    large = rest.where(F.col("members") > MEMBERS).join(sets.select("id", "shingles"), "id")
+    large = large.withColumn("blocks", F.ceil(F.col("members") / MEMBERS).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "label", "shingles")
+    more = more.unionByName(block_links(dealt, percent).distinct())
     both = first.unionByName(more).unionByName(same_ids(real, classes))
     final = components(both)
 
@@ -227,18 +280,23 @@ def same_ids(real: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def shingled(rows: DataFrame, n: int) -> DataFrame:
-    """(id, digest, shingles): full sets, from (doc_id, body)."""
+    """(id, shingles, long): full sets and longer sketches of those rows (doc_id, body, digest) whose set has the digest."""
     kind = pa.list_(pa.int64())
-    schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("shingles", kind)])
+    schema = pa.schema([("id", pa.int64()), ("shingles", kind), ("long", pa.binary())])
 
     def run(batches):
         shingler = Shingler(n)
-        for ids, bodies in groups(batches):
-            sets = shingler.sets(bodies)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([s.view(np.int64) for s in sets], kind)], schema=schema)
-
-    return rows.mapInArrow(run, "id long, digest binary, shingles array<long>")
+        for batch in trimmed(batches):
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
+                sets = shingler.sets(part.column(1).to_pylist())
+                wanted = part.column(2).to_pylist()
+                keep = [i for i, s in enumerate(sets) if len(s) and digest(s) == wanted[i]]
+                ids = part.column(0).to_pylist()
+                longs = [x.tobytes() for x in signatures([sets[i] for i in keep], LONG).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([sets[i].view(np.int64) for i in keep], kind), pa.array(longs, pa.binary())], schema=schema)
+
+    return rows.select("doc_id", "body", "digest").mapInArrow(run, "id long, shingles array<long>, long binary")
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
