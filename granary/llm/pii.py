@@ -11,9 +11,9 @@ entity itself.  Only pairs that stand together in SUPPORT documents and as many
 that copies of one passage are no evidence.  Terms of at least GENERALISE are spans wherever they occur; redacted()
 generalises them to their class and removes those of at least REMOVE.
 
-Entities and pairs are counted by group-by over the places of entities alone; term counts take one pass over the
-words of all documents, joined to the candidate terms (broadcast only below MAX_TERMS).  Distinct pairs are few, as
-they need support.
+Entities and pairs are counted by group-by over the places of entities alone.  A term is held by at least the texts
+that hold it near some entity, which bounds its score; only terms that pass by this bound are counted in all
+documents, by one pass over their words joined to those terms (broadcast only below MAX_TERMS).
 
 Defined cases: a null text counts as empty; repeated rows are scanned each on its own; a null doc_id is carried; an
 empty table gives no rows; scan() reads no other columns, redacted() carries them unchanged.
@@ -96,11 +96,17 @@ def terms(docs: DataFrame, text_col: str = "text", near: int = NEAR, support: in
         F.slice(before, F.greatest(F.lit(1), F.size(before) - near + 1), near).alias("left"),
         F.slice(after, 1, near).alias("right"),
     )
+    sides = stored(sides, "places")
     counted = sides.select("entity", "doc", F.xxhash64("left").alias("l"), F.xxhash64("right").alias("r"), F.explode(F.array_distinct(F.transform(F.concat("left", "right"), F.lower))).alias("term"))
     # texts count once, however many copies there are; counts of distinct values are exact
     pairs = counted.groupBy("entity", "term").agg(F.countDistinct("doc").alias("net"), F.countDistinct("l").alias("nl"), F.countDistinct("r").alias("nr"))
     pairs = pairs.where((F.least("nl", "nr") >= support) & (5 * F.least("nl", "nr") >= F.col("net")))
-    candidates = stored(pairs.select("entity", "term", "net"), "pairs")
+    n = float(docs.agg(F.count_distinct(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))).first()[0])
+    n_entity = sides.groupBy("entity").agg(F.countDistinct("doc").alias("ne"))
+    # texts that hold the term near any entity: no more than all that hold it, so the score can only fall from here
+    n_near = counted.groupBy("term").agg(F.countDistinct("doc").alias("nt"))
+    both = pairs.join(n_entity, "entity").join(n_near, "term").where(F.col("ne") < n)
+    candidates = stored(both.where(disclosed(n) >= least).select("entity", "term", "net", "ne"), "pairs")
     names = candidates.select("term").distinct()
     n_names = names.count()
     if not n_names:
@@ -110,12 +116,14 @@ def terms(docs: DataFrame, text_col: str = "text", near: int = NEAR, support: in
     whole = docs.select(F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     held = whole.select(F.xxhash64("t").alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)))).alias("term"))
     n_term = held.join(names, "term", "left_semi").groupBy("term").agg(F.countDistinct("doc").alias("nt"))
-    n_entity = sides.join(candidates.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.countDistinct("doc").alias("ne"))
-    n = docs.agg(F.count_distinct(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))).first()[0]
-    both = candidates.join(n_entity, "entity").join(n_term, "term").where(F.col("ne") < n)
-    pmi = F.log2(F.col("net") * float(n) / (F.col("ne").cast("double") * F.col("nt")))
-    score = pmi / F.log2(F.lit(float(n)) / F.col("ne"))
-    return stored(both.groupBy("term").agg(F.max(score).alias("disclosure")).where(F.col("disclosure") >= least), "terms")
+    out = candidates.join(n_term, "term").groupBy("term").agg(F.max(disclosed(n)).alias("disclosure"))
+    return stored(out.where(F.col("disclosure") >= least), "terms")
+
+
+def disclosed(n: float) -> Column:
+    """disclosure from the columns net, ne and nt."""
+    pmi = F.log2(F.col("net") * n / (F.col("ne").cast("double") * F.col("nt")))
+    return pmi / F.log2(F.lit(n) / F.col("ne"))
 
 
 def spanned(docs: DataFrame, revealing: DataFrame | None, text_col: str = "text", prefix: str = "__") -> DataFrame:
@@ -135,6 +143,9 @@ def spanned(docs: DataFrame, revealing: DataFrame | None, text_col: str = "text"
     held = lower.select(key.alias(f"{prefix}key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c("text")), F.lit(WORD), F.lit(0)))).alias(f"{prefix}term"))
     # a text's revealing terms: no more than its distinct words
     mine = held.join(by, f"{prefix}term").groupBy(f"{prefix}key").agg(F.collect_set(c("term")).alias(f"{prefix}terms"), F.collect_set(F.when(c("gone"), c("term"))).alias(f"{prefix}removed"))
+    mine = stored(mine, "revealed")
+    if mine.count() <= MAX_TERMS:  # else the texts are joined by a shuffle
+        mine = F.broadcast(mine)
     rows = rows.withColumn(f"{prefix}key", key).join(mine, f"{prefix}key", "left")
     all_words = F.when(F.size(c("terms")) > 0, found(c("text"), WORD)).otherwise(found(F.lit(""), WORD))
     rows = rows.withColumn(f"{prefix}words", all_words)
