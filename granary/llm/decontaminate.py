@@ -2,8 +2,8 @@
 
 The benchmark's windows are normalised, hashed and broadcast; windows of a document whose words are all known
 benchmark words are hashed, looked up and then verified word by word.  Documents are never shuffled.  The
-broadcast is bounded: a benchmark of more than MAX_WINDOWS windows is dealt into blocks of items, and each block
-is one more pass of the same map over the documents, whose findings are added to those before.
+broadcasts are bounded: a benchmark of more than MAX_WINDOWS windows is dealt into blocks of items, and workers hold
+one block at a time, through which they pass larger groups of documents before the next is loaded.
 
 Defined cases: null or empty texts have no words; items without words are ignored, and so are items whose id or
 text is null; items with equal windows all count; repeated rows are scanned each on its own; an empty benchmark
@@ -23,6 +23,8 @@ from granary.llm.common import ALNUM, groups, looked_up, small_batches, texts, t
 
 #: Windows in one broadcast; about 120 bytes each in a worker.
 MAX_WINDOWS = 500_000
+#: Bytes of documents in a group: where there is one block, and where there are several.
+GROUP, LARGE_GROUP = 1 << 19, 1 << 25
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _P = 0x9E3779B97F4A7C15
 SCHEMA = "doc_id long, n_words long, hits array<struct<start:long,end:long>>, items array<string>"
@@ -120,49 +122,51 @@ def runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
+def all_hits(sets: list, bodies: list[bytes]) -> list[list]:
+    """[number of words, which are hit (None: none), items] of each text, over all blocks; of several, each is let go
+    before the next is loaded."""
+    out: list[list] = [[0, None, set()] for _ in bodies]
+    for b in sets:
+        for row, (words, hit, items) in zip(out, batch_hits(b.value, bodies)):
+            row[0] = words
+            if hit is not None:
+                row[1] = hit if row[1] is None else row[1] | hit
+            row[2] |= items
+        if len(sets) > 1:
+            b.__dict__.pop("_value", None)
+    return out
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, hits (word intervals inside occurrences, end exclusive), items (ids, as
     sorted strings, whose windows occur)."""
     sets = list(blocks(benchmark, n, max_windows, item_col, item_text_col))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", kind), ("items", pa.list_(pa.string()))])
-    empty = Windows([], n)
 
     def run(batches):
-        for ids, bodies in groups(batches):
-            total: list[list] = [[0, None, set()] for _ in ids]
-            for held in [b.value for b in sets] or [empty]:
-                for row, (words, hit, items) in zip(total, batch_hits(held, bodies)):
-                    row[0] = words
-                    if hit is not None:
-                        row[1] = hit if row[1] is None else row[1] | hit
-                    row[2] |= items
+        for ids, bodies in groups(batches, GROUP if len(sets) < 2 else LARGE_GROUP):
+            total = all_hits(sets, bodies) if sets else [[len(b.translate(ALNUM).split()), None, ()] for b in bodies]
             hits = [[] if hit is None else [{"start": a, "end": b} for a, b in runs(hit)] for _, hit, _ in total]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r[0] for r in total], pa.int64()), pa.array(hits, kind), pa.array([sorted(r[2]) for r in total], pa.list_(pa.string()))], schema=schema)
 
     return texts(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
-def without(body: bytes, sets: list[Windows]) -> bytes:
-    """body without its hit passages, a line break in the place of each; looked through again until none is left."""
-    while True:
-        hit = None
-        for windows in sets:
-            ((_, found, _),) = batch_hits(windows, [body])
-            hit = found if hit is None else hit if found is None else hit | found
-        if hit is None:
-            return body
-        words = [m.span() for m in WORD.finditer(body.lower())]  # bytes.lower changes A-Z alone
-        out, at = [], 0
-        for a, b in runs(hit):
-            out += [body[at : words[a][0]], b"\n"]
-            at = words[b - 1][1]
-        body = b"".join([*out, body[at:]])
+def cut(body: bytes, hit: np.ndarray) -> bytes:
+    """body without its hit passages, a line break in the place of each."""
+    words = [m.span() for m in WORD.finditer(body.lower())]  # bytes.lower changes A-Z alone
+    out, at = [], 0
+    for a, b in runs(hit):
+        out += [body[at : words[a][0]], b"\n"]
+        at = words[b - 1][1]
+    return b"".join([*out, body[at:]])
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5, max_windows: int = MAX_WINDOWS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs, columns and types as they were, without contamination: a document of which at least drop_share of the
-    words are hit is removed, other hit passages are cut out of the text, clean documents stay as they are."""
+    words are hit is removed, other hit passages are cut out of the text (which is looked through again, until none is
+    left), clean documents stay as they are."""
     sets = list(blocks(benchmark, n, max_windows, item_col, item_text_col))
     if not sets:
         return docs
@@ -171,23 +175,23 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: floa
 
     def run(batches):
         for batch in trimmed(batches):
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
-                bodies = [(b or "").encode() for b in part.column(at).to_pylist()]
-                keep, new = [True] * len(bodies), list(part.column(at).to_pylist())
-                held = [b.value for b in sets]
-                seen: list = [[0, None] for _ in bodies]
-                for windows in held:
-                    for row, (words, hit, _) in zip(seen, batch_hits(windows, bodies)):
-                        row[0] = words
-                        if hit is not None:
-                            row[1] = hit if row[1] is None else row[1] | hit
-                for i, (words, hit) in enumerate(seen):
-                    if hit is not None:
-                        keep[i] = hit.sum() < drop_share * words
-                        new[i] = without(bodies[i], held).decode("utf-8", "replace") if keep[i] else None
-                columns = [pa.array(new, f.type) if j == at else c for j, (c, f) in enumerate(zip(part.columns, part.schema))]
-                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep))
+            old = batch.column(at).to_pylist()
+            keep, new, rest = [True] * len(old), list(old), list(range(len(old)))
+            first = True
+            while rest:
+                bodies = [(new[i] or "").encode() for i in rest]
+                again = []
+                for i, body, (words, hit, _) in zip(rest, bodies, all_hits(sets, bodies)):
+                    if hit is None:
+                        continue
+                    if first and hit.sum() >= drop_share * words:
+                        keep[i], new[i] = False, None
+                    else:
+                        new[i] = cut(body, hit).decode("utf-8", "replace")
+                        again.append(i)
+                rest, first = again, False
+            columns = [pa.array(new, f.type) if j == at else c for j, (c, f) in enumerate(zip(batch.columns, batch.schema))]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
