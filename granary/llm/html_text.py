@@ -2,7 +2,7 @@
 
 A tree builder reads tags with the implied ones (open paragraphs, list items, cells and rows end where HTML ends
 them), raw-text elements and stray end tags; visibility rules leave out what a browser doesn't show (head, scripts,
-styles, templates, hidden attributes, display:none, closed details).  The renderer then writes all visible text:
+styles, templates, hidden attributes, display:none in style attributes and simple rules of style sheets, closed details).  The renderer then writes all visible text:
 white space collapses outside pre, blocks start on lines of their own and paragraphs after a blank line, list items
 get bullets or numbers with indentation, and the cells of data tables are aligned in columns.  The work is one map
 over pages, each page by itself; nothing is shuffled.
@@ -37,7 +37,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
-UNSEEN = frozenset("area base datalist head iframe link meta noembed noframes noscript object param rp script source style template title track audio video canvas svg math".split())
+UNSEEN = frozenset("annotation area audio base canvas datalist defs desc head iframe link meta metadata noembed noframes noscript object param rp script source style template title track video".split())
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
@@ -60,6 +60,22 @@ IMPLIED = {
 WALLS = frozenset(("table", "td", "th", "caption", "html", "template", "button", "object"))
 
 
+RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?([.#][\w-]+)?")
+
+
+def hiding(css: str) -> list[tuple[str, str]]:
+    """(tag or empty, .class or #id or empty) of the simple selectors of a style sheet that hide what they match."""
+    found = (m for rule in RULE.findall(re.sub(r"(?s)/\*.*?\*/", "", css)) if UNSEEN_STYLE.search(rule[1]) for m in (SIMPLE.fullmatch(part.strip()) for part in rule[0].split(",")) if m and m.group(0))
+    return [((m.group(1) or "").lower(), m.group(2) or "") for m in found]
+
+
+def hidden_by(node: "Node", rules: list[tuple[str, str]]) -> bool:
+    held = attributes(node.attrs) if node.attrs else {}
+    names = {"." + c for c in held.get("class", "").split()} | {"#" + held.get("id", ""), ""}
+    return any(tag in ("", node.tag) and mark in names for tag, mark in rules)
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children", "seen")
 
@@ -92,6 +108,7 @@ def tree(html: str) -> Node:
     """The document's tree: nodes and strings."""
     root = Node("#root", "")
     stack, at, text_from = [root], 0, 0
+    sheets: list[str] = []
     search, last = TOKEN.search, html.rfind(">")
     paragraphs = 0
 
@@ -152,6 +169,8 @@ def tree(html: str) -> Node:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
             stop = end.start() if end else len(html)
             node.children.append(html[at:stop])
+            if tag == "style":
+                sheets.append(html[at:stop])
             at = text_from = end.end() if end else len(html)
             continue
         if len(stack) < MAX_DEPTH:
@@ -159,6 +178,13 @@ def tree(html: str) -> Node:
             paragraphs += tag == "p"
     if text_from < len(html):
         stack[-1].children.append(html[text_from:])
+    if sheets and (rules := hiding("\n".join(sheets))):
+        below = [root]
+        while below:
+            for c in below.pop().children:
+                if isinstance(c, Node):
+                    c.seen = c.seen and not hidden_by(c, rules)
+                    below.append(c)
     return root
 
 

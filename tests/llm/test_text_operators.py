@@ -215,6 +215,8 @@ HTML = [
     ("<table><tr><th>Name<th>N<tr><td>alpha<td>1<tr><td>b<td>22222</table>", "Name  | N\nalpha | 1\nb     | 22222"),
     ("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>", "ab |   | c\nd  | e | f"),
     ("<head><title>t</title><style>x</style></head>a<script>b</script><div hidden>c</div><i style='display:none'>d</i><!-- e -->f", "af"),
+    ("<style>.ad, p#x{color:red;display:none} /* .b{display:none} */</style>a<div class='b ad'>c</div><p id=x>d</p><p class=b>e", "a\n\ne"),
+    ("<svg><title>t</title><text>shown</text></svg><math><mi>y</mi></math>", "showny"),
     ("<details><summary>s</summary>no</details><details open>yes</details>", "s\nyes"),
     ("<pre> a\n  b</pre>&amp;&lt;", " a\n  b\n\n&<".lstrip("\n")),
     ("a < b & c <unclosed", "a < b & c <unclosed"),
