@@ -24,8 +24,8 @@ are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, groups, grown, mix, pieces, stored
+from granary.llm.common import groups, mix, pieces, stored, trimmed
 
 #: Words in the broadcast table (about 100 bytes each), bits of the filter, slices in which it is made.
 FREQUENT, MAX_BITS, SLICES = 250_000, 1 << 28, 64
@@ -59,17 +59,24 @@ class Filter:
         self.bits, self.size = bits, size
 
     @staticmethod
-    def places(keys: np.ndarray, level: np.ndarray | int, size: int) -> np.ndarray:
-        """(HASHES, keys) bit numbers."""
+    def seeds(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
         x = mix(keys.astype(np.uint64) + np.asarray(level, np.uint64) * np.uint64(0xA24BAED4963EE407))
-        step = mix(x ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
-        return np.stack([(x + np.uint64(i) * step) % np.uint64(size) for i in range(HASHES)])
+        return x, x >> np.uint64(32) | np.uint64(1)
+
+    @staticmethod
+    def places(keys: np.ndarray, level: np.ndarray | int, size: int) -> np.ndarray:
+        """(HASHES, keys) bit numbers; size is a power of two."""
+        x, step = Filter.seeds(keys, level)
+        return np.stack([x + np.uint64(i) * step & np.uint64(size - 1) for i in range(HASHES)])
 
     def has(self, keys: np.ndarray, level: int) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for row in self.places(keys, level, self.size):
-            out &= (self.bits[row >> np.uint64(3)] >> (row & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        return out
+        """The numbers of those keys that are in at the level."""
+        x, step = self.seeds(keys, level)
+        at, mask = np.arange(len(keys)), np.uint64(self.size - 1)
+        for i in range(HASHES):  # most that are absent drop out at the first bit
+            bit = x[at] + np.uint64(i) * step[at] & mask
+            at = at[(self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        return at
 
     def read(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: probes until one is missing."""
@@ -103,13 +110,12 @@ def counted(rows: DataFrame) -> DataFrame:
         counts: Counter = Counter()
 
         def out():
-            words = [w.decode("utf-8", "replace") for w in counts]
-            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+            batch = pa.RecordBatch.from_arrays([utf8(pa.array(list(counts), pa.binary())), pa.array(list(counts.values()), pa.int64())], schema=schema)
             counts.clear()
             return batch
 
         ends = 0
-        for batch in batches:
+        for batch in trimmed(batches):
             for body in batch.column(0):
                 ends += 1
                 for part in pieces(body.as_py().lower()):
@@ -125,25 +131,51 @@ def counted(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    def __init__(self, number: dict[bytes, int], c: np.ndarray, total: int, distinct: int, filter_: Filter) -> None:
-        self.number, self.c, self.total, self.distinct, self.filter = number, c, total, distinct, filter_
+    """What workers need: the frequent words (one text, a line each, so that the broadcast is small), their counts, N, V
+    and the filter."""
 
+    def __init__(self, words: bytes, c: np.ndarray, total: int, distinct: int, filter_: Filter | None) -> None:
+        self.words, self.c, self.total, self.distinct, self.filter = words, c, total, distinct, filter_
 
-def numbered(counts: DataFrame, frequent: int) -> list[tuple[str, int]]:
-    """The frequent words by falling count, then word; words over 200 bytes are left to the join."""
-    short = counts.where(F.octet_length("word") <= 200)
-    rows = short.orderBy(F.desc("c"), "word").limit(frequent).collect()  # FREQUENT rows at most
-    return [(r.word, r.c) for r in rows]
+    def numbers(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words.split(b"\n"))} if self.words else {}
 
 
-def word_numbers(words: Words, held: dict[bytes, int], table: list, body: bytes) -> np.ndarray:
-    """Numbers of frequent words, -1 for others. table: [numbers of words so far, used]."""
-    ids = words.ids(body)
-    if words.fresh:
-        table[0] = grown(table[0], table[1], np.array([held.get(w, -1) for w in words.fresh], np.int32))
-        table[1] += len(words.fresh)
-        words.fresh = []
-    return table[0][ids]
+def utf8(words: pa.Array) -> pa.Array:
+    """Binary words as strings; broken UTF-8 is replaced."""
+    try:
+        return words.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([w.decode("utf-8", "replace") for w in words.to_pylist()], pa.string())
+
+
+def numbered(counts: DataFrame, frequent: int) -> tuple[bytes, np.ndarray]:
+    """The words counted most often, frequent of them at most, and their counts: those from the least count on that
+    keeps the bound. Words over 200 bytes are left to the join."""
+    short = counts.where(F.octet_length("word") <= 200)
+    step = F.floor(F.log2("c") * 16).cast("int")  # some hundred steps at most
+    least, n = None, 0
+    for r in short.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("s")).collect():
+        if n + r.n > frequent:
+            break
+        least, n = r.c, n + r.n
+    if least is None:
+        return b"", np.zeros(1, np.int64)
+    rows = short.where(F.col("c") >= least).toArrow()  # frequent rows at most
+    order = np.lexsort((np.array(rows.column("word").to_pylist(), object), -rows.column("c").to_numpy()))
+    return b"\n".join(w.encode() for w in rows.column("word").take(pa.array(order)).to_pylist()), rows.column("c").to_numpy()[order]
+
+
+def word_numbers(number: dict[bytes, int], body: bytes, rare: Counter | None = None) -> np.ndarray:
+    """Numbers of frequent words, -1 for others, which are counted in rare."""
+    found = []
+    for part in pieces(body):
+        words = part.split()
+        ids = np.array(list(map(number.get, words, repeat(-1))), np.int32)
+        if rare is not None:
+            rare.update([words[i] for i in np.flatnonzero(ids < 0).tolist()])
+        found.append(ids)
+    return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 def bigrams(rows: DataFrame, held) -> DataFrame:
@@ -151,8 +183,8 @@ def bigrams(rows: DataFrame, held) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("c", pa.int64())])
 
     def run(batches):
-        number = held.value[0]
-        words, table, kept, n = Words(), [np.zeros(1 << 14, np.int32), 0], [], 0
+        number = held.value.numbers()
+        kept, n = [], 0
         end = np.array([number.get(END.encode(), -1)], np.int32)
         gap = np.array([-1], np.int32)
 
@@ -161,11 +193,9 @@ def bigrams(rows: DataFrame, held) -> DataFrame:
             kept.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c.astype(np.int64))], schema=schema)
 
-        for batch in batches:
+        for batch in trimmed(batches):
             for body in batch.column(0):
-                if words.full():
-                    words, table[1] = Words(), 0
-                ids = np.concatenate([gap, word_numbers(words, number, table, body.as_py().lower()), end])
+                ids = np.concatenate([gap, word_numbers(number, body.as_py().lower()), end])
                 a, b = ids[:-1], ids[1:]
                 both = (a >= 0) & (b >= 0)
                 keys = bigram_keys(a[both], b[both])
@@ -198,15 +228,14 @@ def filtered(kept: DataFrame, max_bits: int) -> Filter:
     masses = stored(masses, "masses")
     rows = used.select("key", level.alias("q")).unionByName(masses)
     entries += masses.agg(F.coalesce(F.sum("q"), F.lit(0))).first()[0]  # of FREQUENT histories at most
-    size = max(1 << 13, min(max_bits, BITS_PER_ENTRY * entries))
-    size = -(-size // (8 * SLICES)) * 8 * SLICES
+    size = 1 << max(13, min(max_bits, int(BITS_PER_ENTRY * entries)).bit_length() - (BITS_PER_ENTRY * entries >= max_bits))
     per = size // SLICES
     schema = pa.schema([("slice", pa.int32()), ("bits", pa.binary())])
 
     def run(batches):
         part = np.zeros(size // 8, np.uint8)
         some = False
-        for batch in batches:
+        for batch in trimmed(batches):
             keys, q = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a in range(0, len(keys), 100_000):
                 k, n = keys[a : a + 100_000], q[a : a + 100_000].astype(np.int64)
@@ -277,13 +306,10 @@ def fit(docs: DataFrame, trained, frequent: int = FREQUENT, max_bits: int = MAX_
     rows = rows_of(docs, trained, id_col, text_col)
     counts = stored(counted(rows), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = numbered(counts, frequent)
-    number = {w.encode(): i for i, (w, _) in enumerate(top)}
-    c = np.array([n for _, n in top], np.int64) if top else np.zeros(1, np.int64)
-    spark = docs.sparkSession
-    words = spark.sparkContext.broadcast((number,))
-    kept = stored(bigrams(rows, words), "bigrams")
-    model = spark.sparkContext.broadcast(Model(number, c, total, distinct, filtered(kept, max_bits)))
+    words, c = numbered(counts, frequent)
+    context = docs.sparkSession.sparkContext
+    kept = stored(bigrams(rows, context.broadcast(Model(words, c, total, distinct, None))), "bigrams")
+    model = context.broadcast(Model(words, c, total, distinct, filtered(kept, max_bits)))
     return counts, model
 
 
@@ -294,39 +320,31 @@ def score(docs: DataFrame, counts: DataFrame, model, id_col: str = "doc_id", tex
 
     def run(batches):
         m = model.value
-        words, table = Words(), [np.zeros(1 << 14, np.int32), 0]
-        end = np.array([m.number.get(END.encode(), -1)], np.int32)
+        number = m.numbers()
+        end = np.array([number.get(END.encode(), -1)], np.int32)
         denominator = float(m.total + m.distinct + 1)
         row = TaskContext.get().partitionId() << 40
-        for ids, bodies in groups(batches):
-            if words.full():
-                words, table[1] = Words(), 0
-            bodies = [b.lower() for b in bodies]
-            each = [np.concatenate([word_numbers(words, m.number, table, b), end]) for b in bodies]
+        for ids, bodies in groups(batches, 1 << 21):
+            rares = [Counter() for _ in bodies]
+            each = [np.concatenate([word_numbers(number, b.lower(), rare), end]) for b, rare in zip(bodies, rares)]
             sizes = np.array([len(x) for x in each])
-            ends = np.cumsum(sizes)
+            starts = np.cumsum(sizes) - sizes
             flat = np.concatenate(each)
-            logs = log_probabilities(m, flat, ends - sizes, FLOOR)
+            logs = log_probabilities(m, flat, starts, FLOOR)
             c = np.where(flat >= 0, m.c[np.maximum(flat, 0)], 0)
             base = np.where(flat >= 0, np.log10((c + 1) / denominator), 0.0)
-            out: list[list] = [[] for _ in schema]
-            for i, (doc, body) in enumerate(zip(ids, bodies)):
-                row += 1
-                a, b = ends[i] - sizes[i], ends[i]
-                # the row itself, under a key that is no word
-                for column, value in zip(out, (f" {row}", row, doc, sizes[i], int((c[a:b] > 0).sum()), float(base[a:b].sum()), float(logs[a:b].sum()))):
-                    column.append(value)
-                if (flat[a : b - 1] < 0).any():
-                    rare: Counter = Counter()
-                    for part in pieces(body):
-                        rare.update(w for w in part.split() if w not in m.number)
-                    for w, n in rare.items():
-                        for column, value in zip(out, (w.decode("utf-8", "replace"), row, None, n, None, None, None)):
-                            column.append(value)
-                if end[0] < 0:
-                    for column, value in zip(out, (END, row, None, 1, None, None, None)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
+            rows = row + np.arange(len(ids))
+            row += len(ids)
+            # the rows themselves, under keys that are no words
+            yield pa.RecordBatch.from_arrays([pa.array([f" {i}" for i in rows.tolist()]), pa.array(rows), pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int64)), *(pa.array(np.add.reduceat(x, starts)) for x in ((c > 0).astype(np.int64), base, logs))], schema=schema)
+            if end[0] < 0:  # not among the frequent words: looked for like a rare one
+                for rare in rares:
+                    rare[END.encode()] = 1
+            words = pa.array([w for rare in rares for w in rare], pa.binary())
+            if len(words):
+                counts = np.fromiter((n for rare in rares for n in rare.values()), np.int64, len(words))
+                none = [pa.nulls(len(words), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([utf8(words), pa.array(np.repeat(rows, [len(rare) for rare in rares])), none[0], pa.array(counts), *none[1:]], schema=schema)
 
     m = model.value
     denominator = float(m.total + m.distinct + 1)
