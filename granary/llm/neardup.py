@@ -304,6 +304,8 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     (one row, where rows repeat an id). Rows without a doc_id are kept."""
     found = stored(near_duplicates(docs, n, percent, id_col, text_col), "found")
     gone = found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    if gone.count() <= MAX_WANTED:  # else the texts are joined by a shuffle
+        gone = F.broadcast(gone)
     out = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
     if twice.take(1):
