@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Texts longer than this are cut at white space before their words are listed, to bound memory.
 CHUNK = 1 << 20
 #: A worker forgets words when their number or their bytes pass these bounds.
-MAX_WORDS, MAX_WORD_BYTES = 400_000, 32 << 20
+MAX_WORDS, MAX_WORD_BYTES = 150_000, 24 << 20
 #: Rows of an Arrow batch where the session has Spark's default of 10,000, which is large for whole texts.
 BATCH_ROWS = 1000
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -101,8 +101,9 @@ class Words(dict):
     """Numbers distinct words from 0 in order of sight; fresh holds those not yet seen by the operator, which keeps what
     it knows of a word under its number. A worker may keep one over many tasks."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int | None = None) -> None:
         super().__init__()
+        self.most = MAX_WORDS if most is None else most
         self.fresh: list[bytes] = []
         self.bytes = 0
         self.seen = np.zeros(1 << 14, np.int64)
@@ -114,14 +115,14 @@ class Words(dict):
         return n
 
     def full(self) -> bool:
-        return len(self) > MAX_WORDS or self.bytes > MAX_WORD_BYTES
+        return len(self) > self.most or self.bytes > MAX_WORD_BYTES
 
     def evict(self) -> np.ndarray:
         """Forgets words seen once, and the rarer half beyond that; the old numbers of those kept, in their new order.
         To be called with no fresh words, before new ones are numbered."""
         words, seen = list(self), self.seen[: len(self)]
         keep = np.flatnonzero(seen > 1)
-        most = MAX_WORDS // 3
+        most = self.most // 3
         if len(keep) > most:
             keep = np.sort(keep[np.argsort(-seen[keep], kind="stable")[:most]])
         self.clear()
@@ -146,6 +147,19 @@ class Words(dict):
         self.seen[: len(self)] += np.bincount(ids, minlength=len(self))
 
 
+#: What a worker keeps over its tasks: one operator's knowledge at a time, so that stages don't add up.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make):
+    """The worker's object for key, made anew unless it is the one kept; another one is let go."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        give_back()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def looked_up(table: dict, body: bytes) -> np.ndarray:
     """Each word's value in table, 0 for those outside it."""
     found = [np.array(list(map(table.get, w, repeat(0))), dtype=np.int32) for w in map(bytes.split, pieces(body))]

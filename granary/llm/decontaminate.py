@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ALNUM, groups, looked_up, small_batches, texts, trimmed
+from granary.llm.common import ALNUM, groups, kept, looked_up, small_batches, texts, trimmed
 
 #: Windows in one broadcast; about 120 bytes each in a worker.
 MAX_WINDOWS = 500_000
@@ -174,6 +174,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: floa
     small_batches(docs.sparkSession)
 
     def run(batches):
+        kept(("decontamination",), list)  # nothing of its own, but other operators' memory is let go
         for batch in trimmed(batches):
             old = batch.column(at).to_pylist()
             keep, new, rest = [True] * len(old), list(old), list(range(len(old)))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, groups, grown, small_batches, texts, trimmed
+from granary.llm.common import Words, groups, grown, kept, small_batches, texts, trimmed
 
 PER_LANG, SPAN = 400, 120
 #: At most so many languages are learned, the most frequent ones: the model's size is bounded by it.
@@ -252,10 +252,11 @@ class Emissions:
 
 
 def emissions(model: Crf) -> Emissions:
-    """The worker's, kept with the broadcast model over its tasks."""
-    if getattr(model, "known", None) is None:
-        model.known = Emissions(model)
-    return model.known
+    """The worker's, kept over its tasks with the same broadcast model."""
+    known = kept(("langid", id(model)), lambda: Emissions(model))
+    if known.model is not model:  # another model at the same address
+        known.__init__(model)
+    return known
 
 
 def scored(known: Emissions, bodies: list[bytes]):

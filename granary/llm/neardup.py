@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, groups, grown, mix, stored, texts, trimmed
+from granary.llm.common import Words, groups, grown, kept, mix, stored, texts, trimmed
 from granary.llm.components import components
 
 CHUNKS, WIDTH, BITS = 8, 4, 16
@@ -100,7 +100,7 @@ def signatures(sets: list[np.ndarray], size: int = SYMBOLS) -> np.ndarray:
 
 def sketched(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
-        shingler = Shingler(n)
+        shingler = kept(("neardup", n), lambda: Shingler(n))
         for ids, bodies in groups(batches, 1 << 20):
             sets = shingler.sets(bodies)
             some = [i for i, s in enumerate(sets) if len(s)]
@@ -285,7 +285,7 @@ def shingled(rows: DataFrame, n: int) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("shingles", kind), ("long", pa.binary())])
 
     def run(batches):
-        shingler = Shingler(n)
+        shingler = kept(("neardup", n), lambda: Shingler(n))
         for batch in trimmed(batches):
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, groups, grown, texts
+from granary.llm.common import Words, groups, grown, kept, texts
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -28,6 +28,8 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.
 MARK = "\x01"
 
 
+#: Words that a worker remembers.
+MAX_WORDS = 400_000
 #: Words of these characters, if lower-case, go the short way: Latin letters and ASCII marks but apostrophes.
 SIMPLE = re.compile(r"[a-zà-öø-ɏªµºß!-&(-/:-@\[-`{-~]+")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -57,7 +59,7 @@ class WordIds:
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.quick = self._quick(path) if self.mark is not None else None
-        self.words, self.ids, self.used = Words(), np.zeros(1 << 16, np.uint32), 0
+        self.words, self.ids, self.used = Words(MAX_WORDS), np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _quick(self, path: str):
@@ -131,17 +133,6 @@ class WordIds:
         return ids, np.diff(total[np.concatenate([[0], np.cumsum([len(x) for x in each])])])
 
 
-#: A worker's encoders, kept over its tasks.
-_CODERS: dict[str, WordIds] = {}
-
-
-def coder_of(path: str) -> WordIds:
-    if path not in _CODERS:
-        _CODERS.clear()
-        _CODERS[path] = WordIds(path)
-    return _CODERS[path]
-
-
 def lowered(body: bytes) -> bytes:
     """A-Z lower-cased, as the tokenizer does itself, for fewer distinct words; where combining marks (U+0300 to
     U+036F) occur the text is left to the tokenizer, which composes letters before it lowers them."""
@@ -161,7 +152,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int
         raise ValueError("max_len must be a power of two")
 
     def run(batches):
-        coder, number = coder_of(tokenizer_path), TaskContext.get().partitionId() << 40
+        coder, number = kept(("packing", tokenizer_path), lambda: WordIds(tokenizer_path)), TaskContext.get().partitionId() << 40
         for doc_ids, bodies in groups(batches):
             ids, counts = coder.encode(bodies)
             raw, last, at = ids.astype("<u4").tobytes(), int(end_id).to_bytes(4, "little"), 0

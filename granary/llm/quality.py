@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, groups, grown, stored, texts, trimmed
+from granary.llm.common import Words, groups, grown, kept, stored, texts, trimmed
 
 BUCKETS, DIMS, NONZERO, WINDOW = 4096, 32, 4, 2
 HIDDEN, SAMPLE, EPOCHS, SEED = 24, 12_000, 40, 11
@@ -69,14 +69,8 @@ class Units:
         return each
 
 
-#: A worker's, kept over its tasks.
-_UNITS: list[Units] = []
-
-
 def worker_units() -> Units:
-    if not _UNITS:
-        _UNITS.append(Units())
-    return _UNITS[0]
+    return kept(("quality",), Units)
 
 
 def contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
