@@ -242,8 +242,11 @@ def filtered(kept: DataFrame, max_bits: int) -> Filter:
                 each = np.repeat(np.arange(len(k)), n)
                 lv = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + 1
                 at = np.unique(Filter.places(k[each], lv, size))
-                np.bitwise_or.at(part, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-                some = some or len(at) > 0
+                if len(at):
+                    byte, bit = (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+                    first = np.flatnonzero(np.diff(byte, prepend=-1))  # bits are in order: those of a byte stand together
+                    part[byte[first]] |= np.bitwise_or.reduceat(bit, first)
+                    some = True
         if some:
             for i in range(SLICES):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part[i * per // 8 : (i + 1) * per // 8].tobytes()], pa.binary())], schema=schema)
@@ -351,8 +354,9 @@ def score(docs: DataFrame, counts: DataFrame, model, id_col: str = "doc_id", tex
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
     rows = body.mapInArrow(run, kinds)
     own = F.startswith("key", F.lit(" ")) & F.col("known").isNotNull()
-    # only words outside the broadcast table are looked for in the counts
-    joined = rows.join(counts.withColumnRenamed("word", "key"), "key", "left")
+    # only words outside the broadcast table are looked for in the counts; each has one row there, so a partition's
+    # hash table is bounded by its share of the distinct words, and neither side is sorted
+    joined = rows.join(counts.withColumnRenamed("word", "key").hint("shuffle_hash"), "key", "left")
     c = F.coalesce("c", F.lit(0))
     alone = F.col("n") * F.log10((c + 1) / denominator)
     # the score had c = 0 for these words, and their true count raises it by so much
