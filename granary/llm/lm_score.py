@@ -1,21 +1,25 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counting.  Words and the end of each training text are counted by tasks, summed by group-by and written to the
-shared folder: exact counts c, their sum N, their number V.  The FREQUENT most frequent words are broadcast (a
-bounded table); bigrams of them are counted likewise, those seen twice or more are kept.
+Counting.  Words, bigrams and text ends of the training rows are counted by tasks, batch by batch, under 64-bit hashes.
+Every hash belongs to one of a number of slices that grows with the table (SHARE bytes of text each).  A batch sends
+each slice its distinct hashes and their counts; the slice adds them up, so a frequent word costs a batch one entry, and
+no task sees more than a slice.  Exact counts c of all words, their sum N and their number V come from there.
 
-The filter.  A count c is quantised to q(c) = 1 + floor(log_b c), and the n-gram is entered once for each level from
-1 to q(c), so a count is read by probing levels until one is missing.  Entered are the bigrams' counts and, for
-every history, the count mass of its kept bigrams (rounded up), from which its back-off weight follows.  The bits are
-set in slices by tasks; the filter's size follows the number of entries and is bounded by MAX_BITS: beyond it
-the bigrams of least count are left out of the model.
+The filter.  Bigrams seen twice or more are entered in their slice's filter.  A count c is quantised to
+q(c) = 1 + floor(log_b c), and the bigram is entered once for each level from 1 to q(c), so a count is read by probing
+levels until one is missing.  A slice's filter has the size its entries need: nothing is left out.  The count mass M(h)
+of a history's kept bigrams, less the discounts, goes to the slice of the history.
 
-Probability.  With D the discount, q() the greatest count that a level promises and M(h) the kept mass,
+Probability.  With D the discount and q() the least count of the level that was read,
     p(w | h) = max(q(h w) - D, 0) / c(h) + (1 - M(h) / c(h)) p(w),    p(w) = (c(w) + 1) / (N + V + 1),
 which sums to 1 at most over words: the filter's counts are never above the true ones but for false positives.
 
-Base.  Sums of log10((c + 1) / (N + V + 1)) are exact: counts of frequent words come from the broadcast table, the
-other words of each text are joined to the count table by word, after they are counted per text.
+Scoring.  A batch of texts asks each slice for the counts and masses of its distinct words and the levels of its
+distinct bigrams; the answers meet the batch's token numbers again by the batch's own number.  Nothing is broadcast or
+gathered on the driver but N and V.
+
+Base.  Sums of log10((c + 1) / (N + V + 1)) take the same exact counts.  Two of a billion words share their 64-bit hash
+with a chance of some per cent; bigrams are told apart by 48 bits, of which the slice takes a part.
 
 Defined cases: a null text counts as empty (one token, its end); rows of a null doc_id are training rows; repeated
 rows train each on its own and get equal scores; without training rows N = V = 0 and every c is 0; other columns
@@ -24,8 +28,7 @@ are not read.
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import repeat
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import groups, mix, pieces, stored, trimmed
+from granary.llm.common import groups, mix, pieces, stored
 
-#: Words in the broadcast table (about 100 bytes each), bits of the filter, slices in which it is made.
-FREQUENT, MAX_BITS, SLICES = 250_000, 1 << 28, 64
+#: Bytes of text for each slice, of a training batch and of a batch that is scored.
+SHARE, TRAIN_BYTES, SCORE_BYTES = 8 << 20, 16 << 20, 8 << 20
 HASHES, BITS_PER_ENTRY, DISCOUNT, BASE = 4, 9, 0.6, 2.0
 #: The end of a text as a token: no word holds a space.
 END = " "
@@ -58,6 +61,21 @@ class Filter:
     def __init__(self, bits: np.ndarray, size: int) -> None:
         self.bits, self.size = bits, size
 
+    @classmethod
+    def of(cls, keys: np.ndarray, q: np.ndarray, bits: int = 1 << 13) -> Filter:
+        """The filter of keys with their levels, of bits bits (a power of two) or as many as the entries need."""
+        size = max(bits, 1 << (BITS_PER_ENTRY * int(q.sum())).bit_length())
+        part = np.zeros(size // 8, np.uint8)
+        for a in range(0, len(keys), 100_000):
+            k, n = keys[a : a + 100_000], q[a : a + 100_000].astype(np.int64)
+            each = np.repeat(np.arange(len(k)), n)
+            lv = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + 1
+            at = np.unique(cls.places(k[each], lv, size))
+            byte, bit = (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+            first = np.flatnonzero(np.diff(byte, prepend=-1))  # bits are in order: those of a byte stand together
+            part[byte[first]] |= np.bitwise_or.reduceat(bit, first)
+        return cls(part, size)
+
     @staticmethod
     def seeds(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
         x = mix(keys.astype(np.uint64) + np.asarray(level, np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -88,13 +106,92 @@ class Filter:
         return out
 
 
+class Answers:
+    """The levels of a batch's distinct bigrams, in the order of their keys, as the slices have answered."""
+
+    def __init__(self, level: np.ndarray) -> None:
+        self.level = level
+
+    def read(self, keys: np.ndarray) -> np.ndarray:
+        if len(keys) != len(self.level):
+            raise ValueError(f"{len(keys)} bigrams, {len(self.level)} answers")
+        return self.level
+
+
+class Sliced:
+    """The filters of all slices."""
+
+    def __init__(self, slices: list[Filter | None]) -> None:
+        self.slices = slices
+
+    def read(self, keys: np.ndarray) -> np.ndarray:
+        at, out = slice_of(keys, len(self.slices)), np.zeros(len(keys), np.int64)
+        for i, one in enumerate(self.slices):
+            if one is not None:
+                out[at == i] = one.read(keys[at == i])
+        return out
+
+
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes, the same in every process."""
+    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words]), "<u8")
+
+
 def bigram_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return (first.astype(np.int64) << 32) | second.astype(np.int64)
+    """48 bits in the upper end of 64, from the keys of two words."""
+    return mix(mix(first) + second * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(0xFFFF)
+
+
+def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each key: slices follow each other as keys do."""
+    return ((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+
+
+def cuts(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slice, from, to) of sorted keys, for slices that have some."""
+    at = slice_of(keys, slices)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[first], first, np.append(first[1:], len(at))
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """The upper 48 bits of each key."""
+    return (keys >> np.uint64(32)).astype("<u4").tobytes() + (keys >> np.uint64(16) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    return np.frombuffer(raw, "<u4", n).astype(np.uint64) << np.uint64(32) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(16)
+
+
+def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, the place of one of each, and the sums of their values."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], order[first], [np.add.reduceat(v[order], first) if len(first) else v for v in values]
 
 
-def history_keys(words: np.ndarray) -> np.ndarray:
-    """Keys of the histories' masses, apart from all bigrams'."""
-    return (np.int64(1) << 62) | words.astype(np.int64)
+class Numbers(dict):
+    """Numbers distinct words in order of sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def numbered(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of the distinct words of texts, the number among them of each token, and the tokens of each text."""
+    number, found, sizes = Numbers(), [], np.zeros(len(bodies), np.int64)
+    end = np.array([number[END.encode()]], np.int32)
+    for i, body in enumerate(bodies):
+        for part in pieces(body.lower()):
+            found.append(np.array(list(map(number.__getitem__, part.split())), np.int32))
+            sizes[i] += len(found[-1])
+        found.append(end)
+        sizes[i] += 1
+    keys, back = np.unique(word_keys(list(number)), return_inverse=True)
+    return keys, back.astype(np.int32)[np.concatenate(found)], sizes
 
 
 def rows_of(docs: DataFrame, trained, id_col: str, text_col: str) -> DataFrame:
@@ -102,267 +199,208 @@ def rows_of(docs: DataFrame, trained, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), F.coalesce(trained, F.lit(True)).alias("train"))
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """(word, c) of the training rows, END among the words. Tasks count before anything is shuffled."""
-    schema = pa.schema([("word", pa.string()), ("c", pa.int64())])
+#: What slices send and get, as bytes of arrays: kind is one of the letters below.
+KINDS = "slice int, kind string, batch long, n long, v long, a binary, b binary, c binary, d binary"
+COUNTS, WORDS, MASSES, PROBES, TEXTS, FOUND = "CWMPTF"
+SCHEMA = pa.schema([("slice", pa.int32()), ("kind", pa.string()), ("batch", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), *((x, pa.binary()) for x in "abcd")])
 
-    def run(batches):
-        counts: Counter = Counter()
 
-        def out():
-            batch = pa.RecordBatch.from_arrays([utf8(pa.array(list(counts), pa.binary())), pa.array(list(counts.values()), pa.int64())], schema=schema)
-            counts.clear()
-            return batch
+def message(slice_: int, kind: str, *parts: bytes, batch: int = 0, n: int = 0, v: int = 0) -> pa.RecordBatch:
+    row = [slice_, kind, batch, n, v, *parts, *[b""] * (4 - len(parts))]
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, SCHEMA)], schema=SCHEMA)
 
-        ends = 0
-        for batch in trimmed(batches):
-            for body in batch.column(0):
-                ends += 1
-                for part in pieces(body.as_py().lower()):
-                    counts.update(part.split())
-                if len(counts) > 500_000:
-                    yield out()
-        if counts:
-            yield out()
-        if ends:
-            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends], pa.int64())], schema=schema)
 
-    return rows.where("train").select("body").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def table_of(messages: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(messages, SCHEMA)
 
 
-class Model:
-    """What workers need: the frequent words (one text, a line each, so that the broadcast is small), their counts, N, V
-    and the filter."""
-
-    def __init__(self, words: bytes, c: np.ndarray, total: int, distinct: int, filter_: Filter | None) -> None:
-        self.words, self.c, self.total, self.distinct, self.filter = words, c, total, distinct, filter_
-
-    def numbers(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words.split(b"\n"))} if self.words else {}
-
-
-def utf8(words: pa.Array) -> pa.Array:
-    """Binary words as strings; broken UTF-8 is replaced."""
-    try:
-        return words.cast(pa.string())
-    except pa.ArrowInvalid:
-        return pa.array([w.decode("utf-8", "replace") for w in words.to_pylist()], pa.string())
-
-
-def numbered(counts: DataFrame, frequent: int) -> tuple[bytes, np.ndarray]:
-    """The words counted most often, frequent of them at most, and their counts: those from the least count on that
-    keeps the bound. Words over 200 bytes are left to the join."""
-    short = counts.where(F.octet_length("word") <= 200)
-    step = F.floor(F.log2("c") * 16).cast("int")  # some hundred steps at most
-    least, n = None, 0
-    for r in short.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("s")).collect():
-        if n + r.n > frequent:
-            break
-        least, n = r.c, n + r.n
-    if least is None:
-        return b"", np.zeros(1, np.int64)
-    rows = short.where(F.col("c") >= least).toArrow()  # frequent rows at most
-    order = np.lexsort((np.array(rows.column("word").to_pylist(), object), -rows.column("c").to_numpy()))
-    return b"\n".join(w.encode() for w in rows.column("word").take(pa.array(order)).to_pylist()), rows.column("c").to_numpy()[order]
-
-
-def word_numbers(number: dict[bytes, int], body: bytes, rare: Counter | None = None) -> np.ndarray:
-    """Numbers of frequent words, -1 for others, which are counted in rare."""
-    found = []
-    for part in pieces(body):
-        words = part.split()
-        ids = np.array(list(map(number.get, words, repeat(-1))), np.int32)
-        if rare is not None:
-            rare.update([words[i] for i in np.flatnonzero(ids < 0).tolist()])
-        found.append(ids)
-    return found[0] if len(found) == 1 else np.concatenate(found)
-
-
-def bigrams(rows: DataFrame, held) -> DataFrame:
-    """(key, c) of neighbouring frequent words and text ends in training rows, counted twice or more."""
-    schema = pa.schema([("key", pa.int64()), ("c", pa.int64())])
+def read(rows: list[dict], column: str, kind) -> np.ndarray:
+    """The arrays of a column, one after another."""
+    each = [kind(r[column]) if callable(kind) else np.frombuffer(r[column], kind) for r in rows]
+    return np.concatenate(each) if each else (kind(b"") if callable(kind) else np.zeros(0, kind))
 
-    def run(batches):
-        number = held.value.numbers()
-        kept, n = [], 0
-        end = np.array([number.get(END.encode(), -1)], np.int32)
-        gap = np.array([-1], np.int32)
-
-        def out():
-            keys, c = np.unique(np.concatenate(kept), return_counts=True)
-            kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c.astype(np.int64))], schema=schema)
-
-        for batch in trimmed(batches):
-            for body in batch.column(0):
-                ids = np.concatenate([gap, word_numbers(number, body.as_py().lower()), end])
-                a, b = ids[:-1], ids[1:]
-                both = (a >= 0) & (b >= 0)
-                keys = bigram_keys(a[both], b[both])
-                kept.append(keys)
-                n += len(keys)
-                if n > 4_000_000:
-                    yield out()
-                    n = 0
-        if kept:
-            yield out()
-
-    return rows.where("train").select("body").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where("c > 1")
-
-
-def filtered(kept: DataFrame, max_bits: int) -> Filter:
-    """The filter of the kept bigrams and their histories' masses. Bits are set by tasks, slice by slice."""
-    spark = kept.sparkSession
-    level = (F.floor(F.log2("c") / float(np.log2(BASE)) + 1e-9) + 1).cast("int")
-    by = kept.groupBy(level.alias("q")).agg(F.count("*").alias("n")).orderBy(F.desc("q")).collect()  # a row for each level
-    entries, least = 0, 0
-    for r in by:  # from high counts to low, as long as the filter's bound allows
-        if (entries + r.q * r.n) * BITS_PER_ENTRY > max_bits and entries:
-            least = r.q + 1
-            break
-        entries += r.q * r.n
-    used = kept.where(level >= least) if least else kept
-    mass = used.groupBy(F.shiftright("key", 32).alias("h")).agg(F.sum("c").alias("s"), F.count("*").alias("t"))
-    # the kept mass is rounded up to a level: its promise may then be above the true mass, never below
-    masses = mass.select((F.shiftleft(F.lit(1).cast("long"), 62).bitwiseOR(F.col("h"))).alias("key"), (F.floor(F.log2(F.greatest(F.lit(1.0), F.col("s") - DISCOUNT * F.col("t"))) * MASS_STEPS) + 2).cast("int").alias("q"))
-    masses = stored(masses, "masses")
-    rows = used.select("key", level.alias("q")).unionByName(masses)
-    entries += masses.agg(F.coalesce(F.sum("q"), F.lit(0))).first()[0]  # of FREQUENT histories at most
-    size = 1 << max(13, min(max_bits, int(BITS_PER_ENTRY * entries)).bit_length() - (BITS_PER_ENTRY * entries >= max_bits))
-    per = size // SLICES
-    schema = pa.schema([("slice", pa.int32()), ("bits", pa.binary())])
+
+def counted(rows: DataFrame, slices: int) -> DataFrame:
+    """Counts of words and bigrams in training rows, for each slice. Tasks count before anything is shuffled."""
 
     def run(batches):
-        part = np.zeros(size // 8, np.uint8)
-        some = False
-        for batch in trimmed(batches):
-            keys, q = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a in range(0, len(keys), 100_000):
-                k, n = keys[a : a + 100_000], q[a : a + 100_000].astype(np.int64)
-                each = np.repeat(np.arange(len(k)), n)
-                lv = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + 1
-                at = np.unique(Filter.places(k[each], lv, size))
-                if len(at):
-                    byte, bit = (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
-                    first = np.flatnonzero(np.diff(byte, prepend=-1))  # bits are in order: those of a byte stand together
-                    part[byte[first]] |= np.bitwise_or.reduceat(bit, first)
-                    some = True
-        if some:
-            for i in range(SLICES):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part[i * per // 8 : (i + 1) * per // 8].tobytes()], pa.binary())], schema=schema)
-
-    def union(table: pa.Table) -> pa.Table:
-        out = np.zeros(per // 8, np.uint8)
-        for bits in table.column("bits"):
-            out |= np.frombuffer(bits.as_buffer(), np.uint8)
-        return pa.table([pa.array([table.column("slice")[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], schema=schema)
-
-    # each of a bounded number of tasks sets its bits; slices of all tasks are joined by bitwise or
-    setters = max(1, min(16, -(-size // (1 << 25))))
-    parts = rows.coalesce(setters).mapInArrow(run, "slice int, bits binary").groupBy("slice").applyInArrow(union, "slice int, bits binary")
-    bits = np.zeros(size // 8, np.uint8)
-    for r in parts.collect():  # MAX_BITS / 8 bytes at most
-        bits[r.slice * per // 8 : (r.slice + 1) * per // 8] = np.frombuffer(bytes(r.bits), np.uint8)
-    return Filter(bits, size)
-
-
-#: Levels of a history's mass per doubling.
-MASS_STEPS = 4
-
-
-def mass_promised(level: np.ndarray) -> np.ndarray:
-    """The greatest mass of a level: level = floor(log2(mass) * MASS_STEPS) + 2."""
-    return np.where(level > 0, 2.0 ** ((level - 1.0) / MASS_STEPS), 0.0)
+        for _, bodies in groups(batches, TRAIN_BYTES):
+            keys, ids, sizes = numbered(bodies)
+            c = np.bincount(ids, minlength=len(keys)).astype("<i8")
+            inner = np.ones(len(ids), bool)
+            inner[np.cumsum(sizes) - 1] = False  # the end of a text is no history
+            at = np.flatnonzero(inner)
+            pairs, times = np.unique(ids[at].astype(np.int64) << 32 | ids[at + 1], return_counts=True)
+            h = keys[pairs >> 32]
+            both = bigram_keys(h, keys[pairs & 0xFFFFFFFF])
+            order = np.argsort(both)
+            both, h, times = both[order], h[order], times[order].astype("<i8")
+            for s, a, b in zip(*cuts(keys, slices)):
+                yield message(s, COUNTS, keys[a:b].tobytes(), c[a:b].tobytes())
+            for s, a, b in zip(*cuts(both, slices)):
+                yield message(s, PROBES, packed(both[a:b]), packed(h[a:b]), times[a:b].tobytes())
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        words, bigrams = [r for r in rows if r["kind"] == COUNTS], [r for r in rows if r["kind"] == PROBES]
+        keys, _, (c,) = summed(read(words, "a", "<u8"), read(words, "b", "<i8"))
+        both, one, (times,) = summed(read(bigrams, "a", unpacked), read(bigrams, "c", "<i8"))
+        h = read(bigrams, "b", unpacked)[one]
+        kept = np.flatnonzero(times > 1)
+        both, h, times = both[kept], h[kept], times[kept]
+        bits = Filter.of(both, levels(times)).bits
+        out = [message(rows[0]["slice"], WORDS, keys.tobytes(), c.tobytes(), bits.tobytes(), n=int(c.sum()), v=len(keys))]
+        h, _, (mass,) = summed(h, times - DISCOUNT)
+        out += [message(s, MASSES, packed(h[a:b]), mass[a:b].tobytes()) for s, a, b in zip(*cuts(h, slices))]
+        return table_of(out)
+
+    return rows.where("train").select("doc_id", "body").mapInArrow(run, KINDS).groupBy("slice").applyInArrow(add, KINDS)
+
+
+class Model:
+    """What the probability needs: keys of words in order, their counts and masses as histories, N, V and a filter."""
+
+    def __init__(self, keys: np.ndarray, c: np.ndarray, mass: np.ndarray, total: int, distinct: int, filter_) -> None:
+        self.keys, self.c, self.mass, self.total, self.distinct, self.filter = keys, c, mass, total, distinct, filter_
+
+    def numbers(self) -> dict[int, int]:
+        return {k: i for i, k in enumerate(self.keys.tolist())}
+
+
+def part_of(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Filter | None]:
+    """Word keys of a slice, their counts, their masses and the slice's filter, from the slice's messages."""
+    own = [r for r in rows if r["kind"] == WORDS]
+    sent = [r for r in rows if r["kind"] == MASSES]
+    keys, c = read(own, "a", "<u8"), read(own, "b", "<i8")
+    h, _, (m,) = summed(read(sent, "a", unpacked), read(sent, "b", "<f8"))
+    bits = np.frombuffer(own[0]["c"], np.uint8) if own else None
+    return keys, c, looked_up(h, m, keys & ~np.uint64(0xFFFF)), Filter(bits, 8 * len(bits)) if own else None
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key from sorted keys, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+class Fitted:
+    """N, V and the number of slices of a model whose slices are in a table."""
+
+    def __init__(self, counts: DataFrame, slices: int) -> None:
+        self.counts, self.slices = counts, slices
+        self.total, self.distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+
+    @property
+    def value(self) -> Model:
+        """The whole model in this process: for small tables. score() doesn't use it."""
+        by: dict[int, list[dict]] = {}
+        for r in self.counts.toArrow().to_pylist():
+            by.setdefault(r["slice"], []).append(r)
+        parts = [part_of(by.get(i, [])) for i in range(self.slices)]
+        return Model(*(np.concatenate([p[k] for p in parts]) for k in range(3)), self.total, self.distinct, Sliced([p[3] for p in parts]))
+
+
+def filtered(kept: DataFrame, bits: int) -> Filter:
+    """One filter of a small table (key, c), of at least so many bits."""
+    rows = kept.toArrow()
+    return Filter.of(rows.column("key").to_numpy(), levels(rows.column("c").to_numpy()), bits)
 
 
 def log_probabilities(model: Model, ids: np.ndarray, starts: np.ndarray, rare: float) -> np.ndarray:
-    """log10 p of each token of texts laid one after another; ids: numbers of frequent words or -1, whose probability
-    by itself is taken as that of c = 0 here (the true one is added by the join); starts: first token of each text."""
-    denominator = float(model.total + model.distinct + 1)
-    known = ids >= 0
-    c = np.where(known, model.c[np.maximum(ids, 0)], 0)
-    p = (c + 1) / denominator
-    history = np.concatenate([[-1], ids[:-1]])
-    history[starts] = -1
-    with_history = np.flatnonzero(history >= 0)
-    h = history[with_history]
-    unique, back = np.unique(h, return_inverse=True)
-    ch = np.maximum(model.c[unique], 1).astype(np.float64)
-    mass = np.minimum(mass_promised(model.filter.read(history_keys(unique))) / ch, 1.0)
-    weight = (1 - mass)[back]
-    both = known[with_history]
-    pairs, pair_back = np.unique(bigram_keys(h[both], ids[with_history][both]), return_inverse=True)
-    seen = np.maximum(promised(model.filter.read(pairs)) - DISCOUNT, 0)[pair_back]
-    add = np.zeros(len(h))
-    add[both] = seen / ch[back][both]
+    """log10 p of each token of texts laid one after another; ids: numbers of words; starts: first token of each text."""
+    p = (model.c[ids] + 1) / float(model.total + model.distinct + 1)
+    inner = np.ones(len(ids), bool)
+    inner[starts] = False
+    at = np.flatnonzero(inner)
+    h = ids[at - 1]
+    ch = np.maximum(model.c, 1).astype(np.float64)
+    weight = 1 - np.minimum(model.mass / ch, 1.0)
+    pairs, back = distinct_pairs(model.keys, h, ids[at])
+    seen = np.maximum(promised(model.filter.read(pairs)) - DISCOUNT, 0)[back]
     # a weight near 0 would forbid what was not seen: a floor keeps every text possible
-    p[with_history] = np.where(add > 0, np.minimum(add, 1.0) * (1 - rare), 0) + np.maximum(weight, rare) * p[with_history]
+    p[at] = np.minimum(seen / ch[h], 1.0) * (1 - rare) + np.maximum(weight[h], rare) * p[at]
     return np.log10(np.minimum(p, 1.0))
 
 
+def distinct_pairs(keys: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the distinct bigrams of word numbers, and which of them each bigram is."""
+    pairs, back = np.unique(first.astype(np.int64) << 32 | second, return_inverse=True)
+    found, again = np.unique(bigram_keys(keys[pairs >> 32], keys[pairs & 0xFFFFFFFF]), return_inverse=True)
+    return found, again[back]
+
+
 #: The least weight of p(w) in every context.
 FLOOR = 1e-3
 
 
-def fit(docs: DataFrame, trained, frequent: int = FREQUENT, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text"):
-    """(counts, broadcast model) from the rows for which the column trained is not false."""
+def fit(docs: DataFrame, trained, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text"):
+    """(table of slices, model) from the rows for which the column trained is not false; share: bytes of text for each
+    slice, on which no result depends but for the filter's false positives."""
     rows = rows_of(docs, trained, id_col, text_col)
-    counts = stored(counted(rows), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    words, c = numbered(counts, frequent)
-    context = docs.sparkSession.sparkContext
-    kept = stored(bigrams(rows, context.broadcast(Model(words, c, total, distinct, None))), "bigrams")
-    model = context.broadcast(Model(words, c, total, distinct, filtered(kept, max_bits)))
-    return counts, model
+    size = rows.agg(F.coalesce(F.sum(F.length("body") + 1), F.lit(0))).first()[0]
+    slices = max(1, -(-size // share))
+    counts = stored(counted(rows, slices), "counts")
+    return counts, Fitted(counts, slices)
 
 
-def score(docs: DataFrame, counts: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, base_score, score."""
-    schema = pa.schema([("key", pa.string()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-    kinds = "key string, row long, doc_id long, n long, known long, base double, score double"
+    slices, total, distinct = model.slices, model.total, model.distinct
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(batches):
-        m = model.value
-        number = m.numbers()
-        end = np.array([number.get(END.encode(), -1)], np.int32)
-        denominator = float(m.total + m.distinct + 1)
-        row = TaskContext.get().partitionId() << 40
-        for ids, bodies in groups(batches, 1 << 21):
-            rares = [Counter() for _ in bodies]
-            each = [np.concatenate([word_numbers(number, b.lower(), rare), end]) for b, rare in zip(bodies, rares)]
-            sizes = np.array([len(x) for x in each])
+    def ask(batches):
+        batch = TaskContext.get().partitionId() << 32
+        for docs_, bodies in groups(batches, SCORE_BYTES):
+            keys, ids, sizes = numbered(bodies)
             starts = np.cumsum(sizes) - sizes
-            flat = np.concatenate(each)
-            logs = log_probabilities(m, flat, starts, FLOOR)
-            c = np.where(flat >= 0, m.c[np.maximum(flat, 0)], 0)
-            base = np.where(flat >= 0, np.log10((c + 1) / denominator), 0.0)
-            rows = row + np.arange(len(ids))
-            row += len(ids)
-            # the rows themselves, under keys that are no words
-            yield pa.RecordBatch.from_arrays([pa.array([f" {i}" for i in rows.tolist()]), pa.array(rows), pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int64)), *(pa.array(np.add.reduceat(x, starts)) for x in ((c > 0).astype(np.int64), base, logs))], schema=schema)
-            if end[0] < 0:  # not among the frequent words: looked for like a rare one
-                for rare in rares:
-                    rare[END.encode()] = 1
-            words = pa.array([w for rare in rares for w in rare], pa.binary())
-            if len(words):
-                counts = np.fromiter((n for rare in rares for n in rare.values()), np.int64, len(words))
-                none = [pa.nulls(len(words), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([utf8(words), pa.array(np.repeat(rows, [len(rare) for rare in rares])), none[0], pa.array(counts), *none[1:]], schema=schema)
-
-    m = model.value
-    denominator = float(m.total + m.distinct + 1)
-    body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
-    rows = body.mapInArrow(run, kinds)
-    own = F.startswith("key", F.lit(" ")) & F.col("known").isNotNull()
-    # only words outside the broadcast table are looked for in the counts; each has one row there, so a partition's
-    # hash table is bounded by its share of the distinct words, and neither side is sorted
-    joined = rows.join(counts.withColumnRenamed("word", "key").hint("shuffle_hash"), "key", "left")
-    c = F.coalesce("c", F.lit(0))
-    alone = F.col("n") * F.log10((c + 1) / denominator)
-    # the score had c = 0 for these words, and their true count raises it by so much
-    more = F.col("n") * F.log10(c + 1.0)
-    parts = joined.select("row", "doc_id", F.when(own, F.col("n")).alias("n"), F.when(own, F.col("known")).otherwise(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"), F.when(own, F.col("base")).otherwise(alone).alias("base"), F.when(own, F.col("score")).otherwise(more).alias("score"))
-    return parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("row")
+            inner = np.ones(len(ids), bool)
+            inner[starts] = False
+            at = np.flatnonzero(inner)
+            both, _ = distinct_pairs(keys, ids[at - 1], ids[at])
+            of_words, of_both = ({s: (a, b) for s, a, b in zip(*cuts(k, slices))} for k in (keys, both))
+            for s in sorted(of_words.keys() | of_both.keys()):
+                (a, b), (c, d) = of_words.get(s, (0, 0)), of_both.get(s, (0, 0))
+                yield message(s, PROBES, keys[a:b].tobytes(), packed(both[c:d]), batch=batch)
+            # byte by byte of the numbers, as the upper ones are mostly 0
+            planes = pa.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+            sink = pa.BufferOutputStream()  # ids may be null
+            with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64()), ("n", pa.int64())])) as w:
+                w.write_batch(pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(sizes)], names=["doc_id", "n"]))
+            yield message(batch % slices, TEXTS, sink.getvalue().to_pybytes(), keys.tobytes(), planes, batch=batch)
+            batch += 1
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys, c, mass, filter_ = part_of(rows)
+        out = []
+        for r in rows:
+            if r["kind"] == TEXTS:
+                out.append(message(-1, TEXTS, r["a"], r["b"], r["c"], batch=r["batch"]))
+            elif r["kind"] == PROBES:
+                words, both = np.frombuffer(r["a"], "<u8"), unpacked(r["b"])
+                level = filter_.read(both) if filter_ is not None else np.zeros(len(both), np.int64)
+                out.append(message(r["slice"], FOUND, looked_up(keys, c, words).astype("<i8").tobytes(), looked_up(keys, mass, words).astype("<f8").tobytes(), level.astype(np.uint8).tobytes(), batch=r["batch"]))
+        return table_of(out)
+
+    def finish(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["slice"])  # the texts first, then answers as keys are in order
+        texts = pa.ipc.open_stream(rows[0]["a"]).read_all()
+        sizes = texts.column("n").to_numpy()
+        n = int(sizes.sum())
+        ids = np.ascontiguousarray(np.frombuffer(pa.decompress(rows[0]["c"], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T).view("<i4").ravel()
+        c = read(rows[1:], "a", "<i8")
+        m = Model(np.frombuffer(rows[0]["b"], "<u8"), c, read(rows[1:], "b", "<f8"), total, distinct, Answers(read(rows[1:], "c", "u1")))
+        starts = np.cumsum(sizes) - sizes
+        logs = log_probabilities(m, ids, starts, FLOOR)
+        base = np.log10((c + 1) / float(total + distinct + 1))[ids]
+        columns = [texts.column("doc_id").combine_chunks(), pa.array(sizes), *(pa.array(np.add.reduceat(x, starts)) for x in ((c > 0).astype(np.int64)[ids], base, logs))]
+        return pa.Table.from_arrays(columns, schema=schema)
+
+    rows = rows_of(docs, F.lit(True), id_col, text_col).select("doc_id", "body").mapInArrow(ask, KINDS)
+    answers = rows.unionByName(counts).groupBy("slice").applyInArrow(answer, KINDS)
+    return answers.groupBy("batch").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -371,4 +409,4 @@ def scores(docs: DataFrame) -> DataFrame:
     out_of = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     counts, model = fit(docs, ~out_of)
     out = score(docs, counts, model)
-    return out.select("doc_id", out_of.alias("held_out"), "n_tokens", "n_known", F.lit(model.value.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", out_of.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
