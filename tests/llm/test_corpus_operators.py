@@ -281,3 +281,15 @@ def test_language_model_keeps_all_levels_however_small_its_slices(spark):
         got = {r.doc_id: r.score for r in lm_score.score(docs, counts, model).collect()}
         off = [abs(got[i] - s) for (i, _), s in zip(rows, want)]
         assert np.median(off) < 1e-6 and np.mean(off) < 0.5, (share, np.mean(off), np.mean(want))  # a false positive of a filter may move a text
+
+
+def test_language_model_holds_every_word(spark):
+    """Rare words are histories and followers too, whatever the third argument."""
+    rows = [(i, f"r{i // 2} q{i // 2} common") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts, model = lm_score.fit(docs, F.lit(True), 5)
+    assert len(model.value.numbers()) == 62
+    got = {r.doc_id: (r.score, r.base_score) for r in lm_score.score(docs, counts, model).collect()}
+    want = exact_scores(rows)
+    assert np.median([abs(got[i][0] - s) for (i, _), s in zip(rows, want)]) < 1e-6
+    assert all(s > base for s, base in got.values())
