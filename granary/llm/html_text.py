@@ -308,6 +308,40 @@ def render(root: Node, depth: int = 0) -> str:
     return w.done()
 
 
+def has_cells(node: Node) -> bool:
+    """Whether cells of the row around are below node: those of a table within are its own."""
+    stack = [node]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, Node) and c.seen and c.tag != "table":
+                if c.tag in ("td", "th"):
+                    return True
+                stack.append(c)
+    return False
+
+
+def cells_of(row: Node) -> tuple[list[Node], list]:
+    """Cells of a row, also those within forms and other elements, and what else is seen in it."""
+    cells, others = [], []
+    stack: list = list(reversed(row.children))
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            if c.strip():
+                others.append(unescape(c).strip())
+        elif not c.seen:
+            continue
+        elif c.tag in ("td", "th"):
+            cells.append(c)
+        elif c.tag != "table" and has_cells(c):
+            stack.extend(reversed(c.children))
+        else:
+            whole = Node("#root", "")  # with its own tag, as it may be a table or a button
+            whole.children = [c]
+            others.append(whole)
+    return cells, others
+
+
 def rows_of(node: Node) -> tuple[list[str], list[list[Node]], list[str]]:
     """Captions, rows of cells, and other text of a table."""
     captions, rows, rest = [], [], []
@@ -322,8 +356,9 @@ def rows_of(node: Node) -> tuple[list[str], list[list[Node]], list[str]]:
         elif c.tag == "caption":
             captions.append(c)
         elif c.tag == "tr":
-            rows.append([x for x in c.children if isinstance(x, Node) and x.tag in ("td", "th") and x.seen])
-            rest += [unescape(x).strip() for x in c.children if isinstance(x, str) and x.strip()]
+            cells, others = cells_of(c)
+            rows.append(cells)
+            rest += others
         elif c.tag in ("td", "th"):
             rows.append([c])
         elif c.tag in ("thead", "tbody", "tfoot", "colgroup", "form"):

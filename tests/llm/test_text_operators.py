@@ -312,3 +312,16 @@ def test_spans_by_sql(spark):
         columns = [d[0] for d in cur.description]
         assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(cur.fetchall(), key=str)
     assert secrets.scan(docs).where("n_entropy > 0").count() > 10
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<table><tr><form><td>Name</td><td>x</td></form></tr></table>", "Name | x"),
+    ("<table><tr><table><tr><td>in</td><td>b</td></tr></table></tr></table>", "in | b"),
+    ("<table><tr><div>text</div><td>x</td></tr></table>", "text\nx"),
+    ("<table><tr><a href=q>link</a><td>x</td></tr></table>", "link\nx"),
+    ("<table><tr><center>mid</center></tr></table>", "mid"),
+    ("<table><tr><form><input type=submit value=Go><td>x</td></form></tr></table>", "Go\nx"),
+    ("<table><tr><div hidden>no</div><td>a</td><td>b</td></tr></table>", "a | b"),
+])
+def test_html_rows_keep_all_text(html, text):
+    assert html_text.visible_text(html) == text
