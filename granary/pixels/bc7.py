@@ -2,8 +2,8 @@
 
 Modes of several subsets need the format's partition shapes (64 each for two and three subsets, with their anchor
 pixels).  These tables are too large to be held here and follow no rule, so they are a parameter: Partitions.  Without
-it, blocks of one subset (modes 4, 5 and 6, which the encoder emits) are decoded, and others become opaque black, as
-blocks without a valid mode do.
+it, blocks of one subset (modes 4, 5 and 6, which the encoder emits) are decoded; decode_blocks() raises at others, and
+decode_block() makes them opaque black, as blocks without a valid mode are.
 """
 
 from __future__ import annotations
@@ -92,6 +92,11 @@ def decode_block(raw: bytes, partitions: Partitions | None = None) -> np.ndarray
 
 
 def decode_blocks(b: np.ndarray, partitions: Partitions | None = None) -> np.ndarray:
+    """(blocks, 16, 4) in RGBA. Blocks of several subsets without partitions are an error: made-up pixels would be kept."""
+    if partitions is None and len(b):
+        mode = np.log2(np.maximum(b[:, 0] & -b[:, 0].astype(np.int64), 1)).astype(int)
+        if (bad := (b[:, 0] > 0) & (np.array([m[0] for m in MODES])[mode] > 1)).any():
+            raise ValueError(f"BC7: {int(bad.sum())} blocks of several subsets, whose partition tables are not held")
     return np.stack([decode_block(row.tobytes(), partitions) for row in b]).astype(np.uint8) if len(b) else np.zeros((0, 16, 4), np.uint8)
 
 

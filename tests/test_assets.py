@@ -316,3 +316,16 @@ def test_bc7_modes():
     # a mode 6 block of one colour: both ends 127 << 1 | 1, indices 0
     block = 1 << 6 | sum(127 << 7 + 7 * k for k in range(8)) | 3 << 63
     assert (bc7.decode_block(block.to_bytes(16, "little")) == 255).all()
+
+
+@pytest.mark.parametrize("mode", (0, 1, 2, 3, 7))
+def test_bc7_of_several_subsets_is_left_alone(mode):
+    """Without partition tables such textures fail, and count as using alpha; no pixels are made up."""
+    from granary.pixels import codec
+
+    raw = (1 << mode | 0x5A << 40).to_bytes(16, "little")
+    with pytest.raises(ValueError, match="several subsets"):
+        codec.decode(raw, 4, 4, codec.BC7)
+    assert codec.alpha_in_use(raw, 4, 4, codec.BC7)
+    for other in (1 << 6, 1 << 4, 1 << 5, 0):
+        assert codec.decode(other.to_bytes(16, "little"), 4, 4, codec.BC7).shape == (4, 4, 4)
