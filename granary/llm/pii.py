@@ -7,8 +7,9 @@ an entity.  With n(e), n(t) the documents that hold entity and term, and n(e, t)
     disclosure(e, t) = log2(n(e, t) * N / (n(e) * n(t))) / log2(N / n(e)),
 
 the pointwise mutual information over the entity's own information: 1 if the term tells the entity as surely as the
-entity itself.  Only pairs that stand together in SUPPORT documents and as many different neighbourhoods count, so
-that copies of one passage are no evidence.  Terms of at least GENERALISE are spans wherever they occur; redacted()
+entity itself.  Only pairs with SUPPORT different neighbourhoods on the left, and as many on the right, count, and only
+if the fewer of them are a fifth of the distinct documents at least, so that copies of one passage are no evidence.
+Both rules cut: a pair with one fixed or empty side, or with much boilerplate around it, is lost (the SQL does so too).  Terms of at least GENERALISE are spans wherever they occur; redacted()
 generalises them to their class and removes those of at least REMOVE.
 
 Entities and pairs are counted by group-by over the places of entities alone.  A term is held by at least the texts
