@@ -5,12 +5,12 @@
    its least id; copies are never compared.
 2. Signatures are split into CHUNKS chunks.  By pigeonhole, signatures that differ in at most
    2 * CHUNKS - 1 symbols agree in some chunk up to one symbol.  Each allowed error is enumerated: a chunk gives one
-   key for each symbol left out.  Every pair under the threshold shares a key.  (A pair of similarity 0.8 is above
-   the threshold with a chance of about 1e-6; less similar pairs don't matter, as links are confirmed exactly.)
+   key for each symbol left out.  Pairs that differ in more symbols may share one too, and are kept if they do.  (A pair of
+   similarity 0.8 shares no key with a chance of about 1e-6; less similar pairs don't matter: links are exact.)
 3. Each class is compared with the least class of each of its keys, on full shingle sets, and linked classes are
    joined into components.  This settles groups of copies with as many comparisons as there are members.
 4. Keys whose members lie in several components are looked through completely.  Of small keys, the pairs between
-   different components that are within the signature threshold come out, each under its first shared key alone, and
+   different components come out, each under its first shared key alone, however much else differs, and
    are confirmed exactly.  Large keys are dealt into blocks; each pair of blocks is compared on full sets in a task
    of its own, by products of incidence matrices, and only true links between different components come out.
 5. Components of all links; the class membership is joined back on the set digest.
@@ -38,6 +38,7 @@ from granary.llm.components import components
 
 CHUNKS, WIDTH, BITS = 8, 4, 16
 SYMBOLS = CHUNKS * WIDTH
+#: Signatures that differ in no more symbols than this share a key for sure; others may.
 MAX_DISTANCE = 2 * CHUNKS - 1
 #: Classes whose ids may be broadcast (some 50 bytes each), which spares the texts a shuffle; more are joined by one.
 MAX_WANTED = 500_000
@@ -177,8 +178,6 @@ def key_pairs(rows: DataFrame, percent: int) -> DataFrame:
         least = np.minimum(n[:, None], n[None, :])
         fit = (label[:, None] != label[None, :]) & (ids[:, None] < ids[None, :]) & (100 * least >= percent * np.maximum(n[:, None], n[None, :]))
         i, j = np.nonzero(fit)
-        near = np.flatnonzero((sigs[i] != sigs[j]).sum(axis=1) <= MAX_DISTANCE)
-        i, j = i[near], j[near]
         keys = key_parts(sigs).view(np.int64)
         same = keys[i] == keys[j]
         mine = np.flatnonzero(keys[i, same.argmax(axis=1)] == key[0]) if len(i) else np.zeros(0, np.int64)  # a pair's first shared key alone brings it out

@@ -293,3 +293,13 @@ def test_language_model_holds_every_word(spark):
     want = exact_scores(rows)
     assert np.median([abs(got[i][0] - s) for (i, _), s in zip(rows, want)]) < 1e-6
     assert all(s > base for s, base in got.values())
+
+
+def test_near_pairs_with_a_shared_key_come_out_however_far(spark):
+    """Signatures that agree in one key alone, and differ in 20 of 32 symbols."""
+    a = np.arange(neardup.SYMBOLS, dtype=np.uint16)
+    b = a.copy()
+    b[12:] += 1000
+    key = int(neardup.key_parts(a[None]).view(np.int64)[0, 0])
+    rows = spark.createDataFrame([(key, 1, 1, 50, a.tobytes()), (key, 2, 2, 50, b.tobytes())], "key long, id long, label long, n long, sig binary")
+    assert [tuple(r) for r in neardup.key_pairs(rows, 80).collect()] == [(1, 2)]
