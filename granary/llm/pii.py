@@ -7,10 +7,11 @@ an entity.  With n(e), n(t) the documents that hold entity and term, and n(e, t)
     disclosure(e, t) = log2(n(e, t) * N / (n(e) * n(t))) / log2(N / n(e)),
 
 the pointwise mutual information over the entity's own information: 1 if the term tells the entity as surely as the
-entity itself.  Only pairs with SUPPORT different neighbourhoods on the left, and as many on the right, count, and only
-if the fewer of them are a fifth of the distinct documents at least, so that copies of one passage are no evidence.
-Both rules cut: a pair with one fixed or empty side, or with much boilerplate around it, is lost (the SQL does so too).  Terms of at least GENERALISE are spans wherever they occur; redacted()
-generalises them to their class and removes those of at least REMOVE.
+entity itself.  The evidence for a pair is the number of its different neighbourhoods, a neighbourhood being the words
+on the left and the right; only pairs with SUPPORT of them count, so that copies of one passage are no evidence, and
+further rows never take evidence away.  Terms of at least GENERALISE are spans wherever they occur; redacted()
+generalises them to their class and removes those of at least REMOVE.  Texts and neighbourhoods are told apart by 64-bit
+hashes; two of a billion texts share one with a chance of some per cent, which changes a count by one.
 
 Entities and pairs are counted by group-by over the places of entities alone.  A term is held by at least the texts
 that hold it near some entity, which bounds its score; only terms that pass by this bound are counted in all
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import stored
-from granary.llm.spans import SPAN, found, joined, named, searchable
+from granary.llm.spans import SPAN, apart, found, joined, named, ranked, replaced, searchable
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Possessive, and tried at starts of runs or ends of matches alone: the same matches in linear time.
@@ -80,28 +81,36 @@ def based(docs: DataFrame, text_col: str, prefix: str) -> DataFrame:
     )
 
 
-def terms(docs: DataFrame, text_col: str = "text", near: int = NEAR, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """(term, disclosure): words, lower-cased, and how strongly each reveals some entity, where that is at least
-    least. Written to the shared folder."""
+def places(docs: DataFrame, text_col: str = "text", near: int = NEAR) -> DataFrame:
+    """(entity, doc, left, right) for each place of an entity: the text's hash and the NEAR words before and after."""
     rows = based(docs.select(F.col(text_col).alias("text")), "text", "__")
-    words = lambda s: F.filter(F.regexp_extract_all(s, F.lit(WORD), F.lit(0)), lambda w: F.length(w) <= 60)
-    each = F.concat(*[F.transform(f"__{k}", lambda m, k=k: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lower(m["s"]).alias("s"))) for k in KINDS[:4]])
-    places = rows.select("__text", F.explode(each).alias("e"))
-    reach = 24 * near
-    start = F.greatest(F.lit(0), F.col("e.start") - reach)
-    before = words(F.substring(F.col("__text"), start + 1, F.col("e.start") - start))
-    after = words(F.substring(F.col("__text"), F.col("e.end") + 1, F.lit(reach)))
-    sides = places.select(
-        F.concat("e.kind", F.lit(":"), "e.s").alias("entity"),
+    each = F.concat(*[F.transform(f"__{k}", lambda m, k=k: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(k).alias("kind"), F.lower(m["s"]).alias("s"))) for k in KINDS[:4]])
+    rows = rows.select("__text", F.array_sort(each).alias("__each")).where(F.size("__each") > 0)
+    rows = rows.withColumn("__words", found(F.col("__text"), WORD))
+    of = lambda c, name: F.transform(c, lambda m: m[name])
+    # words that end before the place starts, and words that start before it ends
+    before = ranked(of("__each", "start"), of("__words", "end"), True)
+    until = ranked(of("__each", "end"), of("__words", "start"), False)
+    rows = rows.withColumn("__before", before).withColumn("__until", until)
+    e = rows.select("__text", "__words", F.explode(F.arrays_zip("__each", "__before", "__until")).alias("e"))
+    p, q = F.col("e.__before"), F.col("e.__until")
+    left = F.slice("__words", F.greatest(F.lit(1), p - near + 1), F.least(p, F.lit(near)))
+    return e.select(
+        F.concat(F.col("e.__each.kind"), F.lit(":"), F.col("e.__each.s")).alias("entity"),
         F.xxhash64("__text").alias("doc"),
-        F.slice(before, F.greatest(F.lit(1), F.size(before) - near + 1), near).alias("left"),
-        F.slice(after, 1, near).alias("right"),
+        F.transform(left, lambda m: m["s"]).alias("left"),
+        F.transform(F.slice("__words", q + 1, F.lit(near)), lambda m: m["s"]).alias("right"),
     )
-    sides = stored(sides, "places")
-    counted = sides.select("entity", "doc", F.xxhash64("left").alias("l"), F.xxhash64("right").alias("r"), F.explode(F.array_distinct(F.transform(F.concat("left", "right"), F.lower))).alias("term"))
-    # texts count once, however many copies there are; counts of distinct values are exact
-    pairs = counted.groupBy("entity", "term").agg(F.countDistinct("doc").alias("net"), F.countDistinct("l").alias("nl"), F.countDistinct("r").alias("nr"))
-    pairs = pairs.where((F.least("nl", "nr") >= support) & (5 * F.least("nl", "nr") >= F.col("net")))
+
+
+def terms(docs: DataFrame, text_col: str = "text", near: int = NEAR, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+    """(term, disclosure): words, lower-cased, and how strongly each reveals some entity, where that is at least
+    least. Written to the shared folder."""
+    sides = stored(places(docs, text_col, near), "places")
+    counted = sides.select("entity", "doc", F.xxhash64("left", "right").alias("around"), F.explode(F.array_distinct(F.transform(F.concat("left", "right"), F.lower))).alias("term"))
+    # texts and neighbourhoods count once, however many copies there are
+    pairs = counted.groupBy("entity", "term").agg(F.countDistinct("doc").alias("net"), F.countDistinct("around").alias("around"))
+    pairs = pairs.where(F.col("around") >= support)
     n = float(docs.agg(F.count_distinct(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))).first()[0])
     n_entity = sides.groupBy("entity").agg(F.countDistinct("doc").alias("ne"))
     # texts that hold the term near any entity: no more than all that hold it, so the score can only fall from here
@@ -114,7 +123,7 @@ def terms(docs: DataFrame, text_col: str = "text", near: int = NEAR, support: in
         return candidates.select("term", F.lit(0.0).alias("disclosure"))
     if n_names <= MAX_TERMS:
         names = F.broadcast(names)
-    whole = docs.select(F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    whole = docs.select(F.lower(searchable(F.col(text_col))).alias("t"))
     held = whole.select(F.xxhash64("t").alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)))).alias("term"))
     n_term = held.join(names, "term", "left_semi").groupBy("term").agg(F.countDistinct("doc").alias("nt"))
     out = candidates.join(n_term, "term").groupBy("term").agg(F.max(disclosed(n)).alias("disclosure"))
@@ -127,13 +136,13 @@ def disclosed(n: float) -> Column:
     return pmi / F.log2(F.lit(n) / F.col("ne"))
 
 
-def spanned(docs: DataFrame, revealing: DataFrame | None, text_col: str = "text", prefix: str = "__") -> DataFrame:
+def spanned(docs: DataFrame, revealing: DataFrame, text_col: str = "text", prefix: str = "__") -> DataFrame:
     """docs with {prefix}text, the base matches, {prefix}base and {prefix}spans (arrays of spans), {prefix}removed
     (those terms among the spans that are to be removed)."""
     c = lambda name: F.col(f"{prefix}{name}")
     rows = based(docs, text_col, prefix)
     rows = rows.withColumn(f"{prefix}base", F.concat(*[named(c(k), k, i) for i, k in enumerate(KINDS[:4])]).cast(SPAN))
-    n_terms = revealing.count() if revealing is not None else 0
+    n_terms = revealing.count()
     if not n_terms:
         return rows.withColumn(f"{prefix}spans", c("base")).withColumn(f"{prefix}removed", F.array().cast("array<string>"))
     by = revealing.select(F.col("term").alias(f"{prefix}term"), (F.col("disclosure") >= REMOVE).alias(f"{prefix}gone"))
@@ -150,8 +159,7 @@ def spanned(docs: DataFrame, revealing: DataFrame | None, text_col: str = "text"
     rows = rows.withColumn(f"{prefix}key", key).join(mine, f"{prefix}key", "left")
     all_words = F.when(F.size(c("terms")) > 0, found(c("text"), WORD)).otherwise(found(F.lit(""), WORD))
     rows = rows.withColumn(f"{prefix}words", all_words)
-    clear = lambda m: ~F.exists(c("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    told = F.filter(F.filter(c("words"), lambda m: F.array_contains(c("terms"), F.lower(m["s"]))), clear)
+    told = apart(F.filter(c("words"), lambda m: F.array_contains(c("terms"), F.lower(m["s"]))), c("base"))
     rows = rows.withColumn(f"{prefix}spans", F.concat(c("base"), named(told, KINDS[4], 4)).cast(SPAN))
     return rows.withColumn(f"{prefix}removed", F.coalesce(c("removed"), F.array().cast("array<string>")))
 
@@ -166,19 +174,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
 
 def redacted(docs: DataFrame, revealing: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """docs, columns and types as they were: entities become [EMAIL], [IP], [CARD] or [PHONE], revealing terms
-    [NAME] (written with a capital) or [TERM]; those to be removed vanish."""
+    [NAME] (written with a capital) or [TERM]; those to be removed vanish. revealing: from terms(), by default of docs."""
     prefix = "__pii_"
     c = lambda name: F.col(f"{prefix}{name}")
-    rows = spanned(docs, revealing, text_col, prefix)
+    rows = spanned(docs, terms(docs, text_col) if revealing is None else revealing, text_col, prefix)
 
-    def step(state: Column, span: Column) -> Column:
-        s = F.substring(c("text"), span["start"] + 1, span["end"] - span["start"])
+    def put(span: Column, s: Column) -> Column:
         general = F.when(F.rlike(s, F.lit(r"^\p{Lu}")), F.lit("[NAME]")).otherwise(F.lit("[TERM]"))
-        put = F.when(span["kind"] != "term", F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))).when(F.array_contains(c("removed"), F.lower(s)), F.lit("")).otherwise(general)
-        gap = F.substring(c("text"), state["at"] + 1, F.greatest(F.lit(0), span["start"] - state["at"]))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(span["start"] < state["at"], state["out"]).otherwise(F.concat(state["out"], gap, put)).alias("out"))
+        return F.when(span["kind"] != "term", F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))).when(F.array_contains(c("removed"), F.lower(s)), F.lit("")).otherwise(general)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    end = lambda s: F.concat(s["out"], F.substring(c("text"), s["at"] + 1, F.length(c("text"))))
-    new = F.when(F.size(c("spans")) > 0, F.aggregate(F.array_sort(c("spans")), start, step, end)).otherwise(F.col(text_col))
+    new = F.when(F.size(c("spans")) > 0, replaced(c("text"), c("spans"), put)).otherwise(F.col(text_col))
     return rows.withColumn(text_col, new).select(*docs.columns)

@@ -63,8 +63,7 @@ _WORD = r"\p{L}[\p{L}\p{M}'-]{2,}"
 
 
 def pii_sql() -> str:
-    near, reach = pii.NEAR, 24 * pii.NEAR
-    words = lambda text: f"list_filter(regexp_extract_all({text}, {_quoted(_WORD)}), lambda w: length(w) <= 60)"
+    near = pii.NEAR
     views = [
         _DOCS,
         _found("emails", "t", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -75,11 +74,15 @@ def pii_sql() -> str:
   UNION ALL SELECT r, a, b, 1, 'ip', s FROM ips WHERE len(list_filter(string_split(s, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0
   UNION ALL SELECT r, a, b, 2, 'card', s FROM (SELECT *, regexp_replace(s, '[^0-9]', '', 'g') AS g FROM cards) WHERE length(g) BETWEEN 14 AND 19 AND {_LUHN}
   UNION ALL SELECT r, a, b, 3, 'phone', s FROM phones WHERE length(regexp_replace(s, '[^0-9]', '', 'g')) BETWEEN 10 AND 15)""",
-        f"""sides AS (SELECT kind || ':' || lower(s) AS entity, t AS doc, {words(f'substr(t, greatest(0, a - {reach}) + 1, a - greatest(0, a - {reach}))')}[-{near}:] AS l, {words(f'substr(t, b + 1, {reach})')}[1:{near}] AS rt
-  FROM base JOIN d USING (r))""",
+        "entity_holders AS (SELECT * FROM d WHERE r IN (SELECT r FROM base))",
+        _found("near_words", "t", _WORD, "entity_holders"),
+        f"""sides AS (SELECT x.kind || ':' || lower(x.s) AS entity, d.t AS doc,
+    coalesce((SELECT list(w.s ORDER BY w.a) FROM near_words w WHERE w.r = x.r AND w.b <= x.a), [])[-{near}:] AS l,
+    coalesce((SELECT list(w.s ORDER BY w.a) FROM near_words w WHERE w.r = x.r AND w.a >= x.b), [])[1:{near}] AS rt
+  FROM base x JOIN d ON x.r = d.r)""",
         """near_terms AS (SELECT entity, doc, l, rt, unnest(list_distinct(list_transform(list_concat(l, rt), lambda w: lower(w)))) AS term FROM sides)""",
         f"""pairs AS (SELECT entity, term, count(DISTINCT doc) AS net FROM near_terms GROUP BY entity, term
-  HAVING least(count(DISTINCT l), count(DISTINCT rt)) >= {pii.SUPPORT} AND 5 * least(count(DISTINCT l), count(DISTINCT rt)) >= count(DISTINCT doc))""",
+  HAVING count(DISTINCT struct_pack(l := l, rt := rt)) >= {pii.SUPPORT})""",
         f"""term_docs AS (SELECT term, count(DISTINCT doc) AS nt FROM (SELECT lower(t) AS doc, unnest(list_distinct(regexp_extract_all(lower(t), {_quoted(_WORD)}))) AS term FROM d) WHERE term IN (SELECT term FROM pairs) GROUP BY term)""",
         "entity_docs AS (SELECT entity, count(DISTINCT doc) AS ne FROM sides GROUP BY entity)",
         "total AS (SELECT CAST(count(DISTINCT t) AS DOUBLE) AS n FROM d)",
