@@ -5,6 +5,8 @@ pieces of max_len first, then the binary digits of the rest in falling order.  A
 so no sequence crosses documents and none is padded; equal lengths share a bucket, from which a training
 loader draws batches of one length.  The work is a map over documents: nothing is shuffled.
 
+Ids are those of the tokenizer's plain call: the string of a special token in a text becomes that token's id.
+
 Defined cases: a null or empty text gives the one piece that holds the end id; repeated rows are packed each
 on its own; a null doc_id is carried along; an empty table gives no rows; other columns are not read.
 """
@@ -55,7 +57,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
+        # the strings of special tokens in a text become their ids, as the tokenizer has it by default
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special_bytes = [t.encode().lower() for t in self.special]
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.quick = self._quick(path) if self.mark is not None else None
@@ -63,14 +67,15 @@ class WordIds:
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _quick(self, path: str):
-        """The same model behind a split at white space, if that gives the same ids on a trial of all kinds of words."""
+        """The same model behind a split at white space, if that gives the same ids on a trial: each character that
+        simple words may have, alone, twice, and beside a letter and a mark."""
         from tokenizers import Tokenizer, pre_tokenizers
 
         quick = Tokenizer.from_file(path)
-        quick.encode_special_tokens = True
         quick.normalizer, quick.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.characters = byte_characters()
-        trial = ["thing", "été", "a,b", "(übung)", "x...", "<b>", "ñ-ñ", "..!!", "ßa;", "zest", "naïveté,"]
+        alphabet = [chr(i) for i in range(33, 0x250) if SIMPLE.fullmatch(chr(i)) and chr(i) == chr(i).lower()]
+        trial = ["naïveté,", "(übung)", "a,b"] + [w for c in alphabet for w in (c, c + c, f"th{c}ng", f"{c}ing", f"thing{c}", f"({c}", f"{c}.")]
         self.quick = quick
         same = self._quick_ids(trial)[0].tolist() == [x for w in trial for x in self.tokenizer.encode(w, add_special_tokens=False).ids]
         return quick if same else None
@@ -97,7 +102,7 @@ class WordIds:
     def _learn(self) -> None:
         fresh, self.words.fresh = [w.decode("utf-8", "replace") for w in self.words.fresh], []
         first = len(self.words) - len(fresh)
-        simple = np.array([self.quick is not None and SIMPLE.fullmatch(w) is not None and w == w.lower() for w in fresh], bool)
+        simple = np.array([self.quick is not None and SIMPLE.fullmatch(w) is not None and w == w.lower() and not any(t in w for t in self.special) for w in fresh], bool)
         self.starts = grown(self.starts, first, np.zeros(len(fresh), np.int64))
         self.lengths = grown(self.lengths, first, np.zeros(len(fresh), np.int64))
         for which, coded in ((np.flatnonzero(simple), self._quick_ids), (np.flatnonzero(~simple), self._whole_ids)):
@@ -119,11 +124,17 @@ class WordIds:
         self.ids, self.lengths = self._gather(self.words.evict())
         self.starts, self.used = np.cumsum(self.lengths) - self.lengths, len(self.ids)
 
+    def lowered(self, body: bytes) -> bytes:
+        """A-Z lower-cased, as the tokenizer does itself, for fewer distinct words; not where that could make the string
+        of a special token, nor where combining marks (U+0300 to U+036F) occur: letters are composed before."""
+        low = body.lower()
+        return body if b"\xcc" in body or b"\xcd" in body or any(t in low for t in self.special_bytes) else low
+
     def encode(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         if self.words.full():
             self._forget()
-        each = [self.words.ids(lowered(b)) for b in bodies]
+        each = [self.words.ids(self.lowered(b)) for b in bodies]
         if self.words.fresh:
             self._learn()
         words = np.concatenate(each)
@@ -133,12 +144,6 @@ class WordIds:
         return ids, np.diff(total[np.concatenate([[0], np.cumsum([len(x) for x in each])])])
 
 
-def lowered(body: bytes) -> bytes:
-    """A-Z lower-cased, as the tokenizer does itself, for fewer distinct words; where combining marks (U+0300 to
-    U+036F) occur the text is left to the tokenizer, which composes letters before it lowers them."""
-    return body if b"\xcc" in body or b"\xcd" in body else body.lower()
-
-
 def cuts(n: int, max_len: int) -> list[int]:
     """Lengths of the pieces of a document of n tokens: powers of two in falling order."""
     rest = n % max_len

@@ -150,8 +150,7 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
-    texts = ["It's a test, isn't it? <|endoftext|> ok", "", None, "ÉÀ ǰ J̌ \x01 a\x01b", "  spaced\tout\n ", "été " * 3000, "x" * 5000, "İSTANBUL ΣΑΣ"]
+    texts = ["It's a test, isn't it? <|endoftext|> ok", "a<|startoftext|>b <|ENDOFTEXT|> Hello", "", None, "ÉÀ ǰ J̌ \x01 a\x01b", "  spaced\tout\n ", "été " * 3000, "x" * 5000, "İSTANBUL ΣΑΣ"]
     pieces = packing.pack(table(spark, texts), tokenizer_path(), 256).collect()
     assert len({p.sequence_id for p in pieces}) == len(pieces)
     for i, t in enumerate(texts):
@@ -167,6 +166,21 @@ def test_packing_round_trip(spark):
     assert packing.pack(table(spark, ["a"]).limit(0), tokenizer_path()).count() == 0
 
 
+def test_ids_of_any_text_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    plain, coder = Tokenizer.from_file(tokenizer_path()), packing.WordIds(tokenizer_path())
+    assert coder.quick is not None
+    rng = np.random.default_rng(5)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", "hello", " ", "  ", "World", "'s", "don't", "\u00e9", "e\u0301", "A\u0300B", "\u00df", "\u4e2d\u6587", "\u00a0", "\u3000", "123", "x1", "...", "\n", "\t", "\x01", "\x00", "\u0130", "\U0001d4b3", "<b>"]
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 14))) for _ in range(4000)]
+    for a in range(0, len(texts), 200):
+        ids, sizes = coder.encode([t.encode() for t in texts[a : a + 200]])
+        ends = np.cumsum(sizes)
+        for t, b, n in zip(texts[a : a + 200], ends, sizes):
+            assert ids[b - n : b].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def words(t):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
