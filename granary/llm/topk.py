@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import stored, trimmed
 
-#: Queries of a broadcast, and of a block; rows of a tile, and of a shard.
-QUERIES, TILE, SHARD = 2048, 1 << 16, 4096
+#: Queries of a broadcast, and of a block; rows of a tile, and of a shard; queries that pass a shard at once.
+QUERIES, TILE, SHARD, TOGETHER = 2048, 1 << 16, 4096, 128
 SCHEMA = "query bigint, query_id bigint, vec_id bigint, score bigint"
 ARROW = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 MOST = (1 << 63) - 1
@@ -81,56 +81,66 @@ class Best:
 
 
 class Shard:
-    """Rows with the posting lists of every dimension and sign, in order of falling impact."""
+    """Rows with the posting lists of every dimension and sign. Lists of more than an eighth of the rows are held dense,
+    as the impacts of all rows (0 outside the list), the others as rows and impacts in order of falling impact."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        self.ids, self.rows = ids, rows
-        order = np.argsort(rows, axis=0, kind="stable")
-        self.lists = []
-        for d in range(rows.shape[1]):
-            by, column = order[:, d], rows[order[:, d], d]
-            low, high = np.searchsorted(column, 0, "left"), np.searchsorted(column, 0, "right")
-            up = by[high:][::-1]
-            self.lists.append(((by[:low], -column[:low]), (up, column[high:][::-1])))
-
-    def search(self, q: int, query_id: int, query: np.ndarray, best: Best, step: int = 8) -> None:
-        """query: components in the type of the rows."""
-        terms = [(abs(x), self.lists[d][1 if x > 0 else 0], d) for d, x in enumerate(query.tolist()) if x]
-        bounded = sorted(((w * l[1][0] if len(l[0]) else 0 * w, d, w, l) for w, l, d in terms), key=lambda t: (-t[0], t[1]))
-        left = [0]  # left[-1 - j]: bounds of the terms j and after
-        for bound, *_ in reversed(bounded):
-            left.append(left[-1] + bound)
-        left.reverse()
-        floor = best.floor(q)
-        essential = len(bounded)
-        if floor is not None:
-            while essential and left[essential - 1] < floor:
-                essential -= 1
-            if not essential and left[0] < floor:
-                return
-        # with no threshold, or one of 0 or less, rows in no list may get in
-        gained, seen = np.zeros(len(self.ids), self.rows.dtype), np.full(len(self.ids), floor is None or floor <= 0)
-        for _, _, weight, (rows, impacts) in bounded[:essential]:
-            gained[rows] += weight * impacts
-            seen[rows] = True
-        seen &= self.ids != query_id
-        at = np.flatnonzero(seen)
-        if floor is not None:
-            at = at[gained[at] + left[essential] >= floor]
-        dims = [d for _, d, _, _ in bounded]
-        score, j = np.zeros(len(at), self.rows.dtype), 0
-        probes = [dims[:essential]] + [dims[i : i + step] for i in range(essential, len(dims), step)]
-        for some in probes:  # exact scores: what was gained, less what is lost
-            if not len(at):
-                return
-            if some:
-                score = score + self.rows[np.ix_(at, some)] @ query[some]
-            j += len(some)
+        self.ids, self.rows, self.sides = ids, rows, []
+        for sign in (1, -1):
+            impacts = np.maximum(sign * rows, 0).T.copy()
+            n = (impacts > 0).sum(axis=1)
+            dense = np.flatnonzero(8 * n > len(rows))
+            lists = []
+            for d in np.flatnonzero((n > 0) & (8 * n <= len(rows))).tolist():
+                at = np.flatnonzero(impacts[d] > 0)
+                at = at[np.argsort(-impacts[d, at], kind="stable")]
+                lists.append((d, at, impacts[d, at]))
+            self.sides.append((sign, impacts.max(axis=1, initial=0), dense, np.ascontiguousarray(impacts[dense]), lists))
+
+    def search(self, first: int, query_ids: np.ndarray, queries: np.ndarray, best: Best, step: int = 8) -> None:
+        """Searches for queries, numbered from first, with components in the type of the rows."""
+        bounds = sum(np.maximum(sign * queries, 0) * top for sign, top, *_ in self.sides)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        size = bounds.shape[1]
+        left = np.zeros((len(queries), size + 1), self.rows.dtype)  # left[:, j]: bounds of the terms j and after
+        if size:
+            left[:, :-1] = np.cumsum(np.take_along_axis(bounds, order, axis=1)[:, ::-1], axis=1)[:, ::-1]
+        floors = [best.floor(first + q) for q in range(len(queries))]
+        essential = np.array([size if f is None else int((left[q, :-1] >= f).sum()) for q, f in enumerate(floors)], np.int64)
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.broadcast_to(np.arange(size), order.shape), axis=1)
+        weights = np.where(place < essential[:, None], queries, np.zeros_like(queries))  # of the essential terms alone
+        gained = np.zeros((len(queries), len(self.ids)), self.rows.dtype)
+        for sign, _, dense, impacts, lists in self.sides:
+            w = np.maximum(sign * weights, 0)
+            if len(dense):
+                gained = gained + w[:, dense] @ impacts
+            for d, rows, falling in lists:
+                asking = np.flatnonzero(w[:, d] > 0)
+                if len(asking):
+                    gained[np.ix_(asking, rows)] += w[asking, d][:, None] * falling
+        # exact sums of the essential terms: what was gained, less what is lost where a row's sign is another
+        exactly = weights @ self.rows.T
+        for q, floor in enumerate(floors):
+            n = int(essential[q])
+            # with no threshold, or one of 0 or less, rows in no list may get in
+            seen = self.ids != query_ids[q]
             if floor is not None:
-                keep = score + left[j] >= floor
-                at, score = at[keep], score[keep]
-        if len(at):
-            best.add(q, self.ids[at], score)
+                seen &= gained[q] + left[q, n] >= floor
+                seen &= exactly[q] + left[q, n] >= floor
+                if floor > 0:
+                    seen &= gained[q] > 0
+            at = np.flatnonzero(seen)
+            score, j = exactly[q, at], n
+            while j < size and len(at):
+                some = order[q, j : j + step]
+                score = score + self.rows[np.ix_(at, some)] @ queries[q, some]
+                j += len(some)
+                if floor is not None:
+                    keep = score + left[q, j] >= floor
+                    at, score = at[keep], score[keep]
+            if len(at):
+                best.add(first + q, self.ids[at], score)
 
 
 class Searcher:
@@ -161,8 +171,8 @@ class Searcher:
         _, query_ids, queries = self.queries[n]
         shard = Shard(ids, exact(rows, float(np.abs(queries).max(initial=0))))
         asked = queries.astype(shard.rows.dtype) if shard.rows.dtype != object else exact(queries, float("inf"))
-        for q in range(len(query_ids)):
-            shard.search(q, int(query_ids[q]), asked[q], self.best[n])
+        for a in range(0, len(query_ids), TOGETHER):
+            shard.search(a, query_ids[a : a + TOGETHER], asked[a : a + TOGETHER], self.best[n])
 
     def found(self) -> pa.Table:
         """(query, query_id, vec_id, score)."""
