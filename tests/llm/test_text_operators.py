@@ -283,6 +283,46 @@ def test_forward_backward():
         at += n
 
 
+def test_posteriors_by_enumeration(monkeypatch):
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    emit, move = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
+    weight = {p: math.exp(sum(emit[t, p[t]] for t in range(5)) + sum(move[p[t], p[t + 1]] for t in range(4))) for p in product(range(3), repeat=5)}
+    z = sum(weight.values())
+    e = langid.scaled(emit)
+    ahead, back = langid.both_ways(e, np.arange(5), np.array([5]), move, 2)
+    pairs = langid.pair_posteriors(e, ahead, back, move, np.arange(1, 5))
+    for t in range(5):
+        for i in range(3):
+            assert (ahead[t] * back[t] / (ahead[t] @ back[t]))[i] == pytest.approx(sum(w for p, w in weight.items() if p[t] == i) / z)
+            for j in range(3):
+                assert t == 4 or pairs[t, i, j] == pytest.approx(sum(w for p, w in weight.items() if (p[t], p[t + 1]) == (i, j)) / z)
+    # little room: blocks grow and groups of blocks follow each other
+    monkeypatch.setattr(langid, "ROOM", 300)
+    lengths = np.array([500, 0, 3, 170])
+    emit = rng.normal(size=(673, 3))
+    want = np.concatenate([chain_posteriors(emit[:500], move), chain_posteriors(emit[500:503], move), chain_posteriors(emit[503:], move)])
+    assert np.abs(langid.posteriors(emit, move, lengths) - want).max() < 1e-9
+    mean = langid.means(langid.scaled(emit), np.arange(673), lengths, move)
+    assert np.abs(mean - np.array([want[:500].mean(axis=0), np.zeros(3), want[500:503].mean(axis=0), want[503:].mean(axis=0)])).max() < 1e-9
+
+
+def test_many_languages_and_words_without_spaces(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(70 * 6):
+        syllables = [chr(0x4E00 + 40 * (i % 70) + k) for k in range(20)]
+        rows.append((i, " ".join("".join(rng.choice(syllables, 4)) for _ in range(12)), f"l{i % 70:02d}"))
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 70
+    run = lambda k, n: "".join(rng.choice([chr(0x4E00 + 40 * k + j) for j in range(20)], n))
+    texts = [run(3, 20) + run(9, 4960) + run(3, 20), run(69, 5000), run(5, 41)]
+    out = {r.doc_id: r.lang_pred for r in langid.identify(table(spark, texts), model).collect()}
+    assert out == {0: "l09", 1: "l69", 2: "l05"}
+    assert langid.spaced(("a" * 85 + " b").encode()).split() == [b"a" * 40, b"a" * 40, b"a" * 5, b"b"]
+
+
 def test_languages_held_out(spark):
     rng = np.random.default_rng(1)
     pools = {"aa": ["tha", "ing", "wer", "and"], "bb": ["ción", "que", "ar", "los"], "cc": ["üng", "sch", "keit", "der"]}
@@ -306,7 +346,7 @@ def test_languages_held_out(spark):
     model = langid.train(docs)
     known = langid.Emissions(model)
     (numbers,) = known.of(["thaing weran inging, ciónque losar arque".encode()])
-    post = langid.posteriors(known.rows[numbers], model.move, np.array([6]))
+    post = langid.posteriors(np.log(known.rows[numbers]), model.move, np.array([6]))
     assert [model.langs[k] for k in post.argmax(axis=1)] == ["aa"] * 3 + ["bb"] * 3
 
 
