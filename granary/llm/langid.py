@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, groups, grown, kept, small_batches, texts, trimmed
+from granary.llm.common import Words, groups, grown, kept, mix, small_batches, texts, trimmed
 
 #: Labelled documents of each language and words of each that are learned from at most; documents in all.
 PER_LANG, SPAN, DOCUMENTS = 400, 120, 25_600
@@ -47,37 +47,44 @@ LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
-class Slots(dict):
-    """Table slots of feature names; whole words are not kept."""
-
-    def __missing__(self, name: str) -> int:
-        slot = crc32(name.encode("utf-8", "surrogatepass")) % TABLE
-        if len(name) < 6 and len(self) < 200_000:
-            self[name] = slot
-        return slot
-
-
-SLOTS = Slots()
 #: A-Z lower-cased; ASCII characters become spaces but for letters, digits, apostrophes and hyphens.
 SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 or c in b"'-" else 32 for c in range(256))
 
 
-def features(word: str) -> list[int]:
-    """Table slots of a word's features: the word itself, affixes of 1 to 4 characters, character pairs and triples, its
-    characters beyond ASCII and their script blocks; none if it has no letter."""
-    core = EDGE.sub("", word).lower()
-    if not LETTER.search(core):
-        return []
-    marked = f"<{core}>"
-    names = ["w" + core]
-    for n in (1, 2, 3, 4):
-        names += ["p" + core[:n], "s" + core[-n:]]
-    names += [marked[i : i + 2] for i in range(len(marked) - 1)]
-    names += [marked[i : i + 3] for i in range(len(marked) - 2)]
-    if not core.isascii():
-        odd = {c for c in core if c > "\x7f"}
-        names += [f"o{ord(c) >> 6}" for c in odd] + ["c" + c for c in odd]
-    return list(map(SLOTS.__getitem__, dict.fromkeys(names)))
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Table slots of words' features, one word after another, and how many each has: the word itself, affixes of 1 to 4
+    characters, character pairs and triples, its characters beyond ASCII and their script blocks; none without a letter."""
+    cores = [(w if w.isalnum() else EDGE.sub("", w)).lower() for w in words]
+    some = np.array([i for i, c in enumerate(cores) if c.isalpha() or LETTER.search(c)], np.int64)
+    cores = [cores[i] for i in some]
+    code = np.frombuffer("".join([f"<{c}>" for c in cores]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.array([len(c) for c in cores], np.int64)
+    end = np.cumsum(size + 2)
+    start, word, n = end - size - 2, np.repeat(np.arange(len(cores)), size + 2), len(code)
+    slots, owner = [np.array([crc32(c.encode("utf-8", "surrogatepass")) for c in cores], np.uint64)], [np.arange(len(cores))]
+
+    def add(kind: int, at: np.ndarray, of: np.ndarray, length: int, shift: int = 0) -> None:
+        """Features of the length characters from each of the places at."""
+        h = np.full(len(at), kind, np.uint64)
+        for j in range(length):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + (code[at + j] >> np.uint64(shift)))
+        slots.append(h)
+        owner.append(of)
+
+    for length in (2, 3):
+        at = np.flatnonzero(word[: max(0, n - length + 1)] == word[length - 1 :])
+        add(length, at, word[at], length)
+    for length in (1, 2, 3, 4):
+        long_enough = np.flatnonzero(size >= length)
+        add(10 + length, start[long_enough] + 1, long_enough, length)
+        add(20 + length, end[long_enough] - 1 - length, long_enough, length)
+    odd = np.flatnonzero(code > 0x7F)
+    add(30, odd, word[odd], 1)
+    add(31, odd, word[odd], 1, 6)
+    of = np.concatenate(owner)
+    sizes = np.zeros(len(words), np.int64)
+    sizes[some] = np.bincount(of, minlength=len(cores))
+    return (np.concatenate(slots) % np.uint64(TABLE)).astype(np.int64)[np.argsort(of, kind="stable")], sizes
 
 
 def spaced(body: bytes) -> bytes:
@@ -213,12 +220,11 @@ def fit(spans: list[tuple[str, list[str]]], epochs: int = 4, rate: float = 0.4,
         return None
     rng, k = np.random.default_rng(seed), len(langs)
     number = {lang: i for i, lang in enumerate(langs)}
-    known: dict[str, np.ndarray] = {}
+    distinct = sorted({w for _, words in spans for w in words})
+    flat, sizes = features(distinct)
+    known = dict(zip(distinct, np.split(flat, np.cumsum(sizes)[:-1])))
     coded = []
     for lang, words in spans:
-        for w in words:
-            if w not in known:
-                known[w] = np.array(features(w), np.int64)
         words = [w for w in words if len(known[w])]  # as in a prediction
         if words:
             coded.append((number[lang], words))
@@ -311,10 +317,8 @@ class Emissions:
         each = [self.words.ids(spaced(b)) for b in bodies]
         fresh, self.words.fresh = self.words.fresh, []
         for a in range(0, len(fresh), 20_000):
-            slots = [features(w.decode("utf-8", "replace")) for w in fresh[a : a + 20_000]]
-            sizes = np.array([len(x) for x in slots])
-            flat = np.array([y for x in slots for y in x], np.int64)
-            rows = np.full((len(slots), len(self.model.langs)), np.nan)
+            flat, sizes = features([w.decode("utf-8", "replace") for w in fresh[a : a + 20_000]])
+            rows = np.full((len(sizes), len(self.model.langs)), np.nan)
             some = sizes > 0
             if len(flat):
                 rows[some] = scaled(np.add.reduceat(self.model.weights[flat].astype(np.float64), np.concatenate([[0], np.cumsum(sizes[some])[:-1]])))
