@@ -1,25 +1,27 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counting.  Words, bigrams and text ends of the training rows are counted by tasks, batch by batch, under 64-bit hashes.
-Every hash belongs to one of a number of slices that grows with the table (SHARE bytes of text each).  A batch sends
-each slice its distinct hashes and their counts; the slice adds them up, so a frequent word costs a batch one entry, and
-no task sees more than a slice.  Exact counts c of all words, their sum N and their number V come from there.
-
-The filter.  Bigrams seen twice or more are entered in their slice's filter.  A count c is quantised to
-q(c) = 1 + floor(log_b c), and the bigram is entered once for each level from 1 to q(c), so a count is read by probing
-levels until one is missing.  A slice's filter has the size its entries need: nothing is left out.  The count mass M(h)
-of a history's kept bigrams, less the discounts, goes to the slice of the history.
-
-Probability.  With D the discount and q() the least count of the level that was read,
-    p(w | h) = max(q(h w) - D, 0) / c(h) + (1 - M(h) / c(h)) p(w),    p(w) = (c(w) + 1) / (N + V + 1),
-which sums to 1 at most over words: the filter's counts are never above the true ones but for false positives.
-
-Scoring.  A batch of texts asks each slice for the counts and masses of its distinct words and the levels of its
-distinct bigrams; the answers meet the batch's token numbers again by the batch's own number.  Nothing is broadcast or
+Counting.  Words (with text ends) and n-grams up to ORDER of the training rows are counted by tasks, batch by batch, under
+64-bit hashes.  Every hash belongs to one of a number of slices that grows with the table (SHARE bytes of text each).  A
+batch sends each slice its distinct hashes, as differences, and their counts; the slice adds them up, so a frequent
+word or n-gram costs a batch one entry, and no task sees more than a slice.  Exact counts c of all words, their sum N and
+their number V come from there.
+
+The filter.  All words and n-grams are entered in their slice's filter, those seen once too.  A count c is quantised
+to the level q(c) = 1 + floor(log_b c), and the n-gram is entered once for each level from 1 to q(c), so a count is read
+by probing levels until one is missing.  A slice's filter has the same number of bits for each entry: nothing is left out.
+
+Probability.  A level promises a count of at least least(l) and at most most(l).  With the strength K,
+    p(w)     = (least(w) + 1) / (N + V + 1),
+    p(w | h) = (least(h w) + K p(w | h')) / (most(h) + K),    h' being h without its first word,
+which sums to 1 at most over words, as the counts of h w sum up to that of h at most, but for the filter's false positives
+(some per cent of what is not there).  An unseen history leaves p(w | h').
+
+Scoring.  A batch of texts asks each slice for the counts of its distinct words and the levels of its distinct words
+and n-grams; the answers meet the batch's token numbers again by the batch's own number.  Nothing is broadcast or
 gathered on the driver but N and V.
 
-Base.  Sums of log10((c + 1) / (N + V + 1)) take the same exact counts.  Two of a billion words share their 64-bit hash
-with a chance of some per cent; bigrams are told apart by 48 bits, of which the slice takes a part.
+Base.  Sums of log10((c + 1) / (N + V + 1)) take the exact counts.  Two of a billion words share their 64-bit hash with a
+chance of some per cent; n-grams are told apart by 48 bits, of which the slice takes a part.
 
 Defined cases: a null text counts as empty (one token, its end); rows of a null doc_id are training rows; repeated
 rows train each on its own and get equal scores; without training rows N = V = 0 and every c is 0; other columns
@@ -40,19 +42,26 @@ from granary.llm.common import groups, mix, pieces, stored
 
 #: Bytes of text for each slice, of a training batch and of a batch that is scored.
 SHARE, TRAIN_BYTES, SCORE_BYTES = 8 << 20, 16 << 20, 8 << 20
-HASHES, BITS_PER_ENTRY, DISCOUNT, BASE = 4, 9, 0.6, 2.0
+HASHES, BITS_PER_ENTRY, BASE, STRENGTH, ORDER = 4, 9, 1.5, 4.0, 3
 #: The end of a text as a token: no word holds a space.
 END = " "
+_C = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64(0xFFFF)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
     """The level of each count of 1 or more."""
-    return 1 + np.floor(np.log2(counts) / np.log2(BASE) + 1e-9).astype(np.int64)
+    return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-def promised(level: np.ndarray) -> np.ndarray:
+def least(level: np.ndarray) -> np.ndarray:
     """The least count of a level (0 for level 0)."""
-    return np.where(level > 0, np.ceil(BASE ** (level - 1.0) - 1e-9), 0.0)
+    return np.where(level > 0, np.ceil(BASE ** (np.asarray(level, np.float64) - 1) - 1e-9), 0.0)
+
+
+def most(level: np.ndarray) -> np.ndarray:
+    """The greatest count of a level (0 for level 0)."""
+    return np.where(level > 0, least(np.asarray(level) + 1) - 1, 0.0)
 
 
 class Filter:
@@ -62,38 +71,35 @@ class Filter:
         self.bits, self.size = bits, size
 
     @classmethod
-    def of(cls, keys: np.ndarray, q: np.ndarray, bits: int = 1 << 13) -> Filter:
-        """The filter of keys with their levels, of bits bits (a power of two) or as many as the entries need."""
-        size = max(bits, 1 << (BITS_PER_ENTRY * int(q.sum())).bit_length())
-        part = np.zeros(size // 8, np.uint8)
-        for a in range(0, len(keys), 100_000):
-            k, n = keys[a : a + 100_000], q[a : a + 100_000].astype(np.int64)
-            each = np.repeat(np.arange(len(k)), n)
-            lv = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + 1
-            at = np.unique(cls.places(k[each], lv, size))
-            byte, bit = (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
-            first = np.flatnonzero(np.diff(byte, prepend=-1))  # bits are in order: those of a byte stand together
-            part[byte[first]] |= np.bitwise_or.reduceat(bit, first)
-        return cls(part, size)
+    def of(cls, keys: np.ndarray, q: np.ndarray, bits: int = BITS_PER_ENTRY) -> Filter:
+        """The filter of keys with their levels, with so many bits for each entry."""
+        size = max(64, -(-bits * int(q.sum()) // 8) * 8)
+        flags = np.zeros(size, np.uint8)
+        for level in range(1, int(q.max(initial=0)) + 1):
+            at = np.flatnonzero(q >= level)
+            for a in range(0, len(at), 1 << 18):
+                x, step = cls.seeds(keys[at[a : a + (1 << 18)]], level)
+                for i in range(HASHES):
+                    flags[cls.bit(x, step, i, size)] = 1
+        return cls(np.packbits(flags, bitorder="little"), size)
 
     @staticmethod
-    def seeds(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        x = mix(keys.astype(np.uint64) + np.asarray(level, np.uint64) * np.uint64(0xA24BAED4963EE407))
-        return x, x >> np.uint64(32) | np.uint64(1)
+    def seeds(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        x = mix(keys.astype(np.uint64) + np.uint64(level * 0xA24BAED4963EE407 & (1 << 64) - 1))
+        return x, (x << np.uint64(32) | x >> np.uint64(32)) | np.uint64(1)
 
     @staticmethod
-    def places(keys: np.ndarray, level: np.ndarray | int, size: int) -> np.ndarray:
-        """(HASHES, keys) bit numbers; size is a power of two."""
-        x, step = Filter.seeds(keys, level)
-        return np.stack([x + np.uint64(i) * step & np.uint64(size - 1) for i in range(HASHES)])
+    def bit(x: np.ndarray, step: np.ndarray, i: int, size: int) -> np.ndarray:
+        """The i-th bit's number: the upper half of a hash, scaled to the size (below 2**32)."""
+        return ((x + np.uint64(i) * step >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
 
     def has(self, keys: np.ndarray, level: int) -> np.ndarray:
         """The numbers of those keys that are in at the level."""
         x, step = self.seeds(keys, level)
-        at, mask = np.arange(len(keys)), np.uint64(self.size - 1)
+        at = np.arange(len(keys))
         for i in range(HASHES):  # most that are absent drop out at the first bit
-            bit = x[at] + np.uint64(i) * step[at] & mask
-            at = at[(self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+            bit = self.bit(x[at], step[at], i, self.size)
+            at = at[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
         return at
 
     def read(self, keys: np.ndarray) -> np.ndarray:
@@ -106,40 +112,20 @@ class Filter:
         return out
 
 
-class Answers:
-    """The levels of a batch's distinct bigrams, in the order of their keys, as the slices have answered."""
-
-    def __init__(self, level: np.ndarray) -> None:
-        self.level = level
-
-    def read(self, keys: np.ndarray) -> np.ndarray:
-        if len(keys) != len(self.level):
-            raise ValueError(f"{len(keys)} bigrams, {len(self.level)} answers")
-        return self.level
-
-
-class Sliced:
-    """The filters of all slices."""
-
-    def __init__(self, slices: list[Filter | None]) -> None:
-        self.slices = slices
-
-    def read(self, keys: np.ndarray) -> np.ndarray:
-        at, out = slice_of(keys, len(self.slices)), np.zeros(len(keys), np.int64)
-        for i, one in enumerate(self.slices):
-            if one is not None:
-                out[at == i] = one.read(keys[at == i])
-        return out
-
-
 def word_keys(words: list[bytes]) -> np.ndarray:
     """64-bit hashes, the same in every process."""
     return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words]), "<u8")
 
 
-def bigram_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """48 bits in the upper end of 64, from the keys of two words."""
-    return mix(mix(first) + second * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(0xFFFF)
+def grams(full: np.ndarray, starts: np.ndarray, order: int):
+    """(last tokens, keys) of the n-grams within texts, for each n from 2: full: the key of each token's word; starts: the
+    first token of each text. Keys have 48 bits in the upper end of 64."""
+    inside = np.arange(len(full)) - np.repeat(starts, np.diff(np.append(starts, len(full))))
+    key = full
+    for n in range(2, order + 1):
+        key = np.concatenate([np.zeros(1, np.uint64), mix(mix(key[:-1]) + full[1:] * _C)])
+        at = np.flatnonzero(inside >= n - 1)
+        yield at, key[at] & ~_LOW
 
 
 def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
@@ -154,22 +140,45 @@ def cuts(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return at[first], first, np.append(first[1:], len(at))
 
 
+def small(values: np.ndarray) -> bytes:
+    """Numbers from 0, most of them below 255: a byte each, and eight more for each of the others."""
+    large = values[values >= 255]
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + large.astype("<i8").tobytes()
+
+
+def unsmall(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    at = np.flatnonzero(out == 255)
+    out[at] = np.frombuffer(raw, "<i8", len(at), n)
+    return out
+
+
+_WIDE = (1 << 32) - 1
+
+
 def packed(keys: np.ndarray) -> bytes:
-    """The upper 48 bits of each key."""
-    return (keys >> np.uint64(32)).astype("<u4").tobytes() + (keys >> np.uint64(16) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+    """Sorted keys of 48 bits: differences of four bytes, byte by byte as the upper ones are mostly small; wider ones
+    have eight bytes at the end."""
+    step = np.diff(keys >> np.uint64(16), prepend=np.uint64(0))
+    wide = step[step >= _WIDE]
+    narrow = np.minimum(step, _WIDE).astype("<u4")
+    return len(keys).to_bytes(8, "little") + narrow.view(np.uint8).reshape(-1, 4).T.tobytes() + wide.astype("<u8").tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    n = len(raw) // 6
-    return np.frombuffer(raw, "<u4", n).astype(np.uint64) << np.uint64(32) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(16)
+    n = int.from_bytes(raw[:8], "little")
+    step = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 8).reshape(4, n).T).view("<u4").ravel().astype(np.uint64)
+    at = np.flatnonzero(step == _WIDE)
+    step[at] = np.frombuffer(raw, "<u8", len(at), 8 + 4 * n)
+    return np.cumsum(step) << np.uint64(16)
 
 
-def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys in order, the place of one of each, and the sums of their values."""
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their values."""
     order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], order[first], [np.add.reduceat(v[order], first) if len(first) else v for v in values]
+    return keys[first], np.add.reduceat(values[order], first) if len(first) else values
 
 
 class Numbers(dict):
@@ -200,13 +209,13 @@ def rows_of(docs: DataFrame, trained, id_col: str, text_col: str) -> DataFrame:
 
 
 #: What slices send and get, as bytes of arrays: kind is one of the letters below.
-KINDS = "slice int, kind string, batch long, n long, v long, a binary, b binary, c binary, d binary"
-COUNTS, WORDS, MASSES, PROBES, TEXTS, FOUND = "CWMPTF"
-SCHEMA = pa.schema([("slice", pa.int32()), ("kind", pa.string()), ("batch", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), *((x, pa.binary()) for x in "abcd")])
+KINDS = "slice int, kind string, batch long, n long, v long, a binary, b binary, c binary"
+COUNTS, GRAMS, MODEL, PROBES, TEXTS, FOUND = "CGMPTF"
+SCHEMA = pa.schema([("slice", pa.int32()), ("kind", pa.string()), ("batch", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), *((x, pa.binary()) for x in "abc")])
 
 
 def message(slice_: int, kind: str, *parts: bytes, batch: int = 0, n: int = 0, v: int = 0) -> pa.RecordBatch:
-    row = [slice_, kind, batch, n, v, *parts, *[b""] * (4 - len(parts))]
+    row = [slice_, kind, batch, n, v, *parts, *[b""] * (3 - len(parts))]
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, SCHEMA)], schema=SCHEMA)
 
 
@@ -214,69 +223,42 @@ def table_of(messages: list[pa.RecordBatch]) -> pa.Table:
     return pa.Table.from_batches(messages, SCHEMA)
 
 
-def read(rows: list[dict], column: str, kind) -> np.ndarray:
-    """The arrays of a column, one after another."""
-    each = [kind(r[column]) if callable(kind) else np.frombuffer(r[column], kind) for r in rows]
-    return np.concatenate(each) if each else (kind(b"") if callable(kind) else np.zeros(0, kind))
+def together(arrays: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.zeros(0, kind)
 
 
-def counted(rows: DataFrame, slices: int) -> DataFrame:
-    """Counts of words and bigrams in training rows, for each slice. Tasks count before anything is shuffled."""
+def counted(rows: DataFrame, slices: int, order: int, bits: int) -> DataFrame:
+    """Each slice's word keys, their counts and the filter, from training rows. Tasks count before anything is shuffled."""
 
     def run(batches):
         for _, bodies in groups(batches, TRAIN_BYTES):
             keys, ids, sizes = numbered(bodies)
-            c = np.bincount(ids, minlength=len(keys)).astype("<i8")
-            inner = np.ones(len(ids), bool)
-            inner[np.cumsum(sizes) - 1] = False  # the end of a text is no history
-            at = np.flatnonzero(inner)
-            pairs, times = np.unique(ids[at].astype(np.int64) << 32 | ids[at + 1], return_counts=True)
-            h = keys[pairs >> 32]
-            both = bigram_keys(h, keys[pairs & 0xFFFFFFFF])
-            order = np.argsort(both)
-            both, h, times = both[order], h[order], times[order].astype("<i8")
+            c = np.bincount(ids, minlength=len(keys))
             for s, a, b in zip(*cuts(keys, slices)):
-                yield message(s, COUNTS, keys[a:b].tobytes(), c[a:b].tobytes())
-            for s, a, b in zip(*cuts(both, slices)):
-                yield message(s, PROBES, packed(both[a:b]), packed(h[a:b]), times[a:b].tobytes())
+                yield message(s, COUNTS, keys[a:b].tobytes(), small(c[a:b]))
+            full = keys[ids]
+            for _, found in grams(full, np.cumsum(sizes) - sizes, order):
+                distinct, times = np.unique(found, return_counts=True)
+                for s, a, b in zip(*cuts(distinct, slices)):
+                    yield message(s, GRAMS, packed(distinct[a:b]), small(times[a:b]))
 
     def add(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        words, bigrams = [r for r in rows if r["kind"] == COUNTS], [r for r in rows if r["kind"] == PROBES]
-        keys, _, (c,) = summed(read(words, "a", "<u8"), read(words, "b", "<i8"))
-        both, one, (times,) = summed(read(bigrams, "a", unpacked), read(bigrams, "c", "<i8"))
-        h = read(bigrams, "b", unpacked)[one]
-        kept = np.flatnonzero(times > 1)
-        both, h, times = both[kept], h[kept], times[kept]
-        bits = Filter.of(both, levels(times)).bits
-        out = [message(rows[0]["slice"], WORDS, keys.tobytes(), c.tobytes(), bits.tobytes(), n=int(c.sum()), v=len(keys))]
-        h, _, (mass,) = summed(h, times - DISCOUNT)
-        out += [message(s, MASSES, packed(h[a:b]), mass[a:b].tobytes()) for s, a, b in zip(*cuts(h, slices))]
-        return table_of(out)
+        words, counts, both, times = [], [], [], []
+        for r in table.select(["kind", "a", "b"]).to_pylist():
+            if r["kind"] == COUNTS:
+                words.append(np.frombuffer(r["a"], "<u8"))
+                counts.append(unsmall(r["b"], len(words[-1])))
+            else:
+                both.append(unpacked(r["a"]))
+                times.append(unsmall(r["b"], len(both[-1])))
+        keys, c = summed(together(words, np.uint64), together(counts, np.int64))
+        found, n = summed(together(both, np.uint64), together(times, np.int64))
+        held = Filter.of(np.concatenate([keys & ~_LOW, found]), levels(np.concatenate([c, n])), bits)
+        return table_of([message(table.column("slice")[0].as_py(), MODEL, keys.tobytes(), small(c), held.bits.tobytes(), n=int(c.sum()), v=len(keys))])
 
     return rows.where("train").select("doc_id", "body").mapInArrow(run, KINDS).groupBy("slice").applyInArrow(add, KINDS)
 
 
-class Model:
-    """What the probability needs: keys of words in order, their counts and masses as histories, N, V and a filter."""
-
-    def __init__(self, keys: np.ndarray, c: np.ndarray, mass: np.ndarray, total: int, distinct: int, filter_) -> None:
-        self.keys, self.c, self.mass, self.total, self.distinct, self.filter = keys, c, mass, total, distinct, filter_
-
-    def numbers(self) -> dict[int, int]:
-        return {k: i for i, k in enumerate(self.keys.tolist())}
-
-
-def part_of(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Filter | None]:
-    """Word keys of a slice, their counts, their masses and the slice's filter, from the slice's messages."""
-    own = [r for r in rows if r["kind"] == WORDS]
-    sent = [r for r in rows if r["kind"] == MASSES]
-    keys, c = read(own, "a", "<u8"), read(own, "b", "<i8")
-    h, _, (m,) = summed(read(sent, "a", unpacked), read(sent, "b", "<f8"))
-    bits = np.frombuffer(own[0]["c"], np.uint8) if own else None
-    return keys, c, looked_up(h, m, keys & ~np.uint64(0xFFFF)), Filter(bits, 8 * len(bits)) if own else None
-
-
 def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The value of each wanted key from sorted keys, 0 where there is none."""
     if not len(keys):
@@ -286,79 +268,48 @@ def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.nd
 
 
 class Fitted:
-    """N, V and the number of slices of a model whose slices are in a table."""
+    """N, V, the number of slices and the order of a model whose slices are in a table."""
 
-    def __init__(self, counts: DataFrame, slices: int) -> None:
-        self.counts, self.slices = counts, slices
+    def __init__(self, counts: DataFrame, slices: int, order: int) -> None:
+        self.counts, self.slices, self.order = counts, slices, order
         self.total, self.distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
 
-    @property
-    def value(self) -> Model:
-        """The whole model in this process: for small tables. score() doesn't use it."""
-        by: dict[int, list[dict]] = {}
-        for r in self.counts.toArrow().to_pylist():
-            by.setdefault(r["slice"], []).append(r)
-        parts = [part_of(by.get(i, [])) for i in range(self.slices)]
-        return Model(*(np.concatenate([p[k] for p in parts]) for k in range(3)), self.total, self.distinct, Sliced([p[3] for p in parts]))
-
-
-def filtered(kept: DataFrame, bits: int) -> Filter:
-    """One filter of a small table (key, c), of at least so many bits."""
-    rows = kept.toArrow()
-    return Filter.of(rows.column("key").to_numpy(), levels(rows.column("c").to_numpy()), bits)
-
-
-def log_probabilities(model: Model, ids: np.ndarray, starts: np.ndarray, rare: float) -> np.ndarray:
-    """log10 p of each token of texts laid one after another; ids: numbers of words; starts: first token of each text."""
-    p = (model.c[ids] + 1) / float(model.total + model.distinct + 1)
-    inner = np.ones(len(ids), bool)
-    inner[starts] = False
-    at = np.flatnonzero(inner)
-    h = ids[at - 1]
-    ch = np.maximum(model.c, 1).astype(np.float64)
-    weight = 1 - np.minimum(model.mass / ch, 1.0)
-    pairs, back = distinct_pairs(model.keys, h, ids[at])
-    seen = np.maximum(promised(model.filter.read(pairs)) - DISCOUNT, 0)[back]
-    # a weight near 0 would forbid what was not seen: a floor keeps every text possible
-    p[at] = np.minimum(seen / ch[h], 1.0) * (1 - rare) + np.maximum(weight[h], rare) * p[at]
-    return np.log10(np.minimum(p, 1.0))
-
 
-def distinct_pairs(keys: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the distinct bigrams of word numbers, and which of them each bigram is."""
-    pairs, back = np.unique(first.astype(np.int64) << 32 | second, return_inverse=True)
-    found, again = np.unique(bigram_keys(keys[pairs >> 32], keys[pairs & 0xFFFFFFFF]), return_inverse=True)
-    return found, again[back]
-
-
-#: The least weight of p(w) in every context.
-FLOOR = 1e-3
+def log_probabilities(total: int, distinct: int, ids: np.ndarray, word_level: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 p of each token. ids: word numbers; word_level: by word number; found: for each n from 2 the last tokens of
+    the n-grams and their levels."""
+    p = (least(word_level) + 1)[ids] / float(total + distinct + 1)
+    history = most(word_level)[ids]  # of the (n - 1)-gram that ends at each token
+    for at, level in found:
+        p[at] = (least(level) + STRENGTH * p[at]) / (history[at - 1] + STRENGTH)
+        history = np.zeros(len(ids))
+        history[at] = most(level)
+    return np.log10(np.minimum(p, 1.0))
 
 
-def fit(docs: DataFrame, trained, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text"):
-    """(table of slices, model) from the rows for which the column trained is not false; share: bytes of text for each
-    slice, on which no result depends but for the filter's false positives."""
+def fit(docs: DataFrame, trained, share: int = SHARE, order: int = ORDER, bits: int = BITS_PER_ENTRY, id_col: str = "doc_id", text_col: str = "text") -> Fitted:
+    """The model of the rows for which the column trained is not false; share: bytes of text for each slice, bits: of the
+    filter for each entry. On both no result depends but for the filter's false positives."""
     rows = rows_of(docs, trained, id_col, text_col)
     size = rows.agg(F.coalesce(F.sum(F.length("body") + 1), F.lit(0))).first()[0]
     slices = max(1, -(-size // share))
-    counts = stored(counted(rows, slices), "counts")
-    return counts, Fitted(counts, slices)
+    return Fitted(stored(counted(rows, slices, order, bits), "counts"), slices, order)
 
 
-def score(docs: DataFrame, counts: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, base_score, score."""
-    slices, total, distinct = model.slices, model.total, model.distinct
+    slices, total, distinct, order = model.slices, model.total, model.distinct, model.order
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
+    def distinct_grams(full: np.ndarray, starts: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        each = list(grams(full, starts, order))
+        return each, np.unique(np.concatenate([k for _, k in each])) if each else np.zeros(0, np.uint64)
+
     def ask(batches):
         batch = TaskContext.get().partitionId() << 32
         for docs_, bodies in groups(batches, SCORE_BYTES):
             keys, ids, sizes = numbered(bodies)
-            starts = np.cumsum(sizes) - sizes
-            inner = np.ones(len(ids), bool)
-            inner[starts] = False
-            at = np.flatnonzero(inner)
-            both, _ = distinct_pairs(keys, ids[at - 1], ids[at])
+            _, both = distinct_grams(keys[ids], np.cumsum(sizes) - sizes)
             of_words, of_both = ({s: (a, b) for s, a, b in zip(*cuts(k, slices))} for k in (keys, both))
             for s in sorted(of_words.keys() | of_both.keys()):
                 (a, b), (c, d) = of_words.get(s, (0, 0)), of_both.get(s, (0, 0))
@@ -373,33 +324,38 @@ def score(docs: DataFrame, counts: DataFrame, model: Fitted, id_col: str = "doc_
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        keys, c, mass, filter_ = part_of(rows)
+        own = [r for r in rows if r["kind"] == MODEL]
+        keys = np.frombuffer(own[0]["a"], "<u8") if own else np.zeros(0, np.uint64)
+        c = unsmall(own[0]["b"], len(keys)) if own else np.zeros(0, np.int64)
+        bits = np.frombuffer(own[0]["c"], np.uint8) if own else None
+        read = Filter(bits, 8 * len(bits)).read if own else lambda k: np.zeros(len(k), np.int64)
         out = []
         for r in rows:
             if r["kind"] == TEXTS:
                 out.append(message(-1, TEXTS, r["a"], r["b"], r["c"], batch=r["batch"]))
             elif r["kind"] == PROBES:
-                words, both = np.frombuffer(r["a"], "<u8"), unpacked(r["b"])
-                level = filter_.read(both) if filter_ is not None else np.zeros(len(both), np.int64)
-                out.append(message(r["slice"], FOUND, looked_up(keys, c, words).astype("<i8").tobytes(), looked_up(keys, mass, words).astype("<f8").tobytes(), level.astype(np.uint8).tobytes(), batch=r["batch"]))
+                words = np.frombuffer(r["a"], "<u8")
+                out.append(message(r["slice"], FOUND, small(looked_up(keys, c, words)), small(read(words & ~_LOW)), small(read(unpacked(r["b"]))), batch=r["batch"], n=len(words)))
         return table_of(out)
 
     def finish(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["slice"])  # the texts first, then answers as keys are in order
         texts = pa.ipc.open_stream(rows[0]["a"]).read_all()
-        sizes = texts.column("n").to_numpy()
+        keys, sizes = np.frombuffer(rows[0]["b"], "<u8"), texts.column("n").to_numpy()
         n = int(sizes.sum())
         ids = np.ascontiguousarray(np.frombuffer(pa.decompress(rows[0]["c"], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T).view("<i4").ravel()
-        c = read(rows[1:], "a", "<i8")
-        m = Model(np.frombuffer(rows[0]["b"], "<u8"), c, read(rows[1:], "b", "<f8"), total, distinct, Answers(read(rows[1:], "c", "u1")))
+        c, level, of_both = (together([x(r) for r in rows[1:]], np.int64) for x in (lambda r: unsmall(r["a"], r["n"]), lambda r: unsmall(r["b"], r["n"]), lambda r: np.frombuffer(r["c"], np.uint8).astype(np.int64)))
         starts = np.cumsum(sizes) - sizes
-        logs = log_probabilities(m, ids, starts, FLOOR)
+        each, both = distinct_grams(keys[ids], starts)
+        if len(both) != len(of_both) or len(c) != len(keys):
+            raise ValueError(f"{len(both)} n-grams, {len(of_both)} answers")
+        logs = log_probabilities(total, distinct, ids, level, [(at, of_both[np.searchsorted(both, k)]) for at, k in each])
         base = np.log10((c + 1) / float(total + distinct + 1))[ids]
         columns = [texts.column("doc_id").combine_chunks(), pa.array(sizes), *(pa.array(np.add.reduceat(x, starts)) for x in ((c > 0).astype(np.int64)[ids], base, logs))]
         return pa.Table.from_arrays(columns, schema=schema)
 
     rows = rows_of(docs, F.lit(True), id_col, text_col).select("doc_id", "body").mapInArrow(ask, KINDS)
-    answers = rows.unionByName(counts).groupBy("slice").applyInArrow(answer, KINDS)
+    answers = rows.unionByName(model.counts).groupBy("slice").applyInArrow(answer, KINDS)
     return answers.groupBy("batch").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
@@ -407,6 +363,6 @@ def scores(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ids whose CRC-32 leaves 2 of
     7 are held out of training."""
     out_of = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    counts, model = fit(docs, ~out_of)
-    out = score(docs, counts, model)
+    model = fit(docs, ~out_of)
+    out = score(docs, model)
     return out.select("doc_id", out_of.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

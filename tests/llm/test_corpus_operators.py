@@ -188,35 +188,69 @@ def test_language_model_base_and_order(spark):
     assert lm_score.scores(docs.limit(0)).count() == 0
 
 
-def test_small_table_of_words_gives_the_same_base(spark):
-    rows = [(i, " ".join(f"w{(i * k) % 23}" for k in range(20))) for i in range(40)]
+def exact_scores(rows, trained=lambda i: True, order=3):
+    """Scores by plain counts of all words and n-grams, quantised as the filter does."""
+    q = lambda n: math.floor(math.log(n) / math.log(lm_score.BASE) + 1e-9) + 1 if n else 0
+    low = lambda n: math.ceil(lm_score.BASE ** (q(n) - 1) - 1e-9) if n else 0
+    high = lambda n: math.ceil(lm_score.BASE ** q(n) - 1e-9) - 1 if n else 0
+    tokens = [(i, tuple((t or "").encode().lower().split() + [b" "])) for i, t in rows]
+    c = Counter(x[k : k + n] for i, x in tokens if trained(i) for n in range(1, order + 1) for k in range(len(x) - n + 1))
+    ones = [v for g, v in c.items() if len(g) == 1]
+    total = sum(ones) + len(ones) + 1
+
+    def p(history, w):
+        shorter = p(history[1:], w) if history else None
+        return (low(c[history + (w,)]) + lm_score.STRENGTH * shorter) / (high(c[history]) + lm_score.STRENGTH) if history else (low(c[(w,)]) + 1) / total
+
+    vocabulary = [g[0] for g in c if len(g) == 1]
+    return [sum(math.log10(min(1, p(x[max(0, k - order + 1) : k], x[k]))) for k in range(len(x))) for _, x in tokens], p, vocabulary
+
+
+def lm_rows():
+    rng = np.random.default_rng(9)
+    names = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(names[int(x)] for x in np.minimum(rng.geometric(0.08, int(rng.integers(0, 60))), 59))) for i in range(200)]
+    return rows + [(500, None), (501, ""), (502, "Unseen WORDS only"), (503, "\u00e9 x w1\x0bw2"), (504, "hot pair " * 3000), (3, rows[3][1])]
+
+
+@pytest.mark.parametrize("order, share", [(1, 1 << 20), (2, 300), (3, 1 << 20), (3, 500), (4, 5000)])
+def test_model_scores_by_plain_counts(spark, order, share):
+    """Every word and n-gram has its own count, whatever the number of slices: in a filter without false positives the
+    scores are those of plain counts."""
+    rows, held = lm_rows(), lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sums = []
-    for frequent in (5, 1000):
-        counts, model = lm_score.fit(docs, F.lit(True), frequent)
-        sums.append(sorted((r.doc_id, r.n_known, round(r.base_score, 8)) for r in lm_score.score(docs, counts, model).collect()))
-    assert sums[0] == sums[1]
+    model = lm_score.fit(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, share, order, 400)
+    got = sorted((r.doc_id, r.n_tokens, round(r.score, 6)) for r in lm_score.score(docs, model).collect())
+    want, p, vocabulary = exact_scores(rows, lambda i: not held(i), order)
+    assert got == sorted((i, len((t or "").split()) + 1, round(s, 6)) for (i, t), s in zip(rows, want))
+    for history in [(b"w1",), (b"w1", b"w2"), (b"hot", b"pair"), (b"new",)]:
+        assert sum(p(history[-order + 1 :] if order > 1 else (), w) for w in vocabulary) <= 1 + 1e-9
 
 
-def test_probabilities_sum_to_one_at_most(spark):
-    rows = [(i, "a b a c a b d e a b " * 3 + f"x{i % 4}") for i in range(20)]
+def test_false_positives_are_few(spark):
+    rows = lm_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    counts, held = lm_score.fit(docs, F.lit(True))
-    m = held.value
-    words = np.arange(len(m.numbers()))
-    for h in words:
-        pairs = np.stack([np.full(len(words), h), words], axis=1).ravel()
-        logs = lm_score.log_probabilities(m, pairs, np.arange(0, len(pairs), 2), lm_score.FLOOR)
-        assert 10.0 ** logs[1::2] @ np.ones(len(words)) <= 1 + 1e-9
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm_score.score(docs, lm_score.fit(docs, F.lit(True))).collect()}
+    want, _, _ = exact_scores(rows)
+    off = [abs(got[i, len((t or "").split()) + 1] - s) for (i, t), s in zip(rows, want)]
+    assert np.median(off) < 0.2 and sum(off) < 0.02 * abs(sum(want))
+    rng = np.random.default_rng(8)
+    keys, n = rng.integers(0, 1 << 62, 20_000).astype(np.uint64), rng.integers(1, 5000, 20_000)
+    held = lm_score.Filter.of(keys, lm_score.levels(n))
+    got = held.read(keys)
+    assert (got >= lm_score.levels(n)).all() and (got == lm_score.levels(n)).mean() > 0.96
+    assert (held.read(keys + np.uint64(7)) == 0).mean() > 0.96
 
 
-def test_filter_reads_levels_back(spark):
-    rng = np.random.default_rng(8)
-    keys, counts = np.arange(500) << 32 | rng.integers(0, 99, 500), rng.integers(2, 5000, 500)
-    df = spark.createDataFrame([(int(k), int(n)) for k, n in zip(keys, counts)], "key long, c long")
-    got = lm_score.filtered(df, 1 << 22).read(keys)
-    assert (got >= lm_score.levels(counts)).all() and (got == lm_score.levels(counts)).mean() > 0.97
-    assert (lm_score.filtered(df, 1 << 22).read(keys + 7777777) == 0).mean() > 0.95
+def test_packed_keys_and_small_numbers():
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 5000):
+        keys = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64)) * np.uint64(2) & ~np.uint64(0xFFFF)
+        assert (lm_score.unpacked(lm_score.packed(np.sort(keys))) == np.sort(keys)).all()
+        numbers = rng.integers(0, 600, size)
+        assert (lm_score.unsmall(lm_score.small(numbers), size) == numbers).all()
+    counts = np.arange(1, 5000)
+    assert (lm_score.least(lm_score.levels(counts)) <= counts).all() and (counts <= lm_score.most(lm_score.levels(counts))).all()
 
 
 @pytest.fixture(scope="module")
@@ -264,50 +298,6 @@ def test_pipeline_runs_on_the_tables(spark):
     assert out.count() > 0 and out.select("sequence_id").distinct().count() == out.count()
 
 
-def exact_scores(rows):
-    """Scores by plain counts of all words and bigrams, quantised as the filter does."""
-    tokens = [(t or "").encode().lower().split() + [b" "] for _, t in rows]
-    c = Counter(w for x in tokens for w in x)
-    both = {k: n for k, n in Counter(k for x in tokens for k in zip(x, x[1:])).items() if n > 1}
-    mass = Counter()
-    for (h, _), n in both.items():
-        mass[h] += n - lm_score.DISCOUNT
-    total = sum(c.values()) + len(c) + 1
-    out = []
-    for x in tokens:
-        s = math.log10((c[x[0]] + 1) / total)
-        for h, w in zip(x, x[1:]):
-            q = 2.0 ** math.floor(math.log2(both[h, w])) - lm_score.DISCOUNT if (h, w) in both else 0
-            p = min(q / c[h], 1) * (1 - lm_score.FLOOR) + max(1 - min(mass[h] / c[h], 1), lm_score.FLOOR) * (c[w] + 1) / total
-            s += math.log10(min(p, 1))
-        out.append(s)
-    return out
-
-
-def test_language_model_keeps_all_levels_however_small_its_slices(spark):
-    """Bigrams of the least counts stay, whatever the size of a slice."""
-    rows = [(i, " ".join(f"w{(i // 2 * 7 + k * k) % 200}" for k in range(30))) for i in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = exact_scores(rows)
-    for share in (40, 2000, 1 << 20):
-        counts, model = lm_score.fit(docs, F.lit(True), share)
-        got = {r.doc_id: r.score for r in lm_score.score(docs, counts, model).collect()}
-        off = [abs(got[i] - s) for (i, _), s in zip(rows, want)]
-        assert np.median(off) < 1e-6 and np.mean(off) < 0.5, (share, np.mean(off), np.mean(want))  # a false positive of a filter may move a text
-
-
-def test_language_model_holds_every_word(spark):
-    """Rare words are histories and followers too, whatever the third argument."""
-    rows = [(i, f"r{i // 2} q{i // 2} common") for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    counts, model = lm_score.fit(docs, F.lit(True), 5)
-    assert len(model.value.numbers()) == 62
-    got = {r.doc_id: (r.score, r.base_score) for r in lm_score.score(docs, counts, model).collect()}
-    want = exact_scores(rows)
-    assert np.median([abs(got[i][0] - s) for (i, _), s in zip(rows, want)]) < 1e-6
-    assert all(s > base for s, base in got.values())
-
-
 def test_near_pairs_with_a_shared_key_come_out_however_far(spark):
     """Signatures that agree in one key alone, and differ in 20 of 32 symbols."""
     a = np.arange(neardup.SYMBOLS, dtype=np.uint16)
