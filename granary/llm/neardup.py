@@ -5,18 +5,20 @@
    its least id; copies are never compared.
 2. Signatures are split into CHUNKS chunks.  By pigeonhole, signatures that differ in at most
    2 * CHUNKS - 1 symbols agree in some chunk up to one symbol.  Each allowed error is enumerated: a chunk gives one
-   key for each symbol left out.  Pairs that differ in more symbols may share one too, and are kept if they do.  (A pair of
-   similarity 0.8 shares no key with a chance of about 1e-6; less similar pairs don't matter: links are exact.)
+   key for each symbol left out.  Pairs that differ in more symbols may share one too, and are kept if they do.
 3. Each class is compared with the least class of each of its keys, on full shingle sets, and linked classes are
    joined into components.  This settles groups of copies with as many comparisons as there are members.
-4. Keys whose members lie in several components are looked through completely.  Of small keys, the pairs between
-   different components come out, each under its first shared key alone, however much else differs, and
-   are confirmed exactly.  Large keys are dealt into blocks; each pair of blocks is compared on full sets in a task
-   of its own, by products of incidence matrices, and only true links between different components come out.
+4. Keys whose members lie in several components are looked through completely, in blocks of MEMBERS: each pair of
+   a key's blocks is a task of its own, which sees ids, signatures and longer sketches (about 250 bytes a class), never
+   sets.  A pair comes out of its first shared key alone, if its components differ and its sketches agree in
+   LEAST_AGREED of LONG places; only then its full sets are fetched and compared.
 5. Components of all links; the class membership is joined back on the set digest.
 
-Full sets are made again from the texts for classes that share a key, never for all documents; pairs are first tried
-on longer sketches, so that few sets have to travel.
+A link is lost with a chance of about 1.3e-6 at a similarity of 0.8, and less above: 1.1e-6 for sharing no key, 2e-7 for
+the sketches.  Links themselves are exact.  A key of m classes in different components costs m * m / MEMBERS rows of
+250 bytes, whatever the lengths of texts; keys whose classes are in one component cost nothing in step 4.
+
+Full sets are made again from the texts for classes that share a key, never for all documents.
 
 Defined cases: documents without words (or a null text) have no shingles and are components of their own; fewer
 words than a shingle has form one shingle; equal rows belong to one component; rows that share a doc_id count
@@ -42,8 +44,8 @@ SYMBOLS = CHUNKS * WIDTH
 MAX_DISTANCE = 2 * CHUNKS - 1
 #: Classes whose ids may be broadcast (some 50 bytes each), which spares the texts a shuffle; more are joined by one.
 MAX_WANTED = 500_000
-#: Members of a small key, and of a block of a large key, in step 4.
-MEMBERS = 256
+#: Members of a key's block in step 4.
+MEMBERS = 1024
 _RNG = np.random.default_rng(20240229)
 #: Places of the longer sketches (8 bits each), and how many must agree: a pair of similarity 0.8 agrees in fewer with a
 #: chance of about 1e-7.
@@ -161,73 +163,59 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    near = alike(pairs, sets)
-    left = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y") - common).alias("u")).where(100 * F.col("c") >= percent * F.col("u")).select("a", "b")
 
 
-def key_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Step 4 for keys of MEMBERS members or fewer: rows (key, id, label, n, sig); pairs (a, b) to be confirmed."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def agreed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places each sketch of x agrees with each of y."""
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for k in range(x.shape[1]):
+        out += x[:, k, None] == y[None, :, k]
+    return out
 
-    def run(table: pa.Table) -> pa.Table:
-        key, ids, label, n = (table.column(c).to_numpy() for c in ("key", "id", "label", "n"))
-        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        least = np.minimum(n[:, None], n[None, :])
-        fit = (label[:, None] != label[None, :]) & (ids[:, None] < ids[None, :]) & (100 * least >= percent * np.maximum(n[:, None], n[None, :]))
-        i, j = np.nonzero(fit)
-        keys = key_parts(sigs).view(np.int64)
-        same = keys[i] == keys[j]
-        mine = np.flatnonzero(keys[i, same.argmax(axis=1)] == key[0]) if len(i) else np.zeros(0, np.int64)  # a pair's first shared key alone brings it out
-        return pa.Table.from_arrays([pa.array(ids[i[mine]]), pa.array(ids[j[mine]])], schema=schema)
-
-    return rows.groupBy("key").applyInArrow(run, "a long, b long")
-
-
-def common_counts(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray, width: int = 1 << 14) -> np.ndarray:
-    """Shingles common to each set of p and each of q, by products of incidence matrices of width columns."""
-    sizes = np.array([len(s) for s in sets])
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[column]
-    row, column = row[keep], number[column[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out = np.zeros((len(p), len(q)), np.float32)
-    for a in range(0, int(shared.sum()), width):
-        lo, hi = np.searchsorted(column, (a, a + width))
-        part = np.zeros((len(sets), width), np.float32)
-        part[row[lo:hi], column[lo:hi] - a] = 1
-        out += part[p] @ part[q].T
-    return out.astype(np.int64)
-
-
-def block_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Step 4 for larger keys, a pair of blocks at a time: rows (key, low, high, block, id, label, shingles); exact
-    links (a, b) between different components. A group holds two blocks, some 2 * MEMBERS sets."""
+
+def block_pairs(rows: DataFrame, percent: int, least: int) -> DataFrame:
+    """Step 4 for a pair of a key's blocks: rows (key, low, high, block, id, label, n, sig, long); pairs (a, b) of different
+    labels to be confirmed on full sets. Each group holds two blocks at most."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        block, ids, label = (table.column(c).to_numpy() for c in ("block", "id", "label"))
-        sets = [s.values.to_numpy() for s in table.column("shingles")]
-        n = np.array([len(s) for s in sets])
-        p, q = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        if not len(p) or not len(q) or label.min() == label.max():
+        block, ids, label, n = (table.column(c).to_numpy() for c in ("block", "id", "label", "n"))
+        if label.min() == label.max():
             return schema.empty_table()
-        c = common_counts(sets, p, q)
-        fit = (label[p][:, None] != label[q][None, :]) & (100 * c >= percent * (n[p][:, None] + n[q][None, :] - c))
-        i, j = np.nonzero(fit)
-        x, y = ids[p[i]], ids[q[j]]
+        low, high, key = (table.column(c)[0].as_py() for c in ("low", "high", "key"))
+        p, q = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        long = np.frombuffer(b"".join(table.column("long").to_pylist()), np.uint8).reshape(-1, LONG)
+        keys = key_parts(np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)).view(np.int64)
+        found = []
+        for a in range(0, len(p), 128):
+            some = p[a : a + 128]
+            small, large = np.minimum(n[some][:, None], n[q]), np.maximum(n[some][:, None], n[q])
+            fit = (label[some][:, None] != label[q]) & (100 * small >= percent * large)
+            if low == high:
+                fit &= ids[some][:, None] < ids[q]
+            if fit.any():
+                i, j = np.nonzero(fit & (agreed(long[some], long[q]) >= least))
+                found.append((some[i], q[j]))
+        i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        # a pair's first shared key alone brings it out
+        mine = keys[i, (keys[i] == keys[j]).argmax(axis=1)] == key
+        x, y = ids[i[mine]], ids[j[mine]]
         return pa.Table.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
 
     return rows.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows of keys, with block, for each pair (low, high) of the key's blocks that theirs is in."""
+    blocks = F.ceil(F.col("members") / MEMBERS).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "label", "n", "sig", "long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     sketch = stored(sketched(docs, n, id_col, text_col), "sketch")
@@ -248,25 +236,20 @@ def resolved(sketch: DataFrame, docs: DataFrame, n: int, percent: int, id_col: s
     sets = stored(shingled(again, n), "sets")
 
     stars = held.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    first = stored(linked(stars, sets, percent), "links")
+    first = stored(linked(alike(stars, sets), sets, percent), "links")
     roots = components(first)
     members = held.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "members", F.coalesce("root", "id").alias("label"))
     open_keys = members.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
     rest = stored(members.join(open_keys, "key", "left_semi"), "open")
-    small = rest.where(F.col("members") <= MEMBERS).join(classes.select("id", "n", "sig"), "id").select("key", "id", "label", "n", "sig")
-    more = linked(key_pairs(small, percent).distinct(), sets, percent)
-    large = rest.where(F.col("members") > MEMBERS).join(sets.select("id", "shingles"), "id")
-    large = large.withColumn("blocks", F.ceil(F.col("members") / MEMBERS).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "label", "shingles")
-    more = more.unionByName(block_links(dealt, percent).distinct())
+    about = classes.select("id", "n", "sig").join(sets.select("id", "long"), "id").join(rest.select("id").distinct(), "id")
+    more = linked(stored(block_pairs(dealt(rest.join(about, "id")), percent, LEAST_AGREED).distinct(), "pairs"), sets, percent)
     both = first.unionByName(more).unionByName(same_ids(real, classes))
     final = components(both)
 
     named = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("root"))
-    # documents without shingles have no class: a key of their own keeps them from meeting in one task
-    own = F.coalesce("digest", F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-")).cast("binary"))
-    whole = sketch.select("doc_id", "n", own.alias("digest")).join(named, "digest", "left")
+    # documents without shingles have no class and don't take part in the join
+    some = sketch.where("n > 0").select("doc_id", "n", "digest").join(named, "digest", "left").select("doc_id", "n", "root")
+    whole = some.unionByName(sketch.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("root")))
     component = F.coalesce("root", "doc_id")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 

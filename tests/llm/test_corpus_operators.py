@@ -299,10 +299,42 @@ def test_pipeline_runs_on_the_tables(spark):
 
 
 def test_near_pairs_with_a_shared_key_come_out_however_far(spark):
-    """Signatures that agree in one key alone, and differ in 20 of 32 symbols."""
+    """Signatures that agree in one key alone, and differ in 20 of 32 symbols; of several shared keys the first counts."""
     a = np.arange(neardup.SYMBOLS, dtype=np.uint16)
     b = a.copy()
     b[12:] += 1000
-    key = int(neardup.key_parts(a[None]).view(np.int64)[0, 0])
-    rows = spark.createDataFrame([(key, 1, 1, 50, a.tobytes()), (key, 2, 2, 50, b.tobytes())], "key long, id long, label long, n long, sig binary")
-    assert [tuple(r) for r in neardup.key_pairs(rows, 80).collect()] == [(1, 2)]
+    long = bytes(range(neardup.LONG))
+    other = b"\xff" * (neardup.LONG - neardup.LEAST_AGREED + 1) + long[neardup.LONG - neardup.LEAST_AGREED + 1 :]
+    for which, ids in ((0, [(1, 2)]), (1, [])):
+        key = int(neardup.key_parts(a[None]).view(np.int64)[0, which])
+        rows = [(key, 0, 0, 0, 1, 1, 50, a.tobytes(), long), (key, 0, 0, 0, 2, 2, 50, b.tobytes(), long), (key, 0, 0, 0, 3, 3, 50, b.tobytes(), other), (key, 0, 0, 0, 4, 1, 50, a.tobytes(), long), (key, 0, 0, 0, 5, 5, 99, a.tobytes(), long)]
+        df = spark.createDataFrame(rows, "key long, low int, high int, block int, id long, label long, n long, sig binary, long binary")
+        got = sorted(tuple(r) for r in neardup.block_pairs(df.where("id <= 3 OR id = 5"), 80, neardup.LEAST_AGREED).collect())
+        assert got == [p for p in ids if p]
+
+
+def test_pairs_just_above_the_threshold_are_all_found(spark):
+    """10,000 pairs of similarity 89 / 111, each of words of its own."""
+    rows = [(2 * i + k, " ".join(f"p{i}w{j}" for j in range(11 * k, 103 + 11 * k))) for i in range(10_000) for k in (0, 1)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    assert out.where("component_id = doc_id - doc_id % 2").count() == 20_000
+
+
+def test_boilerplate_in_many_documents(spark, monkeypatch):
+    """Documents that share a third of their text and no more: keys with many members in different components."""
+    from pyspark.sql import Row
+
+    monkeypatch.setattr(neardup, "MEMBERS", 64)
+    rng = np.random.default_rng(12)
+    boilerplate = [f"b{j}" for j in range(60)]
+    rows = []
+    for i in range(500):
+        own = [f"o{i}x{j}" for j in range(40)] if i % 10 else [f"o{i // 100}x{j}" for j in range(40)] + [f"y{rng.integers(0, 10**6)}" for _ in range(3)]
+        rows.append((i, " ".join(boilerplate + own)))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == brute_components(rows, 4)
+    # a hot key: each class goes to the pairs of blocks that its own is in, no further
+    monkeypatch.undo()
+    hot = spark.range(5000).select(F.lit(7).alias("key"), "id", F.lit(5000).alias("members"), F.col("id").alias("label"), F.lit(9).alias("n"), F.lit(b"").alias("sig"), F.lit(b"").alias("long"))
+    assert neardup.dealt(hot).count() == 5000 * 5 and neardup.dealt(hot).select("low", "high").distinct().count() == 15
+    assert Row(low=0, high=0) in neardup.dealt(hot).select("low", "high").distinct().collect()
