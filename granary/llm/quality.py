@@ -1,135 +1,212 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a small calibrated network.
 
-1. Random indexing over all documents: each word (its lower-cased letters, its letter case, its trailing symbols)
-   falls in one of BUCKETS buckets, a bucket has a sparse ternary index vector made by rule, and its context vector
-   is the sum of the index vectors of its neighbours.  Tasks add their own texts up; the sums are added by group-by
-   over buckets, of which there are BUCKETS at most.
-2. A document is the pooled mean and spread of its words' vectors and the mean product of neighbours' vectors.
-3. A two-layer numpy network is trained on at most SAMPLE labelled documents (a bounded sample, by hash of the id);
+1. Random indexing over all documents: a word is the lower-cased text of a token up to its trailing symbols.  Its sparse
+   ternary index vector follows by rule from a hash of the word; its context vector is the sum of the index vectors of
+   its neighbours over the whole corpus.  Tasks add their own texts up, batch by batch, and send each slice of the hashes
+   its words' counts and sums; slices grow in number with the table, and a frequent word costs a batch one entry.
+2. A word's vector is made of its index vector and its context vector.  Those of the VOCABULARY most frequent words (a
+   bound of the broadcast, about 15 MB) are broadcast; a rarer word, whose contexts say little, has its index vector
+   alone, whatever the corpus' size.  A token adds vectors of its letter case and its trailing symbols.
+3. A document is the pooled mean and spread of its tokens' vectors and the mean product of neighbours' vectors.
+4. A two-layer numpy network is trained on at most SAMPLE labelled documents (a bounded sample, by hash of the id);
    a temperature fitted on a part held back from training calibrates its probabilities.
-4. One map scores all whole texts with the broadcast vectors and network (about 1 MB, whatever the input).
+5. One map scores all whole texts with the broadcast vectors and network.
 
 Defined cases: a null text counts as empty; texts without words get the pooled vector 0 and a score like any other;
-several labels of one doc_id make several examples; labels or ids that are null teach nothing; without both classes
-every score is the share of label 1, or 0.5 without labels; repeated rows get equal scores; other columns are not read.
+different labels of one doc_id make several examples, repeated ones a single one, and of several texts of a labelled
+doc_id one teaches; labels or ids that are null teach nothing; without both classes every score is the share of label
+1, or 0.5 without labels; where the part that trains would lack a class, all of the sample trains and the temperature is
+1; repeated rows get equal scores; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
-from zlib import crc32
+import uuid
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, groups, grown, kept, stored, texts, trimmed
+from granary.llm.common import Words, groups, grown, kept, mix, stored, texts, trimmed
 
-BUCKETS, DIMS, NONZERO, WINDOW = 4096, 32, 4, 2
+DIMS, NONZERO, WINDOW = 32, 4, 2
+#: Words whose context vectors are broadcast, about 140 bytes each; bytes of text for each slice, and of a batch.
+VOCABULARY, SHARE, BATCH = 100_000, 8 << 20, 16 << 20
 HIDDEN, SAMPLE, EPOCHS, SEED = 24, 12_000, 40, 11
-SPLIT = re.compile(r"^(.*?)([^\w]*)$", re.S)
-SHAPES = 16
-CORES = BUCKETS - 512  # the buckets before are for cores, those after for shapes and trailing symbols
 
 
-def units(word: bytes) -> tuple[int, int, int]:
-    """Buckets of a word's core, letter case and trailing symbols."""
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words]), "<u8")
+
+
+def parts(word: bytes) -> tuple[bytes, bytes, bytes]:
+    """A token's word, its letter case, and its trailing symbols."""
     text = word.decode("utf-8", "replace")
-    core, tail = SPLIT.match(text).groups()
+    n = len(text)
+    while n and not (text[n - 1].isalnum() or text[n - 1] == "_"):
+        n -= 1
+    core = text[:n]
     shape = 0 if core.islower() else 1 if core.istitle() else 2 if core.isupper() else 3 if core.isdigit() else 4 if not core else 5
-    low = core.lower().encode("utf-8", "surrogatepass")
-    return crc32(low) % CORES if low else BUCKETS - 1, CORES + shape, CORES + SHAPES + crc32(tail.encode("utf-8", "surrogatepass")) % (BUCKETS - CORES - SHAPES - 1)
+    return core.lower().encode("utf-8", "surrogatepass"), b"shape %d" % shape, b"tail " + text[n:].encode("utf-8", "surrogatepass")
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the non-zero components of each bucket's index vector."""
-    rng = np.random.default_rng(SEED)
-    places = np.argsort(rng.random((BUCKETS, DIMS)), axis=1)[:, :NONZERO]
-    return places, rng.choice([-1, 1], (BUCKETS, NONZERO))
+def index_parts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the non-zero components of index vectors, (keys, NONZERO): one in each part of the dimensions."""
+    x, width = mix(keys), DIMS // NONZERO
+    shifts = np.arange(NONZERO, dtype=np.uint64)
+    places = (x[:, None] >> shifts * np.uint64(8)) % np.uint64(width) + shifts * np.uint64(width)
+    return places.astype(np.int64), ((x[:, None] >> np.uint64(40) + shifts) & np.uint64(1)).astype(np.int64) * 2 - 1
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def index_vectors(keys: np.ndarray) -> np.ndarray:
+    """Unit index vectors."""
+    places, signs = index_parts(keys)
+    out = np.zeros((len(keys), DIMS))
+    np.put_along_axis(out, places, signs / np.sqrt(NONZERO), axis=1)
+    return out
+
 
+class Vectors:
+    """Vectors of frequent words by their sorted hashes."""
 
-class Units:
-    """Buckets of the words of texts, remembered per worker."""
+    def __init__(self, keys: np.ndarray, contexts: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.name = keys[order], uuid.uuid4().hex
+        self.rows = unit(index_vectors(self.keys) + unit(contexts[order].astype(np.float64))).astype(np.float32)
 
-    def __init__(self) -> None:
-        self.words, self.held = Words(), np.zeros((1 << 14, 3), np.int32)
-        self.used = 0
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        out = index_vectors(keys)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            known = self.keys[at] == keys
+            out[known] = self.rows[at[known]]
+        return out
+
+
+class Tokens:
+    """What a worker knows of tokens: the hash of the word, and with vectors the sum of the token's vectors."""
+
+    def __init__(self, vectors: Vectors | None = None) -> None:
+        self.words, self.used, self.vectors = Words(), 0, vectors
+        self.keys, self.rows = np.zeros(1 << 14, np.uint64), np.zeros((1 << 14, DIMS if vectors else 0), np.float32)
 
     def ids(self, bodies: list[bytes]) -> list[np.ndarray]:
         if self.words.full():
-            self.held = self.held[self.words.evict()]
-            self.used = len(self.held)
+            keep = self.words.evict()
+            self.keys, self.used = self.keys[keep], len(keep)
+            self.rows = self.rows[keep] if self.vectors else self.rows
         each = [self.words.ids(b) for b in bodies]
         fresh, self.words.fresh = self.words.fresh, []
-        if fresh:
-            self.held = grown(self.held, self.used, np.array([units(w) for w in fresh], np.int32))
-            self.used += len(fresh)
+        for a in range(0, len(fresh), 20_000):
+            core, shape, tail = zip(*map(parts, fresh[a : a + 20_000]))
+            keys = hashed(list(core))
+            self.keys = grown(self.keys, self.used, keys)
+            if self.vectors:
+                rows = self.vectors.of(keys) + index_vectors(hashed(list(shape))) + index_vectors(hashed(list(tail)))
+                self.rows = grown(self.rows, self.used, rows.astype(np.float32))
+            self.used += len(keys)
         self.words.count(np.concatenate(each))
         return each
 
 
-def worker_units() -> Units:
-    return kept(("quality",), Units)
-
-
-def contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The context vectors (BUCKETS, DIMS) of the whole corpus."""
-    names = [f"v{i}" for i in range(DIMS)]
-    schema = pa.schema([("bucket", pa.int32()), *((n, pa.int64()) for n in names)])
+def sums_of(each: list[np.ndarray], token_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, context sums) of the words of texts, given as token numbers. No context crosses texts."""
+    flat = np.concatenate([y for x in each for y in (x, np.full(WINDOW, -1, np.int32))])
+    seen = np.unique(flat[flat >= 0])
+    keys, inverse = np.unique(token_keys[seen], return_inverse=True)
+    local = np.full(int(seen.max(initial=0)) + 1, -1, np.int64)
+    local[seen] = inverse
+    word = np.where(flat >= 0, local[np.maximum(flat, 0)], -1)
+    places, signs = index_parts(keys)
+    total = np.zeros(len(keys) * DIMS)
+    for shift in range(1, WINDOW + 1):
+        a, b = word[:-shift], word[shift:]
+        both = (a >= 0) & (b >= 0)
+        a, b = a[both], b[both]
+        for x, y in ((a, b), (b, a)):
+            for k in range(NONZERO):
+                total += np.bincount(x * DIMS + places[y, k], signs[y, k], len(total))
+    return keys, np.bincount(word[word >= 0], minlength=len(keys)), np.rint(total).astype(np.int64).reshape(-1, DIMS)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, signs in the lowest bit, so that small ones compress well."""
+    z = (x << 1 ^ x >> 63).astype("<u8")
+    return z.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    z = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return (z >> np.uint64(1)).astype(np.int64) ^ -(z & np.uint64(1)).astype(np.int64)
+
+
+def contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
+    """(key long, n long, sums binary): count and context sums of every word of the whole corpus, in the shared folder."""
+    rows = texts(docs, id_col, text_col)
+    size = rows.agg(F.coalesce(F.sum(F.length("body") + 1), F.lit(0))).first()[0]
+    slices = max(1, -(-size // share))
+    schema = pa.schema([("slice", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("sums", pa.binary())])
+    words = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sums", pa.binary())])
 
     def run(batches):
-        places, signs = index_vectors()
-        total = np.zeros(BUCKETS * DIMS)
-        coder = worker_units()
-        for _, bodies in groups(batches, 1 << 20):
-            each = coder.ids(bodies)
-            flat = np.concatenate([y for x in each for y in (x, np.full(WINDOW, -1, np.int32))])  # no context crosses texts
-            core = np.where(flat >= 0, coder.held[np.maximum(flat, 0), 0], -1)
-            for shift in range(1, WINDOW + 1):
-                a, b = core[:-shift], core[shift:]
-                both = (a >= 0) & (b >= 0)
-                a, b = a[both].astype(np.int64), b[both].astype(np.int64)
-                for k in range(NONZERO):
-                    total += np.bincount(a * DIMS + places[b, k], signs[b, k], BUCKETS * DIMS)
-                    total += np.bincount(b * DIMS + places[a, k], signs[a, k], BUCKETS * DIMS)
-        sums = total.astype(np.int64).reshape(BUCKETS, DIMS)
-        some = np.flatnonzero(sums.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(sums[some, i]) for i in range(DIMS))], schema=schema)
-
-    parts = texts(docs, id_col, text_col).mapInArrow(run, ", ".join(["bucket int", *(f"{n} long" for n in names)]))
-    out = np.zeros((BUCKETS, DIMS))
-    for r in parts.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).collect():  # BUCKETS rows at most
-        out[r["bucket"]] = [r[n] for n in names]
-    return out
-
-
-def word_vectors(context: np.ndarray) -> np.ndarray:
-    """Unit vectors of the buckets: half their own index vector, half their context."""
-    places, signs = index_vectors()
-    own = np.zeros((BUCKETS, DIMS))
-    np.put_along_axis(own, places, signs, axis=1)
-    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    return unit(unit(own) + unit(context)).astype(np.float32)
+        coder = kept(("quality",), Tokens)
+        for _, bodies in groups(batches, BATCH):
+            keys, n, sums = sums_of(coder.ids(bodies), coder.keys)
+            at = ((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)  # keys are in order
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            for a, b in zip(first, np.append(first[1:], len(at))):
+                yield pa.RecordBatch.from_pylist([{"slice": int(at[a]), "keys": keys[a:b].tobytes(), "counts": planes(n[a:b]), "sums": planes(sums[a:b].ravel())}], schema=schema)
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in table.column("keys")])
+        n = np.concatenate([unplanes(x.as_py()) for x in table.column("counts")])
+        sums = np.concatenate([unplanes(x.as_py()) for x in table.column("sums")]).reshape(-1, DIMS)
+        order = np.argsort(keys)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+        sums = np.add.reduceat(sums[order], first).astype("<i8")
+        return pa.Table.from_arrays([pa.array(keys[order][first].view(np.int64)), pa.array(np.add.reduceat(n[order], first)), pa.array([x.tobytes() for x in sums], pa.binary())], schema=words)
+
+    sent = rows.mapInArrow(run, "slice int, keys binary, counts binary, sums binary")
+    return stored(sent.groupBy("slice").applyInArrow(add, "key long, n long, sums binary"), "contexts")
+
+
+def frequent(found: DataFrame, vocabulary: int = VOCABULARY) -> Vectors:
+    """Vectors of the most frequent words: as many whole steps of counts as keep to vocabulary."""
+    step = F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int")
+    sizes = sorted(found.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"])  # some hundred at most
+    total, least = 0, 1 << 30
+    for r in sizes:
+        total += r["count"]
+        if total > vocabulary:
+            break
+        least = r["step"]
+    rows = found.where(step >= least).select("key", "sums").toArrow()  # vocabulary rows at most
+    sums = np.frombuffer(b"".join(rows.column("sums").to_pylist()), "<i8").reshape(-1, DIMS)
+    return Vectors(rows.column("key").to_numpy().view(np.uint64), sums)
 
 
 class Pooler:
-    def __init__(self, vectors: np.ndarray) -> None:
-        self.vectors, self.coder = vectors, worker_units()
+    def __init__(self, vectors: Vectors) -> None:
+        self.coder = kept(("quality", vectors.name), lambda: Tokens(vectors))
 
     def pooled(self, bodies: list[bytes]) -> np.ndarray:
         """(texts, 3 * DIMS + 1)."""
         each = self.coder.ids(bodies)
-        held = self.coder.held
+        rows = self.coder.rows
         out = np.zeros((len(bodies), 3 * DIMS + 1))
         for i, x in enumerate(each):
             if not len(x):
                 continue
             n, total, square, product, last = len(x), np.zeros(DIMS), np.zeros(DIMS), np.zeros(DIMS), None
             for a in range(0, n, 1 << 16):
-                u = held[x[a : a + (1 << 16)]]
-                v = self.vectors[u[:, 0]] + self.vectors[u[:, 1]] + self.vectors[u[:, 2]]
-                total += v.sum(axis=0)
+                v = rows[x[a : a + (1 << 16)]]
+                total += v.sum(axis=0, dtype=np.float64)
                 square += np.einsum("ij,ij->j", v, v)
                 product += np.einsum("ij,ij->j", v[:-1], v[1:])
                 if last is not None:
@@ -158,11 +235,13 @@ class Network:
 
 def fit(x: np.ndarray, y: np.ndarray) -> Network:
     net = Network(float(y.mean()) if len(y) else 0.5)
-    if len(y) < 10 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return net
     rng = np.random.default_rng(SEED)
     order = rng.permutation(len(y))
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
+    if y[used].min() == y[used].max():
+        held, used = order[:0], order
     net.mean, net.scale = x[used].mean(axis=0), x[used].std(axis=0) + 1e-6
     net.w1, net.b1 = rng.normal(size=(x.shape[1], HIDDEN)) / np.sqrt(x.shape[1]), np.zeros(HIDDEN)
     net.w2, net.b2, net.temperature = rng.normal(size=HIDDEN) / np.sqrt(HIDDEN), 0.0, 1.0
@@ -192,7 +271,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
     return net
 
 
-def pooled_sample(labelled: DataFrame, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pooled_sample(labelled: DataFrame, vectors: Vectors) -> tuple[np.ndarray, np.ndarray]:
     """Pooled vectors and labels of (doc_id, body, quality) rows."""
     held = labelled.sparkSession.sparkContext.broadcast(vectors)
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.float64()))])
@@ -210,18 +289,19 @@ def pooled_sample(labelled: DataFrame, vectors: np.ndarray) -> tuple[np.ndarray,
     return np.array([r[2] for r in rows]).reshape(len(rows), 3 * DIMS + 1), np.array([r[1] for r in rows], np.float64)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Vectors, Network]:
     """Word vectors of all docs, and a network fitted on those of the labelled rows with the least hash of the id."""
-    vectors = word_vectors(contexts(docs))
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") != 0).cast("int").alias("y"))
+    vectors = frequent(contexts(docs))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") != 0).cast("int").alias("y")).distinct()
     n = known.count()
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * sample / max(1, n))))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    rows = stored(texts(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "body", "y"), "sample")  # drawn: sample rows at most
+    # drawn: sample rows at most; of a doc_id with several texts the least one
+    rows = stored(texts(docs).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min("body").alias("body")).select("doc_id", "body", "y"), "sample")
     return vectors, fit(*pooled_sample(rows, vectors))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vectors: Vectors, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score."""
     held = docs.sparkSession.sparkContext.broadcast((vectors, net))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

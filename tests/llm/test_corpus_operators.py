@@ -171,6 +171,56 @@ def test_quality_held_out(spark):
     assert quality.qualities(docs.limit(0), marks).count() == 0
 
 
+def test_context_vectors_by_plain_sums(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["the", "The,", "a", "dog", "Cat!", "x1", "\u00e9t\u00e9", "..."], rng.integers(0, 40))) for _ in range(60)] + ["", None, "hot hot " * 500]
+    want, counts = {}, Counter()
+    for t in texts:
+        cores = [quality.parts(w)[0] for w in (t or "").encode().split()]
+        index = np.rint(2 * quality.index_vectors(quality.hashed(cores))).astype(int) if cores else []
+        counts.update(cores)
+        for i, w in enumerate(cores):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(cores):
+                    want[w] = want.get(w, 0) + index[j]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for share in (100, 1 << 20):
+        got = {r.key: (r.n, np.frombuffer(r.sums, "<i8")) for r in quality.contexts(docs, share=share).collect()}
+        assert len(got) == len(counts)
+        for w, n in counts.items():
+            n_got, sums = got[int(quality.hashed([w]).view(np.int64)[0])]
+            assert n_got == n and (sums == want[w]).all()
+    # the most frequent words have vectors, in whole steps of counts; others have their index vector
+    few = quality.frequent(quality.contexts(docs), 3)
+    assert 1 <= len(few.keys) <= 3 and int(quality.hashed([b"hot"])[0]) in few.keys.tolist()
+    rare = quality.hashed([b"never seen"])
+    assert np.allclose(few.of(rare), quality.index_vectors(rare)) and np.allclose(np.linalg.norm(few.of(few.keys), axis=1), 1, atol=1e-6)
+
+
+def test_tokens_are_forgotten_and_learned_again():
+    vectors = quality.Vectors(np.sort(quality.hashed([b"w1", b"w2"])), np.ones((2, quality.DIMS)))
+    for coder in (quality.Tokens(), quality.Tokens(vectors)):
+        coder.words.most = 20_000
+        for k in range(4):
+            words = [f"w{i}".encode() for i in range(15_000 * k, 15_000 * k + 30_000)]
+            (ids,) = coder.ids([b" ".join(words)])
+            assert (coder.keys[ids] == quality.hashed(words)).all()
+            if coder.vectors:
+                assert coder.rows.shape[0] >= coder.used
+
+
+def test_quality_of_few_and_repeated_labels(spark):
+    rows = [(i, ("fine calm words here " if i % 2 else "BAD!! LOUD!! ") * 5) for i in range(40)]
+    docs = spark.createDataFrame(rows + [(1, "other text")] * 3, "doc_id long, text string")
+    fold = {i: zlib.crc32(str(i).encode()) % 3 for i, _ in rows}
+    nine = [i for i, _ in rows if fold[i] != 1][:9]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in nine] + [(nine[0], nine[0] % 2, 0)] * 500, "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.predicted for r in quality.qualities(docs, labels).where("doc_id <> 1").collect()}
+    assert np.mean([out[i] == i % 2 for i in out]) > 0.9
+    two = quality.fit(np.array([[0.0], [1.0]]), np.array([0.0, 1.0]))
+    assert two.w1 is not None and two.temperature == 1.0
+
+
 def test_language_model_base_and_order(spark):
     rng = np.random.default_rng(7)
     names = [f"w{i}" for i in range(40)]
