@@ -2,10 +2,11 @@
 
 A tree builder reads tags with the implied ones (open paragraphs, list items, cells and rows end where HTML ends
 them), raw-text elements and stray end tags; visibility rules leave out what a browser doesn't show (head, scripts,
-styles, templates, hidden attributes, display:none in style attributes and simple rules of style sheets, closed details).  The renderer then writes all visible text:
-white space collapses outside pre, blocks start on lines of their own and paragraphs after a blank line, list items
-get bullets or numbers with indentation, and the cells of data tables are aligned in columns.  The work is one map
-over pages, each page by itself; nothing is shuffled.
+styles, templates, hidden attributes, closed details, and display and visibility of style attributes and of style
+sheets' simple selectors, by weight and order, with media rules as on a screen of SCREEN pixels).  The renderer then writes
+all visible text: white space collapses outside pre, blocks start on lines of their own and paragraphs after a blank line,
+list items get bullets or numbers with indentation, and the cells of tables are aligned in columns, line by line.  The
+work is one map over pages, each page by itself; nothing is shuffled.
 
 Defined cases: null or empty html gives an empty text; repeated rows are rendered each on its own; a null page_id is
 carried; an empty table gives no rows; elements nested deeper than MAX_DEPTH hang at that depth, their text is kept;
@@ -27,9 +28,10 @@ from granary.llm.common import trimmed
 MAX_DEPTH = 512
 #: Columns are not padded beyond this width; wider cells run over.
 MAX_WIDTH = 60
+# Fixed values of HTML: cells span so many columns and rows at most.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 TOKEN = re.compile(r"""<(?:!--(?:.*?--!?>|.*)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>)""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 # Fixed values of HTML: which elements have no content, hold raw text, are blocks, are never shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -60,28 +62,111 @@ IMPLIED = {
 WALLS = frozenset(("table", "td", "th", "caption", "html", "template", "button", "object"))
 
 
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?([.#][\w-]+)?")
+COMMENT = re.compile(r"(?s)/\*.*?\*/")
+SIMPLE = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+SHOWN = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
+MEDIA = re.compile(r"\(\s*(min|max)-width\s*:\s*([0-9.]+)\s*(px|em|rem)\s*\)")
+#: The window that conditions of style sheets are tried on: a screen of so many pixels, and pixels of 1em.
+SCREEN, EM = 1280, 16
 
 
-def hiding(css: str) -> list[tuple[str, str]]:
-    """(tag or empty, .class or #id or empty) of the simple selectors of a style sheet that hide what they match."""
-    found = (m for rule in RULE.findall(re.sub(r"(?s)/\*.*?\*/", "", css)) if UNSEEN_STYLE.search(rule[1]) for m in (SIMPLE.fullmatch(part.strip()) for part in rule[0].split(",")) if m and m.group(0))
-    return [((m.group(1) or "").lower(), m.group(2) or "") for m in found]
+def applies(query: str) -> bool:
+    """Whether a media query holds for the screen; conditions other than on its width don't."""
 
+    def one(part: str) -> bool:
+        words = part.split()
+        negated = bool(words) and words[0] == "not"
+        rest = MEDIA.sub(" ", " ".join(words[1:] if words and words[0] in ("not", "only") else words))
+        names = [w for w in rest.split() if w != "and"]
+        widths = all((SCREEN >= px if low == "min" else SCREEN <= px) for low, px in ((m[0], float(m[1]) * (1 if m[2] == "px" else EM)) for m in MEDIA.findall(part)))
+        return (widths and all(n in ("all", "screen") for n in names)) != negated
+
+    try:
+        return any(one(part) for part in query.lower().split(","))
+    except ValueError:  # a number such as 1.2.3
+        return False
 
-def hidden_by(node: "Node", rules: list[tuple[str, str]]) -> bool:
-    held = attributes(node.attrs) if node.attrs else {}
-    names = {"." + c for c in held.get("class", "").split()} | {"#" + held.get("id", ""), ""}
-    return any(tag in ("", node.tag) and mark in names for tag, mark in rules)
+
+def rules(css: str):
+    """(selectors, declarations) of a style sheet that apply: at-rules of conditions are entered where these hold."""
+    css = COMMENT.sub(" ", css)
+    at, stack, start = 0, [True], 0
+    for m in re.finditer(r"[{};]", css):
+        if m.start() < at:
+            continue
+        mark = m.group()
+        if mark == "{":
+            head = css[start : m.start()].strip()
+            if head.startswith("@"):
+                name, _, query = head[1:].partition(" ") if " " in head else (head[1:], "", "")
+                name, paren, more = name.lower().partition("(")
+                # of other at-rules (fonts, key frames, containers) nothing applies to elements as they are
+                inside = applies(paren + more + " " + query) if name == "media" else name in ("supports", "layer", "document", "scope")
+                stack.append(stack[-1] and inside)
+                start = m.end()
+            else:
+                end = css.find("}", m.end())
+                end = len(css) if end < 0 else end
+                if stack[-1]:
+                    yield head, css[m.end() : end]
+                at = start = end + 1
+        elif mark == "}":
+            if len(stack) > 1:
+                stack.pop()
+            start = m.end()
+        else:
+            start = m.end()
+
+
+def sheet(css: str) -> dict[str, list]:
+    """What a style sheet says of showing elements, by simple selectors: for each tag, .class or #id one of a selector's
+    parts, (all parts, property, value, weight); more weight wins. Selectors of other kinds are passed over."""
+    out: dict[str, list] = {}
+    for order, (head, body) in enumerate(rules(css)):
+        found = SHOWN.findall(body)
+        if not found:
+            continue
+        for part in head.split(","):
+            m = SIMPLE.fullmatch(part.strip())
+            if not m or not m.group(0):
+                continue
+            tag, marks = (m.group(1) or "*").lower(), re.findall(r"[.#][\w-]+", m.group(2))
+            names = ([tag] if tag != "*" else []) + marks
+            specific = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), len(names) - len(marks))
+            key = next((x for x in marks if x[0] == "#"), marks[0] if marks else tag)
+            out.setdefault(key, []).extend((names, name.lower(), value.lower(), (bool(important), False, specific, order, k)) for k, (name, value, important) in enumerate(found))
+    return out
+
+
+def styled(node: "Node", held: dict[str, str], by: dict[str, list]) -> None:
+    """Sets whether the node is shown, by its attributes and the style sheet."""
+    names = {node.tag, "*", "#" + held.get("id", ""), *("." + c for c in held.get("class", "").split())}
+    best: dict[str, tuple] = {}
+    found = [x for n in names for x in by.get(n, ()) if all(y in names for y in x[0])] if by else []
+    if "style" in held:
+        found += [([], name.lower(), value.lower(), (bool(important), True, (0, 0, 0), 0, k)) for k, (name, value, important) in enumerate(SHOWN.findall(held["style"]))]
+    for _, name, value, weight in found:
+        if name not in best or weight > best[name][0]:
+            best[name] = weight, value
+    display = best.get("display", (None, ""))[1]
+    away = "hidden" in held and held["hidden"].lower() != "until-found"
+    if node.tag == "input" and held.get("type", "").lower() == "hidden":
+        display = "none"
+    node.seen = node.tag not in UNSEEN and (display != "none" if display else not away)
+    if "visibility" in best:
+        node.visible = {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(best["visibility"][1])
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "seen")
+    """An element: seen if it has a box; visible or not if its style says so, None if it is as its parent is."""
+
+    __slots__ = ("tag", "attrs", "children", "seen", "visible")
 
     def __init__(self, tag: str, attrs: str) -> None:
         self.tag, self.attrs, self.children = tag, attrs, []
-        self.seen = tag not in UNSEEN and not (attrs and hidden(tag, attrs))
+        self.seen, self.visible = tag not in UNSEEN, None
+        if attrs and self.seen and ("hidden" in (low := attrs.lower()) or "style" in low):
+            styled(self, attributes(attrs), {})
 
     def attr(self, name: str) -> str | None:
         return attributes(self.attrs).get(name) if self.attrs else None
@@ -94,16 +179,6 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
-def hidden(tag: str, source: str) -> bool:
-    low = source.lower()
-    if "hidden" not in low and "style" not in low:
-        return False
-    held = attributes(source)
-    if "hidden" in held and held["hidden"].lower() != "until-found" or tag == "input" and held.get("type", "").lower() == "hidden":
-        return True
-    return "style" in held and bool(UNSEEN_STYLE.search(held["style"]))
-
-
 def tree(html: str) -> Node:
     """The document's tree: nodes and strings."""
     root = Node("#root", "")
@@ -169,7 +244,7 @@ def tree(html: str) -> Node:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
             stop = end.start() if end else len(html)
             node.children.append(html[at:stop])
-            if tag == "style":
+            if tag == "style" and applies(node.attr("media") or "all"):
                 sheets.append(html[at:stop])
             at = text_from = end.end() if end else len(html)
             continue
@@ -178,12 +253,13 @@ def tree(html: str) -> Node:
             paragraphs += tag == "p"
     if text_from < len(html):
         stack[-1].children.append(html[text_from:])
-    if sheets and (rules := hiding("\n".join(sheets))):
+    if sheets and (by := sheet("\n".join(sheets))):
         below = [root]
         while below:
             for c in below.pop().children:
                 if isinstance(c, Node):
-                    c.seen = c.seen and not hidden_by(c, rules)
+                    if c.seen or c.tag not in UNSEEN:
+                        styled(c, attributes(c.attrs) if c.attrs else {}, by)
                     below.append(c)
     return root
 
@@ -241,19 +317,22 @@ class Writer:
         return "".join(self.out)
 
 
-def render(root: Node, depth: int = 0) -> str:
+def render(root: Node, depth: int = 0, visible: bool = True) -> str:
     w = Writer()
-    stack: list = [(root, False)]
+    stack: list = [(root, False, visible)]
     counters: list[list] = []
     pre = 0
     while stack:
-        node, closing = stack.pop()
+        node, closing, visible = stack.pop()
         if isinstance(node, str):
             if "&" in node:
                 node = unescape(node)
+            if not visible:
+                node = " " if node.strip() == "" or node[0].isspace() or node[-1].isspace() else ""
             w.lines(node) if pre else w.text(node)
             continue
         tag = node.tag
+        visible = visible if node.visible is None else node.visible
         if closing:
             if tag in LISTS:
                 counters.pop()
@@ -274,12 +353,12 @@ def render(root: Node, depth: int = 0) -> str:
             continue
         if tag in ("input",):
             kind = (node.attr("type") or "text").lower()
-            if kind in ("submit", "button", "reset") and node.attr("value"):
+            if visible and kind in ("submit", "button", "reset") and node.attr("value"):
                 w.text(f" {node.attr('value')} ")
             continue
         if tag == "table" and depth < 20:
             w.block(2)
-            for line in table(node, depth):
+            for line in table(node, depth, visible):
                 w.lines(line)
                 w.block(1)
             w.block(2)
@@ -298,13 +377,13 @@ def render(root: Node, depth: int = 0) -> str:
                     marker = f"{counters[-1][1]}. "
                     counters[-1][1] += 1
                 w.indents.append(" " * len(marker))
-                w.marker, w.fresh = marker, w.fresh or bool(w.gap)
+                w.marker, w.fresh = marker if visible else "", w.fresh or bool(w.gap)
             elif tag in ("dd", "blockquote"):
                 w.indents.append("  ")
             elif tag == "pre":
                 pre += 1
-            stack.append((node, True))
-        stack.extend((c, False) for c in reversed(children))
+            stack.append((node, True, visible))
+        stack.extend((c, False, visible) for c in reversed(children))
     return w.done()
 
 
@@ -320,57 +399,67 @@ def has_cells(node: Node) -> bool:
     return False
 
 
-def cells_of(row: Node) -> tuple[list[Node], list]:
-    """Cells of a row, also those within forms and other elements, and what else is seen in it."""
+def shown(node: Node, visible: bool) -> bool:
+    return visible if node.visible is None else node.visible
+
+
+def cells_of(row: Node, visible: bool) -> tuple[list[tuple[Node, bool]], list[tuple[Node, bool]]]:
+    """Cells of a row, also those within forms and other elements, and what else is in it; each with its visibility."""
     cells, others = [], []
-    stack: list = list(reversed(row.children))
+    stack: list = [(c, visible) for c in reversed(row.children)]
     while stack:
-        c = stack.pop()
+        c, v = stack.pop()
         if isinstance(c, str):
             if c.strip():
-                others.append(unescape(c).strip())
+                others.append((around(c), v))
         elif not c.seen:
             continue
         elif c.tag in ("td", "th"):
-            cells.append(c)
+            cells.append((c, shown(c, v)))
         elif c.tag != "table" and has_cells(c):
-            stack.extend(reversed(c.children))
+            stack.extend((x, shown(c, v)) for x in reversed(c.children))
         else:
-            whole = Node("#root", "")  # with its own tag, as it may be a table or a button
-            whole.children = [c]
-            others.append(whole)
+            others.append((around(c), v))
     return cells, others
 
 
-def rows_of(node: Node) -> tuple[list[str], list[list[Node]], list[str]]:
-    """Captions, rows of cells, and other text of a table."""
+def around(child) -> Node:
+    """A root with one child, which keeps its own tag, as it may be a table or a button."""
+    root = Node("#root", "")
+    root.children = [child]
+    return root
+
+
+def rows_of(node: Node, visible: bool) -> tuple[list, list[list[tuple[Node, bool]]], list]:
+    """Captions, rows of cells, and what else is in a table; each with its visibility."""
     captions, rows, rest = [], [], []
-    stack: list = list(reversed(node.children))
+    stack: list = [(c, visible) for c in reversed(node.children)]
     while stack:
-        c = stack.pop()
+        c, v = stack.pop()
         if isinstance(c, str):
             if c.strip():
-                rest.append(unescape(c).strip())
-        elif not c.seen:
+                rest.append((around(c), v))
             continue
-        elif c.tag == "caption":
-            captions.append(c)
+        if not c.seen:
+            continue
+        if c.tag == "caption":
+            captions.append((c, shown(c, v)))
         elif c.tag == "tr":
-            cells, others = cells_of(c)
+            cells, others = cells_of(c, shown(c, v))
             rows.append(cells)
             rest += others
         elif c.tag in ("td", "th"):
-            rows.append([c])
+            rows.append([(c, shown(c, v))])
         elif c.tag in ("thead", "tbody", "tfoot", "colgroup", "form"):
-            stack.extend(reversed(c.children))
+            stack.extend((x, shown(c, v)) for x in reversed(c.children))
         else:
-            rest.append(c)
+            rest.append((around(c), v))
     return captions, rows, rest
 
 
-def spans(cell: Node, name: str) -> int:
+def spans(cell: Node, name: str, most: int) -> int:
     value = cell.attr(name) or "1"
-    return min(max(int(value), 1), 100) if value.isascii() and value.isdigit() and len(value) < 9 else 1
+    return min(max(int(value), 1), most) if value.isascii() and value.isdigit() and len(value) < 9 else 1
 
 
 def inside(node: Node) -> Node:
@@ -380,36 +469,53 @@ def inside(node: Node) -> Node:
     return root
 
 
-def table(node: Node, depth: int) -> list[str]:
-    """The lines of a table: aligned cells, or cell after cell where a cell holds a table or several lines."""
-    captions, rows, rest = rows_of(node)
-    out = [line for c in captions for line in render(inside(c), depth + 1).split("\n")]
-    out += [r for r in rest if isinstance(r, str)] + [line for r in rest if not isinstance(r, str) for line in render(inside(r), depth + 1).split("\n")]
-    cells = [[render(inside(c), depth + 1) for c in row] for row in rows]
-    if any("\n" in c for row in cells for c in row):
-        return out + [line for row in cells for c in row for line in c.split("\n")]
-    grid: list[list[str]] = []
-    below: dict[int, int] = {}  # columns still taken by a cell from above
-    for row, found in zip(rows, cells):
-        line: list[str] = []
-        for cell, s in zip(row, found):
-            while below.get(len(line), 0):
-                below[len(line)] -= 1
-                line.append("")
-            wide, tall = spans(cell, "colspan"), spans(cell, "rowspan")
-            for k in range(wide):
-                if tall > 1:
-                    below[len(line)] = tall - 1
-                line.append("" if k else s)
-        for k in [k for k in below if k >= len(line) and below[k]]:
-            below[k] -= 1
-        grid.append(line)
-    n = max(map(len, grid), default=0)
-    widths = [max((min(len(line[k]), MAX_WIDTH) for line in grid if k < len(line)), default=0) for k in range(n)]
-    for line in grid:
-        s = " | ".join(c.ljust(w) for c, w in zip(line, widths)).rstrip()
-        if s.strip(" |"):
-            out.append(s)
+def holds_table(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, Node) and c.seen:
+                if c.tag == "table":
+                    return True
+                stack.append(c)
+    return False
+
+
+def table(node: Node, depth: int, visible: bool) -> list[str]:
+    """The lines of a table: cells stand in columns of one width, each below the other where a cell has several lines.
+    Rows with a table in a cell are layout: their cells follow one another."""
+    captions, rows, rest = rows_of(node, visible)
+    out = [line for c, v in captions for line in render(inside(c), depth + 1, v).split("\n")]
+    out += [line for r, v in rest for line in render(r, depth + 1, v).split("\n")]
+    grid: list[tuple[bool, list[tuple[int, list[str]]]]] = []  # per row: whether layout; (column, lines) of its cells
+    taken: dict[int, int] = {}  # rows that columns are still taken by a cell from above
+    for row in rows:
+        line: list[tuple[int, list[str]]] = []
+        column = 0
+        now = taken
+        taken = {k: n - 1 for k, n in now.items() if n > 1}
+        for cell, v in row:
+            while now.get(column):
+                column += 1
+            wide, tall = spans(cell, "colspan", MAX_COLSPAN), spans(cell, "rowspan", MAX_ROWSPAN)
+            line.append((column, render(inside(cell), depth + 1, v).split("\n")))
+            if tall > 1:
+                taken.update((k, max(tall - 1, taken.get(k, 0))) for k in range(column, column + wide))
+            column += wide
+        grid.append((any(holds_table(cell) for cell, _ in row), line))
+    widths: dict[int, int] = {}
+    for layout, line in grid:
+        for k, lines in line:
+            widths[k] = max(widths.get(k, 0), 0 if layout else max(min(len(x), MAX_WIDTH) for x in lines))
+    columns = sorted(widths)
+    for layout, line in grid:
+        if layout:
+            out += [x for _, lines in line for x in lines]
+            continue
+        held = dict(line)
+        for i in range(max((len(lines) for _, lines in line), default=0)):
+            s = " | ".join((held[k][i] if k in held and i < len(held[k]) else "").ljust(widths[k]) for k in columns).rstrip()
+            if s.strip(" |"):
+                out.append(s)
     return out
 
 

@@ -379,3 +379,125 @@ def test_spans_by_sql(spark):
 ])
 def test_html_rows_keep_all_text(html, text):
     assert html_text.visible_text(html) == text
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<style>@media print{.np{display:none}}</style><p class=np>shown on screen</p>", "shown on screen"),
+    ("<style>@media print, screen and (min-width: 600px){.np{display:none}}</style><p class=np>no</p>b", "b"),
+    ("<style>@media (max-width:600px){.np{display:none} .q{display:none}} .r{display:none}</style><p class=np>a</p><p class=q>b</p><p class=r>c", "a\n\nb"),
+    ("<style>@media not print{.np{display:none}}</style><i class=np>no</i>yes", "yes"),
+    ("<style>@media (prefers-color-scheme: dark){p{display:none}} @font-face{src:x} @import 'y'; @supports (display:grid){i{display:none}}</style><p>a<i>b</i>", "a"),
+    ("<style media=print>p{display:none}</style><p>a", "a"),
+    ("<style>.a{display:none} .a{display:block}</style><p class=a>again", "again"),
+    ("<style>.a{display:none !important} .a{display:block}</style><p class=a>no</p>b", "b"),
+    ("<style>#x{display:block} p{display:none}</style><p id=x>by id</p><p>no", "by id"),
+    ("<style>p.a.b{display:none}</style><p class='a'>one</p><p class='b a'>two", "one"),
+    ("<style>div p{display:none} p:hover{display:none}</style><p>kept", "kept"),
+    ("<p hidden style='display:block'>by style</p><p style='display:none;display:inline'>last", "by style\n\nlast"),
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"),
+    ("<style>.v{visibility:hidden} .w{visibility:visible}</style><table class=v><tr><td>no</td><td class=w>yes</td></tr></table>", " | yes"),
+    ("<table><tr><td>a<br>b</td><td>c</td></tr><tr><td>dd</td><td>e</td></tr></table>", "a  | c\nb  |\ndd | e"),
+    ("<table><tr><td>x</td><td><p>one</p><p>two</p></td></tr><tr><td colspan=2>wide</td></tr></table>", "x    | one\n     | two\nwide |"),
+    ("<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr><tr><td>d</td><td>e</td></tr></table>", "a | b\n  | c\nd | e"),
+    ("<table><tr><td colspan=150>a</td><td>z</td></tr><tr><td>b</td><td>c</td></tr></table>", "a |   | z\nb | c |"),
+    ("<table><tr><td><table><tr><td>in</td><td>b</td></tr></table></td><td>side</td></tr><tr><td>p</td><td>q</td></tr></table>", "in | b\nside\np | q"),
+])
+def test_html_styles_and_cells(html, text):
+    assert html_text.visible_text(html) == text
+
+
+class Plain:
+    """A second renderer: makes a random document, its markup and, by itself, the text that is to come out."""
+
+    def __init__(self, seed):
+        self.rng = np.random.default_rng(seed)
+
+    def pick(self, n):
+        return int(self.rng.integers(0, n))
+
+    def tag(self, name, attrs=""):
+        return f"<{name.upper() if self.pick(4) == 0 else name}{attrs}{[' ', '', chr(10)][self.pick(3)]}>"
+
+    def inline(self):
+        html, text = [], []
+        for _ in range(self.pick(6)):
+            word = ["word", "caf\u00e9", "x&y", "a<b", "\u4e2d"][self.pick(5)]
+            gap = [" ", "  \n", ""][self.pick(3)]
+            coded = word.replace("&", "&amp;").replace("<", "&lt;").replace("\u00e9", "&eacute;")
+            kind = self.pick(6)
+            if kind == 0:
+                coded = f"{self.tag('b')}{coded}</b>"
+            elif kind == 1:
+                coded += "<span class=h>gone</span><!-- note -->"
+            elif kind == 2:
+                coded += "<script>if (a<b) c('</p>')</script>"
+            html.append(coded + gap)
+            text.append(word + gap)
+        return "".join(html), " ".join("".join(text).split())
+
+    def end(self, name):
+        return "" if self.pick(3) == 0 else f"</{name}>"
+
+    def blocks(self, depth, lists=0):
+        """(markup, entries): entries are gaps (numbers) and lines."""
+        html, out = [], []
+        for _ in range(1 + self.pick(3)):
+            kind = self.pick(7 if depth else 3)
+            inner, text = self.inline()
+            if kind == 0:
+                html.append(f"{self.tag('p')}{inner}{self.end('p')}")
+                out += [2, *([text] if text else []), 2]
+            elif kind == 1:
+                html.append(f"{self.tag('h2')}{inner}</h2>")
+                out += [2, *([text] if text else []), 2]
+            elif kind == 2:
+                html.append(f"<div{[' hidden', ' class=h', ' style=' + chr(34) + 'display: none' + chr(34)][self.pick(3)]}>{inner}</div>")
+            elif kind == 3:
+                below, entries = self.blocks(depth - 1, lists)
+                html.append(f"{self.tag('div')}{below}</div>")
+                out += [1, *entries, 1]
+            elif kind in (4, 5):
+                name, items = ("ul", "ol")[kind - 4], []
+                gap = 1 if lists else 2
+                out.append(gap)
+                for k in range(1 + self.pick(3)):
+                    inner, text = self.inline()
+                    below, entries = self.blocks(depth - 1, lists + 1) if self.pick(3) == 0 and text else ("", [])
+                    items.append(f"{self.tag('li')}{inner}{below}{self.end('li') if not below else '</li>'}")
+                    marker = "- " if name == "ul" else f"{k + 1}. "
+                    if text:
+                        out += [1, marker + text, *([1] if below and entries else []), *(e if isinstance(e, int) else " " * len(marker) + e for e in entries), 1]
+                    else:
+                        out += [1, 1]
+                html.append(f"{self.tag(name)}{''.join(items)}</{name}>")
+                out.append(gap)
+            else:
+                n, m = 1 + self.pick(3), 1 + self.pick(3)
+                cells = [[[self.inline() for _ in range(1 + self.pick(2))] for _ in range(m)] for _ in range(n)]
+                cells = [[[(h, t) for h, t in c if t] or [("x", "x")] for c in row] for row in cells]
+                html.append("<table>" + "".join("<tr>" + "".join(f"{self.tag('td')}{'<br>'.join(h for h, _ in c)}{self.end('td')}" for c in row) + self.end("tr") for row in cells) + "</table>")
+                wide = [max(len(t) for row in cells for _, t in row[j]) for j in range(m)]
+                out.append(2)
+                for row in cells:
+                    for i in range(max(map(len, row))):
+                        out.append(" | ".join((c[i][1] if i < len(c) else "").ljust(wide[j]) for j, c in enumerate(row)).rstrip())
+                        out.append(1)
+                out.append(2)
+        return "".join(html), out
+
+    def document(self):
+        html, entries = self.blocks(3)
+        text, gap = "", 0
+        for e in entries:
+            if isinstance(e, int):
+                gap = max(gap, e)
+            else:
+                text += ("\n" * gap if text else "") + e
+                gap = 0
+        return "<html><head><title>t</title><style>.h{display:none}</style></head><body>" + html, text
+
+
+def test_html_by_a_second_renderer():
+    for seed in range(3000):
+        html, text = Plain(seed).document()
+        assert html_text.visible_text(html) == text, (seed, html)
