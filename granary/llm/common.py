@@ -26,12 +26,15 @@ ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own is made only where that is unset (local tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset a local session gets a temporary folder; on a cluster it is
+    an error, as executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return str(jvm_dir.get())
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="granary-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -65,10 +68,19 @@ def dropped(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def clean_up(spark: SparkSession) -> None:
-    """Deletes all tables that stored() has made in this process: for callers that have written their results."""
-    while _MADE:
-        _delete(spark, _MADE.pop())
+def made() -> int:
+    """A mark for clean_up(): tables made from here on."""
+    return len(_MADE)
+
+
+def clean_up(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Deletes the tables that stored() has made in this process since a mark, but one: for callers that have written
+    their results, or the table that they go on from."""
+    path = getattr(but, "_granary_path", None)
+    gone = [p for p in _MADE[since:] if p != path]
+    _MADE[since:] = [p for p in _MADE[since:] if p == path]
+    for p in gone:
+        _delete(spark, p)
 
 
 def small_batches(spark: SparkSession) -> None:

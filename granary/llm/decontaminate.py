@@ -2,7 +2,7 @@
 
 The benchmark's windows are normalised, hashed and broadcast; windows of a document whose words are all known
 benchmark words are hashed, looked up and then verified word by word.  Documents are never shuffled.  The
-broadcasts are bounded: a benchmark of more than MAX_WINDOWS windows is dealt into blocks of items, and workers hold
+broadcasts are bounded: a benchmark of more than MAX_WINDOWS windows is dealt into blocks of parts of items, and workers hold
 one block at a time, through which they pass larger groups of documents before the next is loaded.
 
 Defined cases: null or empty texts have no words; items without words are ignored, and so are items whose id or
@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ALNUM, groups, kept, looked_up, small_batches, texts, trimmed
+from granary.llm.common import ALNUM, groups, kept, looked_up, small_batches, stored, texts, trimmed
 
-#: Windows in one broadcast; about 120 bytes each in a worker.
-MAX_WINDOWS = 500_000
+#: Windows in one broadcast, about 120 bytes each in a worker; windows of a part of an item.
+MAX_WINDOWS, PART = 500_000, 1000
 #: Bytes of documents in a group: where there is one block, and where there are several.
 GROUP, LARGE_GROUP = 1 << 19, 1 << 25
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -87,18 +87,39 @@ def hashed(rows: np.ndarray, seed: int) -> np.ndarray:
 
 
 def blocks(benchmark: DataFrame, n: int, max_windows: int, item_col: str, text_col: str):
-    """Broadcasts of the benchmark's windows, one for each block of items that keeps the bound."""
+    """Broadcasts of the benchmark's windows, max_windows each at most. Windows are dealt, not items: of an item with more
+    windows each part (with the n - 1 words behind it, so that no window is lost) is in some block."""
     spark = benchmark.sparkSession
-    words = F.size(F.filter(F.split(F.regexp_replace(F.col(text_col), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", " "), " "), lambda w: w != ""))
-    items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("body"), F.greatest(F.lit(1), words - n + 1).alias("n"))
-    total = items.agg(F.sum("n")).first()[0] or 0
-    count = -(-total // max_windows)
-    for k in range(count):
-        part = items if count == 1 else items.where(F.pmod(F.xxhash64("item", "body"), F.lit(count)) == k)
-        rows = [(r.item, bytes(r.body)) for r in part.select("item", "body").collect()]  # bounded: about max_windows windows
-        windows = Windows(sorted(rows), n)
-        if windows.by_size:
-            yield spark.sparkContext.broadcast(windows)
+    words = F.filter(F.split(F.regexp_replace(F.col(text_col), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", " "), " "), lambda w: w != "")
+    items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), words.alias("words")).where(F.size("words") > 0)
+    part = max(1, min(PART, max_windows))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0)), F.lit(part))
+    parts = items.select("item", "words", F.explode(starts).alias("start")).select("item", "start", F.slice("words", F.col("start") + 1, F.lit(part + n - 1)).alias("words"))
+    parts = parts.select("item", "start", F.array_join("words", " ").cast("binary").alias("body"), F.greatest(F.lit(1), F.size("words") - n + 1).alias("n"))
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    if total <= max_windows:
+        of_block = [parts] if total else []
+    else:
+        numbered = stored(parts.withColumn("row", F.monotonically_increasing_id()), "benchmark")
+        # blocks of half the bound on average; a block beyond it is cut in two until it keeps it
+        of_block, count = [], -(-2 * total // max_windows)
+        dealt = [(count, k) for k in range(count)]
+        sizes = {}
+        while dealt:
+            for c in {c for c, _ in dealt}:
+                at = F.pmod(F.xxhash64("row"), F.lit(c))
+                sizes[c] = {r["b"]: (r["n"], r["rows"]) for r in numbered.groupBy(at.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}  # one row a block
+            again = []
+            for c, k in dealt:
+                size, rows = sizes[c].get(k, (0, 0))
+                if size > max_windows and rows > 1:
+                    again += [(2 * c, k), (2 * c, k + c)]
+                elif size:
+                    of_block.append(numbered.where(F.pmod(F.xxhash64("row"), F.lit(c)) == k))
+            dealt = again
+    for one in of_block:
+        rows = [(r.item, bytes(r.body)) for r in one.select("item", "body").collect()]  # max_windows windows at most
+        yield spark.sparkContext.broadcast(Windows(sorted(rows), n))
 
 
 def batch_hits(windows: Windows, bodies: list[bytes]):
@@ -133,7 +154,7 @@ def all_hits(sets: list, bodies: list[bytes]) -> list[list]:
                 row[1] = hit if row[1] is None else row[1] | hit
             row[2] |= items
         if len(sets) > 1:
-            b.__dict__.pop("_value", None)
+            vars(b).pop("_value", None)  # what the worker keeps of a broadcast; were it elsewhere, only memory would tell
     return out
 
 

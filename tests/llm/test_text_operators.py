@@ -212,6 +212,21 @@ def test_decontamination_by_brute_force(spark, max_windows):
         assert (got[i].n_words, sum(h.end - h.start for h in got[i].hits), got[i]["items"]) == (n, hit, found)
 
 
+def test_one_large_item_is_dealt_into_blocks(spark):
+    """Items of one text, and an item of many windows, keep the bound of a block."""
+    rng = np.random.default_rng(6)
+    long = [f"w{x}" for x in rng.integers(0, 40, 700)]
+    bench = spark.createDataFrame([(1, " ".join(long))] + [(i, "same text of five words") for i in range(2, 40)], "item_id long, text string")
+    found = list(decontaminate.blocks(bench, 3, 50, "item_id", "text"))
+    sizes = [sum(len(rows) for _, _, _, rows, _ in b.value.by_size) for b in found]
+    assert len(found) > 10 and max(sizes) <= 50
+    texts = [" ".join(long[k : k + 5]) for k in range(0, 690, 7)] + ["x same text of five words y", "five of text"]
+    got = {r.doc_id: r for r in decontaminate.scan(table(spark, texts), bench, 3, 50).collect()}
+    for i, t in enumerate(texts):
+        n, hit, items = brute(t, [(1, " ".join(long))] + [(i, "same text of five words") for i in range(2, 40)], 3)
+        assert (got[i].n_words, sum(h.end - h.start for h in got[i].hits), got[i]["items"]) == (n, hit, items)
+
+
 def test_cleaning_cuts_passages_only(spark):
     passage = "one two three four five six seven eight nine ten eleven"
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
