@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import decontaminate, langid, neardup, packing, secrets
-from granary.llm.common import stored, table
+from granary.llm.common import clean_up, made, stored, table
 from granary.llm.queries import tokenizer_path
 
 #: Below this mean posterior of its best language a document counts as being in none.
@@ -16,7 +16,8 @@ MIN_LANGUAGE_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and those that no learned language explains; the model learns from docs."""
+    """Rejects texts without a letter and those that no learned language explains; the model learns from docs. Where no
+    row has both a text and a lang nothing can be learned, and all rows stay."""
     return langid.accepted(docs, langid.train(docs), MIN_LANGUAGE_SCORE)
 
 
@@ -53,8 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again; the last is returned unwritten."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read again; the last is returned unwritten. What a
+    stage has left in the folder is deleted once its rows are written, and so are the rows of the stage before."""
+    docs, since = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        clean_up(spark, since, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
