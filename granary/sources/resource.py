@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 from granary.functions.texture import PAGE_FIELDS
@@ -12,9 +13,7 @@ from granary.functions.texture import PAGE_FIELDS
 RSC7_MAGIC, RSC5_MAGIC = 0x37435352, 0x05435352
 VIRTUAL, PHYSICAL = 0x50000000, 0x60000000
 MAX_PAGES = 128
-#: Pages of each size (base << 0 to base << 4) that the flags can count, and the first bits of those counts.
-PAGE_CLASSES = ((0x7F, 17), (0x3F, 11), (0xF, 7), (0x3, 5), (0x1, 4))
-BASE_PAGE, PAGE_ALIGN, MAX_SHIFT = 0x2000, 16, 15
+PAGE_ALIGN, MAX_SHIFT = 16, 15
 
 
 class Rejected(ValueError):
@@ -87,48 +86,63 @@ def write_rsc7(version: int, system_flags: int, graphics_flags: int, system: byt
     return struct.pack("<4I", RSC7_MAGIC, version, system_flags, graphics_flags) + deflated(body)
 
 
+def _best_fit(order: list[int], need: list[int], shift: int, first: int, max_pages: int) -> tuple[dict[int, tuple[int, int]], list[list[int]]] | None:
+    """Blocks in order of falling size, each into the page with the least room that takes it: (page, place in it) of each
+    block, and (class, bytes used) of each page. The first page is of the class first, no other is larger."""
+    unit, left = 512 << shift, [(1 << width) - 1 for _, width in PAGE_FIELDS]
+    pages: list[list[int]] = []
+    free: list[tuple[int, int]] = []  # room and page, sorted
+    place = {}
+    for i in order:
+        at = bisect_left(free, (need[i], -1))
+        if at < len(free):
+            room, page = free.pop(at)
+        else:
+            some = (k for k in (range(first + 1) if pages else (first,)) if left[k] and unit << k >= need[i])
+            kind = next(some, None)
+            if kind is None or len(pages) == max_pages:
+                return None
+            left[kind] -= 1
+            room, page = unit << kind, len(pages)
+            pages.append([kind, 0])
+        place[i] = page, pages[page][1]
+        pages[page][1] += need[i]
+        if room > need[i]:
+            insort(free, (room - need[i], page))
+    for page in sorted(pages[1:], key=lambda p: p[1]):  # pages that are not full may do with a smaller class
+        kind = next((k for k in range(page[0]) if left[k] and unit << k >= page[1]), None)
+        if kind is not None:
+            left[kind] -= 1
+            left[page[0]] += 1
+            page[0] = kind
+    return place, pages
+
+
 def pack_pages(sizes: list[int], max_pages: int = MAX_PAGES) -> tuple[list[int], int, int]:
-    """First-fit decreasing of blocks into pages of five sizes: (offset of each block, page flags, total bytes).
+    """Blocks into pages of all classes that flags can count: (offset of each block, page flags, total bytes).
 
-    No block straddles pages, each starts at a multiple of 16, the largest at 0. Where the pages are too many to be
-    counted, the base size is doubled and all is packed anew."""
-    largest = max(sizes, default=0)
-    if not largest:
+    No block straddles pages, each starts at a multiple of 16, the largest at 0. Of the units that will do the two least
+    are tried, and the one with the smaller total is taken."""
+    need = [-(-s // PAGE_ALIGN) * PAGE_ALIGN for s in sizes]
+    order = sorted((i for i, s in enumerate(need) if s), key=lambda i: (-need[i], i))
+    if not order:
         return [0] * len(sizes), 0, 0
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    shift = next((s for s in range(MAX_SHIFT + 1) if BASE_PAGE << s >= min(sizes) and (BASE_PAGE << s) * 16 >= largest), None)
-    if shift is None:
-        raise ValueError("a block is larger than the largest page")
-    for shift in range(shift, MAX_SHIFT + 1):
-        base = BASE_PAGE << shift
-        top = next(k for k in range(5) if base << k >= largest)
-        pages: list[list[int]] = [[] for _ in PAGE_CLASSES]  # bytes used of each page
-        place = {}
-        for i in order:
-            kind = next((k for k in range(top + 1) if base << k >= sizes[i]), top) if place else top
-            spot = None
-            for k in range(kind, top + 1) if place else ():
-                for p, used in enumerate(pages[k]):
-                    at = -(-used // PAGE_ALIGN) * PAGE_ALIGN
-                    if at + sizes[i] <= base << k:
-                        spot = (k, p, at)
-                        break
-                if spot:
-                    break
-            if spot is None:
-                pages[kind].append(0)
-                spot = (kind, len(pages[kind]) - 1, 0)
-            pages[spot[0]][spot[1]] = spot[2] + sizes[i]
-            place[i] = spot
-        counts = [len(p) for p in pages]
-        if sum(counts) <= max_pages and all(n <= most for n, (most, _) in zip(counts, PAGE_CLASSES)):
+    largest, found = need[order[0]], []
+    for shift in range(MAX_SHIFT + 1):
+        for first in range(len(PAGE_FIELDS)):
+            if 512 << shift << first >= largest and (packed := _best_fit(order, need, shift, first, max_pages)):
+                found.append((sum(512 << shift << k for k, _ in packed[1]), shift, *packed))
+                break
+        if len(found) == 2:
             break
-    else:
-        raise ValueError("more pages than flags can count")
-    first = [sum(counts[j] * (base << j) for j in range(k + 1, 5)) for k in range(5)]  # large pages come first
-    offsets = [first[k] + p * (base << k) + at if sizes[i] else 0 for i, (k, p, at) in sorted(place.items())]
-    flags = shift | sum(n << bit for n, (_, bit) in zip(counts, PAGE_CLASSES))
-    return offsets, flags, sum(n * (base << k) for k, n in enumerate(counts))
+    if not found:
+        raise ValueError("the blocks need larger or more pages than flags can count")
+    total, shift, place, pages = min(found, key=lambda f: f[:2])
+    starts, at, flags = {}, 0, shift
+    for page in sorted(range(len(pages)), key=lambda p: (-pages[p][0], p)):  # large pages come first
+        starts[page], at = at, at + (512 << shift << pages[page][0])
+        flags += 1 << PAGE_FIELDS[pages[page][0]][0]
+    return [starts[place[i][0]] + place[i][1] if i in place else 0 for i in range(len(sizes))], flags, total
 
 
 def pointer(value: int, base: int) -> int:
