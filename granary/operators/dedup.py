@@ -15,8 +15,15 @@ POSITION = ("archive", "ordinal")
 
 
 def name_key(name: Column, size: int = KEY_BYTES) -> Column:
-    """The lower-cased name, cut to size characters."""
-    return F.substring(F.lower(name), 1, size)
+    """The first size bytes of the name with A-Z lower-cased. Where a cut halves a character, its bytes there are shown in
+    the key as \\x and two digits, so that the key is text and as many bytes tell names apart."""
+    low = F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    raw = F.substring(low.cast("binary"), 1, size)
+    whole = F.is_valid_utf8(raw.cast("string"))
+    # a character has four bytes at most: one to three of them may stand at the end
+    end = F.when(F.is_valid_utf8(F.substring(raw, 1, size - 1).cast("string")), 1).when(F.is_valid_utf8(F.substring(raw, 1, size - 2).cast("string")), 2).otherwise(3)
+    rest = F.regexp_replace(F.lower(F.hex(F.substring(raw, size + 1 - end, end))), "(..)", "\\\\x$1")
+    return F.when(whole, raw.cast("string")).otherwise(F.concat(F.substring(raw, F.lit(1), size - end).cast("string"), rest))
 
 
 def keyed(textures: DataFrame, criterion: str, key_bytes: int = KEY_BYTES) -> DataFrame:
@@ -66,6 +73,18 @@ def commit(textures: DataFrame, removed: DataFrame) -> DataFrame:
     return textures.join(removed.select("archive", "ordinal").distinct(), ["archive", "ordinal"], "left_anti")
 
 
+def committed(textures: DataFrame, removed: DataFrame, binned: DataFrame, name: str = "consolidated_textures_%d.ytd") -> DataFrame:
+    """The catalogue after a migration: without the removed rows, and with the copies in their bins' archives. binned: rows
+    (archive, ordinal, bin) of textures that are copied. A copy keeps all fields but its place: its archive is the bin's, its
+    ordinal its place in it, in the order of the bins' making."""
+    kept = commit(textures, removed)
+    place = Window.partitionBy("bin").orderBy("group_archive", "group_ordinal", "archive", "ordinal")  # a bin holds few textures: LIMIT bytes
+    order = binned.withColumn("__place", (F.row_number().over(place) - 1).cast("long")).select("archive", "ordinal", "bin", "__place")
+    moved = textures.join(order, ["archive", "ordinal"])
+    new = {"archive": F.format_string(name, F.col("bin")), "ordinal": F.col("__place").cast(textures.schema["ordinal"].dataType)}
+    return kept.unionByName(moved.select(*(new.get(c, F.col(c)).alias(c) for c in textures.columns)))
+
+
 def kept_back(removed: DataFrame, bins: DataFrame, keep_bins: tuple[int, ...]) -> DataFrame:
     """The removals that don't feed a bin whose originals are to be kept. bins: (dup_key, bin)."""
     held = bins.where(F.col("bin").isin(*keep_bins)).select("dup_key").distinct()

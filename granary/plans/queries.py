@@ -12,6 +12,7 @@ from granary.functions import paths
 from granary.functions import texture as T
 from granary.functions.formats import format_dim
 from granary.operators import catalog, consolidate, dedup, edits, naming, optimise
+from granary.operators.tables import ranked
 from granary.plans.standins import PARTS, archives_of_nations, read, sized_parts, sql, tex_customers, tex_docs, tex_parts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +33,9 @@ def query(name: str, oracle: str | None = None):
 
 # Duplicates: groups, members, strategies, bins, commit -----------------------------------------------------------
 
-KEYS = {"name": "substr(lower(name), 1, 64)", "hash": "sha", "name_hash": "substr(lower(name), 1, 64) || '|' || sha"}
+#: The stand-in's names are ASCII, so that bytes are characters; other names are in the tests.
+_NAME_KEY = "substr(translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 1, 64)"
+KEYS = {"name": _NAME_KEY, "hash": "sha", "name_hash": f"{_NAME_KEY} || '|' || sha"}
 
 
 def _keyed(criterion: str) -> str:
@@ -105,7 +108,7 @@ def _binned(spark, d):
 
 @query("consolidation_bins", sql(_BINS, "SELECT * FROM binned", recursive=True))
 def consolidation_bins(spark, d):
-    return _binned(spark, d)
+    return _binned(spark, d).select("dup_key", "archive", "ordinal", "data_size", "bin")
 
 
 @query("consolidation_summary", sql(_BINS, "SELECT bin, count(*) AS textures, CAST(sum(data_size) AS BIGINT) AS bytes, 'consolidated_textures_' || bin || '.ytd' AS file_name FROM binned GROUP BY bin", recursive=True))
@@ -125,6 +128,29 @@ def migrate_commit_textures(spark, d):
     return dedup.commit(t, dedup.removals(t, "hash", "mixed")).select("archive", "ordinal", "name", "sha")
 
 
+_PLACED = [
+    "ordered AS (SELECT c.*, row_number() OVER (ORDER BY g.archive, g.ordinal, c.archive, c.ordinal) AS i FROM copies c JOIN (SELECT dup_key, archive, ordinal FROM dup WHERE rn = 1) g USING (dup_key))",
+    _BINS[-2],
+    "placed AS (SELECT o.archive, o.ordinal, bin, row_number() OVER (PARTITION BY bin ORDER BY i) - 1 AS place FROM ordered o JOIN fit USING (i))",
+]
+for _strategy, _which, _first in (("mixed", "rn > 1", "copies AS (SELECT dup_key, archive, ordinal, name, data_size FROM dup WHERE rn = 1)"), ("remove", "true", _COPIES)):
+
+    def _commit_full(spark, d, strategy=_strategy):
+        t = tex_docs(spark, d)
+        binned = consolidate.bins(dedup.copies(t, "hash", strategy), BIN_LIMIT)
+        return dedup.committed(t, dedup.removals(t, "hash", strategy), binned).select("archive", "ordinal", "name", "data_size", "sha")
+
+    query(
+        f"migrate_commit_full_{_strategy}",
+        sql(
+            [*_ranked("hash"), _first, *_PLACED],
+            f"""SELECT archive, ordinal, name, data_size, sha FROM tex_docs t WHERE NOT EXISTS (SELECT 1 FROM dup x WHERE {_which} AND x.archive = t.archive AND x.ordinal = t.ordinal)
+  UNION ALL SELECT 'consolidated_textures_' || bin || '.ytd', place, name, data_size, sha FROM placed JOIN tex_docs USING (archive, ordinal)""",
+            recursive=True,
+        ),
+    )(_commit_full)
+
+
 @query("migrate_keep_originals", sql(_BINS, "SELECT dup_key, archive, ordinal FROM dup WHERE rn > 1 AND dup_key NOT IN (SELECT dup_key FROM binned WHERE bin IN (1, 3))", recursive=True))
 def migrate_keep_originals(spark, d):
     return dedup.kept_back(dedup.removals(tex_docs(spark, d), "hash", "mixed"), _binned(spark, d), (1, 3))
@@ -200,9 +226,7 @@ def _listed(spark, d):
 for _mode, _by in _ARCHIVE_ORDER.items():
 
     def _sorted_archives(spark, d, mode=_mode):
-        rows = _listed(spark, d)
-        order = Window.orderBy(*catalog._order(catalog.ARCHIVE_MODES[mode], ["archive"]))  # one row per archive
-        return rows.withColumn("rank", F.row_number().over(order)).select("archive", "rank")
+        return ranked(_listed(spark, d), [], catalog._order(catalog.ARCHIVE_MODES[mode], ["archive"])).select("archive", "rank")
 
     query(f"sort_archives_{_mode}", sql([*PARTS, _ROLLED, _ARCHIVES], f"SELECT archive, CAST(row_number() OVER (ORDER BY {_by}, archive) AS INTEGER) AS rank FROM listed"))(_sorted_archives)
 
@@ -211,8 +235,7 @@ for _mode, _by in _TEXTURE_ORDER.items():
 
     def _sorted_textures(spark, d, mode=_mode):
         rows = sized_parts(spark, d).withColumn("pixels", c("width").cast("long") * c("height")).withColumn("format_name", T.format_name(c("format")))
-        order = Window.partitionBy("archive").orderBy(*catalog._order(catalog.TEXTURE_MODES[mode], ["ordinal"]))
-        return rows.withColumn("rank", F.row_number().over(order)).select("archive", "ordinal", "rank")
+        return ranked(rows, ["archive"], catalog._order(catalog.TEXTURE_MODES[mode], ["ordinal"])).select("archive", "ordinal", "rank")
 
     query(f"sort_textures_{_mode}", sql(PARTS, f"SELECT archive, ordinal, CAST(row_number() OVER (PARTITION BY archive ORDER BY {_by}, ordinal) AS INTEGER) AS rank FROM sized JOIN format_dim ON format = code"))(_sorted_textures)
 
@@ -240,9 +263,21 @@ def search_textures(spark, d):
     return catalog.search_textures(tex_parts(spark, d), "RING").select("archive", "ordinal", "name")
 
 
-@query("search_archives_exists", sql(["archives", "tex_customers"], "SELECT archive FROM archives a WHERE contains(lower(archive), 'ch') OR EXISTS (SELECT 1 FROM tex_customers t WHERE t.archive = a.archive AND contains(t.name, '000ch')) OR EXISTS (SELECT 1 FROM archives k WHERE k.parent = a.archive AND contains(lower(k.archive), 'ch'))"))
+#: Searches that hit archives by their own name, by a texture in them, and by a child.
+_SEARCHES = ("n_2", "#00000012", "asia")
+
+
+@query(
+    "search_archives_exists",
+    sql(
+        ["archives", "tex_customers", "searches(q) AS (VALUES " + ", ".join(f"('{q}')" for q in _SEARCHES) + ")", "hit AS (SELECT q, archive, parent FROM archives a, searches WHERE contains(lower(archive), q) OR EXISTS (SELECT 1 FROM tex_customers t WHERE t.archive = a.archive AND contains(lower(t.name), q)))"],
+        "SELECT q AS query, archive FROM hit UNION SELECT q, parent FROM hit WHERE parent IS NOT NULL",
+    ),
+)
 def search_archives_exists(spark, d):
-    return catalog.search_archives(archives_of_nations(spark, d), tex_customers(spark, d), "cH").select("archive")
+    a, t = archives_of_nations(spark, d), tex_customers(spark, d)
+    found = [catalog.search_archives(a, t, q.upper()).select(F.lit(q).alias("query"), "archive") for q in _SEARCHES]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("visible_rows", sql(["archives", "tex_customers"], "SELECT archive, CAST(NULL AS BIGINT) AS ordinal, archive AS name FROM archives UNION ALL SELECT archive, ordinal, name FROM tex_customers WHERE archive IN (SELECT max(archive) FROM archives WHERE NOT is_group)"))
@@ -374,8 +409,10 @@ def name_hash(spark, d):
 
 @query("hash_sorted_dictionary", sql(["tex_parts", *_HASH], "SELECT archive, ordinal, CAST(row_number() OVER w AS INTEGER) AS slot, lag(ordinal) OVER w AS prev, lead(ordinal) OVER w AS next FROM hashed WINDOW w AS (PARTITION BY archive ORDER BY name_hash, ordinal)"))
 def hash_sorted_dictionary(spark, d):
-    w = Window.partitionBy("archive").orderBy("name_hash", "ordinal")  # a dictionary holds 4096 textures at most
-    return tex_parts(spark, d).withColumn("name_hash", T.name_hash(c("name"))).select("archive", "ordinal", F.row_number().over(w).alias("slot"), F.lag("ordinal").over(w).alias("prev"), F.lead("ordinal").over(w).alias("next"))
+    rows = tex_parts(spark, d).select("archive", "ordinal", T.name_hash(c("name")).alias("name_hash"))
+    slots = ranked(rows, ["archive"], [F.asc("name_hash"), F.asc("ordinal")], "slot").select("archive", "ordinal", "slot")
+    beside = lambda by, name: slots.select("archive", (c("slot") + by).alias("slot"), c("ordinal").alias(name))
+    return slots.join(beside(1, "prev"), ["archive", "slot"], "left").join(beside(-1, "next"), ["archive", "slot"], "left").select("archive", "ordinal", "slot", "prev", "next")
 
 
 @query("payload_sha", "SELECT doc_id, sha256(text) AS sha, CAST(strlen(text) AS BIGINT) AS data_size FROM documents")
