@@ -1,13 +1,14 @@
 """BC7 blocks: a decoder for all eight modes and an encoder in mode 6, after the public format description.
 
 Modes of several subsets need the format's partition shapes (64 each for two and three subsets, with their anchor
-pixels).  These tables are too large to be held here and follow no rule, so they are a parameter: Partitions.  Without
-it, blocks of one subset (modes 4, 5 and 6, which the encoder emits) are decoded; decode_blocks() raises at others, and
+pixels).  These tables are too large to be held here and follow no rule, so they are a parameter of all that decodes:
+Partitions, which can be read from a file.  Without it, blocks of one subset (modes 4, 5 and 6, which the encoder emits) are decoded; decode_blocks() raises at others, and
 decode_block() makes them opaque black, as blocks without a valid mode are.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,20 @@ class Partitions:
     anchors_two: np.ndarray  # (64, 1)
     anchors_three: np.ndarray  # (64, 2)
 
+    def __post_init__(self) -> None:
+        for name, shape, most in (("two", (64, 16), 1), ("three", (64, 16), 2), ("anchors_two", (64, 1), 15), ("anchors_three", (64, 2), 15)):
+            table = np.asarray(getattr(self, name))
+            if table.shape != shape or table.min() < 0 or table.max() > most:
+                raise ValueError(f"{name}: numbers from 0 to {most} in shape {shape} are wanted")
+
+    @classmethod
+    def read(cls, path: str) -> Partitions:
+        """From a JSON file of four lists under the names of the fields, in a folder or store."""
+        from granary.sources import stores
+
+        held = json.loads(stores.whole(path))
+        return cls(*(np.array(held[n], np.int64) for n in ("two", "three", "anchors_two", "anchors_three")))
+
 
 def _expand(v: int, bits: int) -> int:
     return (v << 8 - bits | v >> 2 * bits - 8) & 255 if bits < 8 else v

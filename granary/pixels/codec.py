@@ -24,12 +24,12 @@ def level(data: bytes, w: int, h: int, fmt: int, index: int) -> tuple[bytes, int
     return data[at : at + n], a, b
 
 
-def decode(data: bytes, w: int, h: int, fmt: int, index: int = 0) -> np.ndarray:
-    """A level as BGRA."""
+def decode(data: bytes, w: int, h: int, fmt: int, index: int = 0, partitions: bc7.Partitions | None = None) -> np.ndarray:
+    """A level as BGRA. partitions: the format's tables for BC7 blocks of several subsets, which fail without them."""
     raw, w, h = level(data, w, h, fmt, index)
     f = BY_CODE[fmt]
     if f.compressed:
-        return _from_blocks(_decode_blocks(np.frombuffer(raw, np.uint8).reshape(-1, f.block_bytes), fmt), w, h)
+        return _from_blocks(_decode_blocks(np.frombuffer(raw, np.uint8).reshape(-1, f.block_bytes), fmt, partitions), w, h)
     out = np.empty((h, w, 4), np.uint8)
     if f.pixel_bytes == 4:
         px = np.frombuffer(raw, np.uint8).reshape(h, w, 4)
@@ -101,11 +101,11 @@ def _ramp(block: np.ndarray) -> np.ndarray:
     return np.take_along_axis(palette, index.astype(np.int64), axis=1)
 
 
-def _decode_blocks(b: np.ndarray, fmt: int) -> np.ndarray:
+def _decode_blocks(b: np.ndarray, fmt: int, partitions: bc7.Partitions | None = None) -> np.ndarray:
     if fmt == BC1:
         return _colours(b, True).astype(np.uint8)
     if fmt == BC7:
-        return bc7.decode_blocks(b)
+        return bc7.decode_blocks(b, partitions)
     out = np.full((len(b), 16, 4), 255, np.int32)
     if fmt in (BC2, BC3):
         out = _colours(b[:, 8:], False)
@@ -206,12 +206,12 @@ def _encode_plain(image: np.ndarray, key: str) -> bytes:
     return v.astype("<u2").tobytes()
 
 
-def alpha_in_use(data: bytes | None, w: int, h: int, fmt: int) -> bool:
+def alpha_in_use(data: bytes | None, w: int, h: int, fmt: int, partitions: bc7.Partitions | None = None) -> bool:
     """Whether level 0 has an alpha below 250; unreadable payloads count as using it."""
     if fmt in BY_CODE and not BY_CODE[fmt].has_alpha:
         return False
     try:
-        return bool((decode(data, w, h, fmt)[..., 3] < 250).any())
+        return bool((decode(data, w, h, fmt, 0, partitions)[..., 3] < 250).any())
     except (ValueError, KeyError, TypeError):
         return True
 

@@ -1,4 +1,4 @@
-"""Writing archives back: dictionaries, models, containers, and files in versioned folders.
+"""Archives in their own formats: dictionaries, models and containers, as bytes that the sink of files writes.
 
 An archive holds 4096 textures at most, so bringing one together in a task is bounded; containers are rewritten one
 to a task, from their own bytes and the replacements for them.
@@ -6,11 +6,8 @@ to a task, from their own bytes and the replacements for them.
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from granary.sources import container, dictionary
 
@@ -68,10 +65,3 @@ def rewrite_containers(files: DataFrame, replacements: DataFrame) -> DataFrame:
 
     wanted = replacements.withColumnRenamed("source_path", "path").select("path", "entry_path", "content")
     return files.select("path", "content").groupBy("path").cogroup(wanted.groupBy("path")).applyInArrow(make, SAVED)
-
-
-def snapshot(saved: DataFrame, folder: str) -> str:
-    """Writes (archive_id, content) below a new versioned folder, originals untouched, and returns its path."""
-    out = f"{folder.rstrip('/')}/version-{uuid.uuid4().hex}"
-    saved.select("archive_id", F.sha2("content", 256).alias("sha"), "content").write.parquet(out)
-    return out

@@ -216,12 +216,70 @@ def test_scan_of_a_folder(spark, tmp_path):
     rep = spark.createDataFrame([(rows["c.rpf"].archive_id, "in.ytd", bytearray(new))], "source_path string, entry_path string, content binary")
     row = sink.rewrite_containers(found, rep).first()
     assert container.payload(bytes(row.content), next(container.walk(bytes(row.content)))) == new
-    path = sink.snapshot(sink.rewrite_containers(found, rep), str(tmp_path / "out"))
-    assert spark.read.parquet(path).count() == 1
     edit = spark.createDataFrame([(rows["m.ydd"].archive_id, 0, 4, 4, 0, 1, bytearray(texture("m0", 4, 4)["data"]))], "archive_id string, ordinal int, width int, height int, format int, mip_count int, data binary")
     assert sink.save_models(found, edit).first().status == "ok"
     files.register(spark)
-    assert spark.read.format("texture_assets").load(str(tmp_path)).count() == 7
+    source = spark.read.format("texture_assets").load(str(tmp_path))
+    assert source.count() == 7 and source.where("wtd_meta IS NOT NULL").count() == 1
+    assert sorted(map(str, source.drop("texture_id", "archive_id").collect())) == sorted(map(str, textures.drop("texture_id", "archive_id").collect()))
+    archives, both = files.load(found)
+    assert archives.count() == len(rows) and sorted(map(str, both.collect())) == sorted(map(str, textures.collect()))
+
+
+def test_names_with_underscores_and_large_files(spark, tmp_path):
+    ytd = dictionary.write_ytd([texture("a")])
+    (tmp_path / "_sub").mkdir()
+    for name in ("_a.ytd", "_sub/b.YTD", "c.ytd", "_sub/.d.ytd", "._e.ytd", "_x.txt"):
+        (tmp_path / name).write_bytes(ytd)
+    found = files.listed(spark, str(tmp_path))
+    assert sorted(r.path.rsplit(str(tmp_path), 1)[1] for r in found.collect()) == ["/_a.ytd", "/_sub/b.YTD", "/c.ytd"]
+    assert files.read_textures(found).count() == 3
+    assert "_sub" not in str([r.path for r in files.listed(spark, str(tmp_path), (".rpf",)).collect()])
+    # files beyond the limit: containers are read by ranges, others are refused with a reason
+    raw = rpf([("in.ytd", ytd), ("other.ytd", ytd)])
+    (tmp_path / "big.rpf").write_bytes(raw)
+    (tmp_path / "_big.rpf").write_bytes(raw)
+    found = files.listed(spark, str(tmp_path), largest=len(ytd) - 1)
+    assert found.where("content IS NOT NULL").count() == 0
+    rows = files.read_archives(found).collect()
+    assert sorted(r.status for r in rows) == ["ok"] * 6 + ["rejected"] * 3 and all("too many" in r.error for r in rows if r.status == "rejected")
+    assert files.read_textures(found).count() == 4 and files.read_entries(found).count() == 4
+
+
+def test_files_are_written_with_backups(spark, tmp_path):
+    from granary.sinks import files as out
+
+    ytd, src = dictionary.write_ytd([texture("a"), texture("b/c", seed=1)]), tmp_path / "src"
+    (src / "sub").mkdir(parents=True)
+    (src / "one.ytd").write_bytes(ytd)
+    (src / "sub" / "ONE.ytd").write_bytes(ytd)
+    (src / "w.wtd").write_bytes(dictionary.write_wtd({}, [texture("w")]))
+    nested = rpf([("deep.ytd", ytd)])
+    (src / "c.rpf").write_bytes(rpf([("in.ytd", ytd), ("inner.rpf", nested)]))
+    found = files.listed(spark, str(src))
+    archives, textures = files.load(found)
+    report = {r.path: r for r in out.export_images(textures.where("archive_id LIKE '%src/one.ytd'"), str(tmp_path / "dds")).collect()}
+    assert sorted(p[len(str(tmp_path)) :] for p in report) == ["/dds/one/a.dds", "/dds/one/b_c.dds"] or len(report) == 2
+    assert all(r.status == "written" and open(p, "rb").read()[:4] == b"DDS " for p, r in report.items())
+    saved = out.natives(archives, textures)
+    listed = archives.withColumn("is_preview", F.lit(False)).withColumn("position", F.xxhash64("archive_id")).withColumn("modified", F.lit(True))
+    folder, report = out.snapshot(saved, listed, str(tmp_path / "projects"))
+    rows = report.collect()
+    assert len(rows) == 5 and all(r.status == "written" and r.path.startswith(folder) for r in rows) and len({r.path.lower() for r in rows}) == 5
+    before = {p: p.read_bytes() for p in src.rglob("*") if p.is_file()}
+    new = spark.createDataFrame([(r.archive_id, "ok", None, bytearray(dictionary.write_ytd([texture("new", seed=9)]))) for r in archives.where("kind = 'archive' AND type = 'YTD'").collect()], "archive_id string, status string, error string, content binary")
+    rows = {r.path.rsplit("src/", 1)[1]: r for r in out.replaced_originals(listed, new, found).collect()}
+    assert sorted(rows) == ["c.rpf", "c_exports/inner.rpf/deep.ytd", "one.ytd", "sub/ONE.ytd"] and {r.status for r in rows.values()} == {"written"}
+    assert rows["c.rpf"].backup.endswith("c.rpf.bak1") and (src / "c.rpf.bak1").read_bytes() == before[src / "c.rpf"]
+    assert [t["name"] for t in dictionary.read_ytd((src / "one.ytd").read_bytes())[1]] == ["new"]
+    inside = {e["logical_path"]: e for e in container.walk((src / "c.rpf").read_bytes())}
+    assert dictionary.read_ytd(container.payload((src / "c.rpf").read_bytes(), inside["in.ytd"]))[1][0]["name"] == "new"
+    assert (src / "w.wtd").read_bytes() == before[src / "w.wtd"]
+    # the same bytes again change nothing, other bytes make the next backup, and a bad place is a row
+    assert out.put(str(src / "one.ytd"), (src / "one.ytd").read_bytes(), True)["status"] == "same"
+    assert out.put(str(src / "c.rpf"), b"other", True)["backup"].endswith("c.rpf.bak2")
+    assert out.put(str(src / "one.ytd" / "x"), b"x")["status"] == "failed" and out.written(spark.createDataFrame([("x", None)], "path string, content binary")).first().status == "failed"
+    assert not list(src.rglob("*.part-*"))
 
 
 def test_watched_folder(spark, tmp_path):
@@ -329,3 +387,31 @@ def test_bc7_of_several_subsets_is_left_alone(mode):
     assert codec.alpha_in_use(raw, 4, 4, codec.BC7)
     for other in (1 << 6, 1 << 4, 1 << 5, 0):
         assert codec.decode(other.to_bytes(16, "little"), 4, 4, codec.BC7).shape == (4, 4, 4)
+
+
+def test_partitions_reach_all_that_decodes(spark, tmp_path):
+    import json
+
+    from granary.pixels import bc7
+
+    rng = np.random.default_rng(4)
+    shapes = {"two": rng.integers(0, 2, (64, 16)).tolist(), "three": rng.integers(0, 3, (64, 16)).tolist(), "anchors_two": [[15]] * 64, "anchors_three": [[3, 15]] * 64}
+    (tmp_path / "shapes.json").write_text(json.dumps(shapes))
+    held = bc7.Partitions.read(str(tmp_path / "shapes.json"))
+    blocks = []
+    for mode in range(8):
+        raw = bytearray(rng.integers(0, 256, 16, np.uint8).tobytes())
+        raw[0] = raw[0] >> mode + 1 << mode + 1 & 255 | 1 << mode
+        blocks.append(bytes(raw))
+    rows = [("a", i, 4, 4, codec.BC7, bytearray(b), 1, 4, 4, 5, 1) for i, b in enumerate(blocks)]
+    df = spark.createDataFrame(rows, "archive_id string, ordinal int, width int, height int, format int, data binary, mip_count int, new_width int, new_height int, new_format int, new_mips int")
+    out = {r.ordinal: r for r in pixels.applied(df, held).collect()}
+    for i, b in enumerate(blocks):
+        want = bc7.decode_block(b, held).reshape(4, 4, 4)[..., [2, 1, 0, 3]]
+        assert out[i].status == "ok" and bytes(out[i].data) == want.astype(np.uint8).tobytes()
+    assert {r.ordinal: r.status for r in pixels.applied(df).collect()} == {i: "ok" if i in (4, 5, 6) else "failed" for i in range(8)}
+    assert pixels.previews(df, 4, held).where("bgra IS NULL").count() == 0 and pixels.previews(df, 4).where("bgra IS NULL").count() == 5
+    used = {r.ordinal: r.alpha_used for r in pixels.with_alpha_used(df, held).collect()}
+    assert used == {i: bool((bc7.decode_block(b, held)[:, 3] < 250).any()) for i, b in enumerate(blocks)}
+    with pytest.raises(ValueError):
+        bc7.Partitions(np.zeros((1, 16)), np.zeros((64, 16)), np.zeros((64, 1)), np.zeros((64, 2)))
