@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from granary.functions import paths
 from granary.functions import texture as T
-from granary.operators import catalog, consolidate, dedup, edits, naming, optimise
+from granary.operators import catalog, consolidate, dedup, edits, naming, optimise, tables
 from granary.plans.standins import sized_parts, tex_docs
 
 DATA = "/root/testdata/sf0.001"
@@ -114,3 +117,50 @@ def test_empty_tables(spark):
 def test_export_name_clash(spark):
     t = spark.createDataFrame([("a", 1, "x?"), ("a", 2, "X*"), ("b", 3, "x?")], "archive string, ordinal long, name string")
     assert sorted(r.file_name for r in naming.export_names(t).collect()) == ["X__2.dds", "x_.dds", "x_.dds"]
+
+
+def test_name_keys_by_bytes(spark):
+    """The first 64 bytes count, with A-Z lower-cased; a cut character's bytes still tell names apart."""
+    names = ["Plain", "PLAIN", "x" * 63 + "\u00e9", "x" * 63 + "\u00e8", "x" * 63 + "\u0100", "\u00c9" + "a" * 70, "\u00e9" + "a" * 70, "x" * 62 + "\u4e2d", "x" * 61 + "\U0001d4b3", "x" * 64 + "tail", "x" * 64, "", None]
+
+    def plain(name):
+        return None if name is None else "".join(c.lower() if c.isascii() else c for c in name).encode()[:64]
+
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, name string").select("i", dedup.name_key(F.col("name")).alias("k")).collect()
+    got = {r.i: r.k for r in rows}
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            assert (got[i] == got[j]) == (plain(a) == plain(b)), (a, b)
+    assert got[0] == "plain" and got[9] == "x" * 64 and got[12] is None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([0, 1, 3, 5, 9, 12, 30]), max_size=40), st.lists(st.integers(0, 40), max_size=5), st.sampled_from([1, 5, 10, 20]))
+def test_bins_of_ranges_are_those_of_one_pass(sizes, cuts, limit):
+    edges = [0, *sorted(min(c, len(sizes)) for c in cuts), len(sizes)]
+    ranges = [sizes[a:b] for a, b in zip(edges, edges[1:])]
+    starts = consolidate.entered([consolidate.passage(r, limit) for r in ranges])
+    got = [n for r, (number, fill) in zip(ranges, starts) for n, _ in consolidate.next_fit(r, limit, fill, number)]
+    assert got == [n for n, _ in consolidate.next_fit(sizes, limit)]
+
+
+def test_ranks_over_ranges(spark):
+    rng = np.random.default_rng(2)
+    rows = [(None if rng.random() < 0.1 else f"k{int(rng.integers(0, 3)) ** 2}", int(rng.integers(0, 50)), i) for i in range(800)]
+    df = spark.createDataFrame(rows, "k string, v int, i long").withColumn("name", F.lit("clash"))
+    got = {r.i: r.place for r in tables.ranked(df, ["k"], [F.desc("v"), F.asc("i")], "place").collect()}
+    for k in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in mine] == list(range(1, len(mine) + 1))
+    whole = tables.ranked(df, [], [F.desc("v"), F.asc("i")]).collect()
+    assert [r.i for r in sorted(whole, key=lambda r: r["rank"])] == [r[2] for r in sorted(rows, key=lambda r: (-r[1], r[2]))]
+    assert tables.ranked(df.limit(0), ["k"], [F.asc("v")]).count() == 0
+
+
+def test_commit_brings_copies_in(spark):
+    rows = [("a", 0, "x", 5, "s1"), ("b", 0, "X", 5, "s1"), ("b", 1, "y", 5, "s1"), ("c", 0, "z", 9, "s2"), ("c", 1, "z", 9, "s2"), ("d", 0, "alone", 1, "s3")]
+    t = spark.createDataFrame(rows, "archive string, ordinal int, name string, data_size long, sha string")
+    run = lambda how: sorted(tuple(r)[:3] for r in dedup.committed(t, dedup.removals(t, "hash", how), consolidate.bins(dedup.copies(t, "hash", how), 12)).collect())
+    name = "consolidated_textures_%d.ytd"
+    assert run("mixed") == sorted([("a", 0, "x"), ("c", 0, "z"), ("d", 0, "alone"), (name % 1, 0, "x"), (name % 2, 0, "z")])
+    assert run("remove") == sorted([("d", 0, "alone"), (name % 1, 0, "x"), (name % 1, 1, "y"), (name % 2, 0, "z")])
