@@ -63,6 +63,12 @@ def recompress_summary(textures: DataFrame) -> DataFrame:
     return one.withColumn("saved_mib", saved / float(T.MIB)).withColumn("saved_percent", F.when(F.col("before_bytes") == 0, F.lit(0.0)).otherwise(saved * 100.0 / F.col("before_bytes")))
 
 
+def same_format_plan(textures: DataFrame) -> DataFrame:
+    """Compressed textures of 4 by 4 pixels and more, to be encoded again in their own format, size and levels."""
+    rows = textures.where(T.is_compressed(F.col("format")) & (F.col("width") >= 4) & (F.col("height") >= 4))
+    return _with_sizes(rows.withColumns({"new_width": F.col("width"), "new_height": F.col("height"), "new_format": F.col("format"), "new_mips": F.col("mips")}))
+
+
 def same_format_summary(textures: DataFrame) -> DataFrame:
     """One row: textures that would be encoded again in their own format, and those passed over."""
     fit = T.is_compressed(F.col("format")) & (F.col("width") >= 4) & (F.col("height") >= 4)

@@ -517,6 +517,11 @@ def recompress_savings(spark, d):
     return optimise.recompress_summary(_alpha(spark, d))
 
 
+@query("same_format_plan", sql(PARTS, "SELECT archive, ordinal, format AS new_format, mips AS new_mips, data_size AS before_bytes, data_size AS after_bytes FROM sized JOIN format_dim ON format = code WHERE compressed AND width >= 4 AND height >= 4"))
+def same_format_plan(spark, d):
+    return optimise.same_format_plan(tex_parts(spark, d)).select("archive", "ordinal", "new_format", "new_mips", "before_bytes", "after_bytes")
+
+
 @query("same_format_summary", sql(["tex_parts", "format_dim"], "SELECT count(*) FILTER (WHERE compressed AND width >= 4 AND height >= 4) AS processed, count(*) FILTER (WHERE NOT (compressed AND width >= 4 AND height >= 4)) AS skipped FROM tex_parts JOIN format_dim ON format = code"))
 def same_format_summary(spark, d):
     return optimise.same_format_summary(tex_parts(spark, d))

@@ -389,6 +389,17 @@ def test_bc7_of_several_subsets_is_left_alone(mode):
         assert codec.decode(other.to_bytes(16, "little"), 4, 4, codec.BC7).shape == (4, 4, 4)
 
 
+def test_blocks_of_a_mode_at_once():
+    from granary.pixels import bc7
+
+    rng = np.random.default_rng(6)
+    held = bc7.Partitions(rng.integers(0, 2, (64, 16)), rng.integers(0, 3, (64, 16)), rng.integers(1, 16, (64, 1)), np.stack([rng.permutation(np.arange(1, 16))[:2] for _ in range(64)]))
+    blocks = rng.integers(0, 256, (900, 16), np.uint8)
+    for i, mode in enumerate(np.arange(900) % 9):
+        blocks[i, 0] = blocks[i, 0] >> mode + 1 << mode + 1 & 255 | 1 << mode if mode < 8 else 0
+    assert (bc7.decode_blocks(blocks, held) == np.stack([bc7.decode_block(b.tobytes(), held) for b in blocks])).all()
+
+
 def test_partitions_reach_all_that_decodes(spark, tmp_path):
     import json
 
