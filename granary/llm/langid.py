@@ -314,7 +314,7 @@ class Emissions:
         if self.words.full():
             self.rows = self.rows[self.words.evict()]
             self.used = len(self.rows)
-        each = [self.words.ids(spaced(b)) for b in bodies]
+        each = self.words.ids([spaced(b) for b in bodies])
         fresh, self.words.fresh = self.words.fresh, []
         for a in range(0, len(fresh), 20_000):
             flat, sizes = features([w.decode("utf-8", "replace") for w in fresh[a : a + 20_000]])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, groups, grown, kept, mix, stored, texts, trimmed
+from granary.llm.common import Words, distinct, groups, grown, kept, mix, stored, texts, trimmed
 from granary.llm.components import components
 
 CHUNKS, WIDTH, BITS = 8, 4, 16
@@ -66,7 +66,7 @@ class Shingler:
         if self.words.full():
             self.hashes = self.hashes[self.words.evict()]
             self.used = len(self.hashes)
-        each = [self.words.ids(b.lower()) for b in bodies]
+        each = self.words.ids([b.lower() for b in bodies])
         fresh, self.words.fresh = self.words.fresh, []
         if fresh:
             raw = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in fresh)
@@ -82,7 +82,7 @@ class Shingler:
         out = np.full(len(h) - size + 1, size, np.uint64)
         for j in range(size):
             out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(out)])
-        return np.unique(out)
+        return distinct(out)
 
 
 def digest(s: np.ndarray) -> bytes:

@@ -134,7 +134,7 @@ class WordIds:
         """All ids, and how many each text has."""
         if self.words.full():
             self._forget()
-        each = [self.words.ids(self.lowered(b)) for b in bodies]
+        each = self.words.ids([self.lowered(b) for b in bodies])
         if self.words.fresh:
             self._learn()
         words = np.concatenate(each)

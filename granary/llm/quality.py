@@ -101,7 +101,7 @@ class Tokens:
             keep = self.words.evict()
             self.keys, self.used = self.keys[keep], len(keep)
             self.rows = self.rows[keep] if self.vectors else self.rows
-        each = [self.words.ids(b) for b in bodies]
+        each = self.words.ids(bodies)
         fresh, self.words.fresh = self.words.fresh, []
         for a in range(0, len(fresh), 20_000):
             core, shape, tail = zip(*map(parts, fresh[a : a + 20_000]))

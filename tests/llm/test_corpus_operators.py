@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from granary.llm import components, lm_score, neardup, quality, queries, topk
+from granary.llm import common, components, lm_score, neardup, quality, queries, topk
 
 DATA = "/root/testdata/sf0.001"
 
@@ -292,6 +292,17 @@ def test_false_positives_are_few(spark):
     assert (held.read(keys + np.uint64(7)) == 0).mean() > 0.96
 
 
+def test_tokens_are_the_words_between_white_space():
+    rng = np.random.default_rng(2)
+    pieces = ["a", "b\u00e9", "\x1c", "\u00a0", "\u3000", "\x00", " ", "\t", "\n", "\x0b", "\x0c", "\r", "zz"]
+    bodies = ["".join(rng.choice(pieces, rng.integers(0, 12))).encode() for _ in range(500)] + [b"", b" ", b"x" * 3_000_000, b"y " * 1_000_000]
+    for some in (bodies, bodies[:1], [b""], [b" a"]):
+        words, numbers, sizes = common.tokens(some)
+        want = [b.split() for b in some]
+        assert [words[i] for i in numbers] == [w for x in want for w in x] and sizes.tolist() == list(map(len, want))
+        assert len(words) == len(set(words)) == len({w for x in want for w in x})
+
+
 def test_packed_keys_and_small_numbers():
     rng = np.random.default_rng(1)
     for size in (0, 1, 5000):
