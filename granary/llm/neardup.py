@@ -10,13 +10,14 @@
    joined into components.  This settles groups of copies with as many comparisons as there are members.
 4. Keys whose members lie in several components are looked through completely, in blocks of MEMBERS: each pair of
    a key's blocks is a task of its own, which sees ids, signatures and longer sketches (about 250 bytes a class), never
-   sets.  A pair comes out of its first shared key alone, if its components differ and its sketches agree in
-   LEAST_AGREED of LONG places; only then its full sets are fetched and compared.
+   sets.  It tells which members have a candidate: one of another component whose signature and sketch agree in
+   LEAST_SYMBOLS and LEAST_AGREED places, and whose first shared key this is.  The sets of these members alone are
+   fetched and compared, again a pair of blocks in a task, which gives just as many links as join their components.
 5. Components of all links; the class membership is joined back on the set digest.
 
-A link is lost with a chance of about 1.3e-6 at a similarity of 0.8, and less above: 1.1e-6 for sharing no key, 2e-7 for
-the sketches.  Links themselves are exact.  A key of m classes in different components costs m * m / MEMBERS rows of
-250 bytes, whatever the lengths of texts; keys whose classes are in one component cost nothing in step 4.
+A link is lost with a chance of about 1.3e-6 at a similarity of 0.8, and less above: 1.1e-6 for sharing no key, the rest for
+signatures and sketches.  Links themselves are exact.  A key of m classes in different components costs m * m / MEMBERS rows
+of 250 bytes, whatever the lengths of texts; keys whose classes are in one component cost nothing in step 4.
 
 Full sets are made again from the texts for classes that share a key, never for all documents.
 
@@ -50,6 +51,8 @@ _RNG = np.random.default_rng(20240229)
 #: Places of the longer sketches (8 bits each), and how many must agree: a pair of similarity 0.8 agrees in fewer with a
 #: chance of about 1e-7.
 LONG, LEAST_AGREED = 128, 78
+#: Likewise for the signatures' symbols (about 3e-8).
+LEAST_SYMBOLS = 12
 _A = _RNG.integers(1, 1 << 63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, LONG, dtype=np.uint64)
 SKETCH = "doc_id long, n long, digest binary, sig binary"
@@ -177,34 +180,90 @@ def agreed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_pairs(rows: DataFrame, percent: int, least: int) -> DataFrame:
-    """Step 4 for a pair of a key's blocks: rows (key, low, high, block, id, label, n, sig, long); pairs (a, b) of different
-    labels to be confirmed on full sets. Each group holds two blocks at most."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def candidates(p: np.ndarray, q: np.ndarray, sig: np.ndarray, long: np.ndarray, n: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a member of p and one of q whose labels differ, whose sizes allow the similarity, and whose signatures and
+    longer sketches agree in enough places."""
+    found = []
+    for a in range(0, len(p), 128):
+        some = p[a : a + 128]
+        small, large = np.minimum(n[some][:, None], n[q]), np.maximum(n[some][:, None], n[q])
+        fit = (label[some][:, None] != label[q]) & (100 * small >= percent * large)
+        if fit.any():
+            i, j = np.nonzero(fit & (agreed(sig[some], sig[q]) >= LEAST_SYMBOLS))
+            i, j = some[i], q[j]
+            near = np.concatenate([np.zeros(0, bool), *((long[i[k : k + 50_000]] == long[j[k : k + 50_000]]).sum(axis=1) >= LEAST_AGREED for k in range(0, len(i), 50_000))])
+            found.append((i[near], j[near]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+
+
+def sketches(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    long = np.frombuffer(b"".join(table.column("long").to_pylist()), np.uint8).reshape(-1, LONG)
+    return np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS), long
+
+
+def block_members(rows: DataFrame, percent: int) -> DataFrame:
+    """Step 4, first look at a pair of a key's blocks: rows (key, low, high, block, id, label, n, sig, long), two blocks at
+    most; those of them that have a candidate there whose first shared key is this one: (key, low, high, id)."""
+    schema = pa.schema([("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("id", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         block, ids, label, n = (table.column(c).to_numpy() for c in ("block", "id", "label", "n"))
         if label.min() == label.max():
             return schema.empty_table()
         low, high, key = (table.column(c)[0].as_py() for c in ("low", "high", "key"))
-        p, q = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        long = np.frombuffer(b"".join(table.column("long").to_pylist()), np.uint8).reshape(-1, LONG)
-        keys = key_parts(np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)).view(np.int64)
-        found = []
-        for a in range(0, len(p), 128):
-            some = p[a : a + 128]
-            small, large = np.minimum(n[some][:, None], n[q]), np.maximum(n[some][:, None], n[q])
-            fit = (label[some][:, None] != label[q]) & (100 * small >= percent * large)
-            if low == high:
-                fit &= ids[some][:, None] < ids[q]
-            if fit.any():
-                i, j = np.nonzero(fit & (agreed(long[some], long[q]) >= least))
-                found.append((some[i], q[j]))
-        i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        # a pair's first shared key alone brings it out
-        mine = keys[i, (keys[i] == keys[j]).argmax(axis=1)] == key
-        x, y = ids[i[mine]], ids[j[mine]]
-        return pa.Table.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+        sig, long = sketches(table)
+        i, j = candidates(np.flatnonzero(block == low), np.flatnonzero(block == high), sig, long, n, label, percent)
+        keys = key_parts(sig).view(np.int64)
+        mine = np.zeros(len(ids), bool)
+        for k in range(0, len(i), 50_000):  # a pair's first shared key alone brings it out
+            x, y = i[k : k + 50_000], j[k : k + 50_000]
+            first = keys[x, (keys[x] == keys[y]).argmax(axis=1)] == key
+            mine[x[first]] = mine[y[first]] = True
+        some = ids[mine]
+        return pa.Table.from_arrays([pa.array(np.full(len(some), v), f.type) for v, f in zip((key, low, high), schema)] + [pa.array(some)], schema=schema)
+
+    return rows.groupBy("key", "low", "high").applyInArrow(run, "key long, low int, high int, id long")
+
+
+def block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Step 4, second look: rows (key, low, high, id, label, n, sig, long, shingles) of those members; exact links (a, b) that
+    join their labels, one fewer than the labels that come together: more would tell nothing new."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, label, n = (table.column(c).to_numpy() for c in ("id", "label", "n"))
+        all_ = np.arange(len(ids))
+        sig, long = sketches(table)
+        i, j = candidates(all_, all_, sig, long, n, label, percent)
+        i, j = i[i < j], j[i < j]
+        flat = np.concatenate([s.values.to_numpy() for s in table.column("shingles")])
+        _, code = np.unique(flat, return_inverse=True)
+        start = np.cumsum(n) - n
+        held = np.zeros(len(flat), bool)
+        _, root = np.unique(label, return_inverse=True)
+        out: list[tuple[int, int]] = []
+        edges = np.searchsorted(i, np.arange(len(ids) + 1)) if (np.diff(i) >= 0).all() else None
+        if edges is None:
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            edges = np.searchsorted(i, np.arange(len(ids) + 1))
+        for x in np.unique(i).tolist():
+            own = code[start[x] : start[x] + n[x]]
+            held[own] = True
+            for a in range(edges[x], edges[x + 1], 256):
+                ys = j[a : min(a + 256, edges[x + 1])]
+                ys = ys[root[ys] != root[x]]
+                if not len(ys):
+                    continue
+                total = np.cumsum(n[ys])
+                places = np.arange(total[-1]) + np.repeat(start[ys] - total + n[ys], n[ys])
+                common = np.add.reduceat(held[code[places]].astype(np.int64), total - n[ys])
+                for y in ys[100 * common >= percent * (n[x] + n[ys] - common)].tolist():
+                    if root[y] != root[x]:
+                        out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                        root[root == root[y]] = root[x]
+            held[own] = False
+        return pa.Table.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], schema=schema)
 
     return rows.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
 
@@ -242,7 +301,10 @@ def resolved(sketch: DataFrame, docs: DataFrame, n: int, percent: int, id_col: s
     open_keys = members.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
     rest = stored(members.join(open_keys, "key", "left_semi"), "open")
     about = classes.select("id", "n", "sig").join(sets.select("id", "long"), "id").join(rest.select("id").distinct(), "id")
-    more = linked(stored(block_pairs(dealt(rest.join(about, "id")), percent, LEAST_AGREED).distinct(), "pairs"), sets, percent)
+    met = stored(block_members(dealt(rest.join(about, "id")), percent), "met")
+    label_of = rest.select("id", "label").distinct()
+    looked = met.join(label_of, "id").join(classes.select("id", "n", "sig"), "id").join(sets, "id").select("key", "low", "high", "id", "label", "n", "sig", "long", "shingles")
+    more = block_links(looked, percent)
     both = first.unionByName(more).unionByName(same_ids(real, classes))
     final = components(both)
 

@@ -359,19 +359,34 @@ def test_pipeline_runs_on_the_tables(spark):
     assert out.count() > 0 and out.select("sequence_id").distinct().count() == out.count()
 
 
-def test_near_pairs_with_a_shared_key_come_out_however_far(spark):
-    """Signatures that agree in one key alone, and differ in 20 of 32 symbols; of several shared keys the first counts."""
+def test_candidates_come_out_of_their_first_shared_key(spark):
+    """Signatures that agree in 12 of 32 symbols are far enough; of several shared keys the first counts."""
     a = np.arange(neardup.SYMBOLS, dtype=np.uint16)
     b = a.copy()
     b[12:] += 1000
     long = bytes(range(neardup.LONG))
     other = b"\xff" * (neardup.LONG - neardup.LEAST_AGREED + 1) + long[neardup.LONG - neardup.LEAST_AGREED + 1 :]
-    for which, ids in ((0, [(1, 2)]), (1, [])):
+    for which, ids in ((0, [1, 2]), (1, [])):
         key = int(neardup.key_parts(a[None]).view(np.int64)[0, which])
-        rows = [(key, 0, 0, 0, 1, 1, 50, a.tobytes(), long), (key, 0, 0, 0, 2, 2, 50, b.tobytes(), long), (key, 0, 0, 0, 3, 3, 50, b.tobytes(), other), (key, 0, 0, 0, 4, 1, 50, a.tobytes(), long), (key, 0, 0, 0, 5, 5, 99, a.tobytes(), long)]
+        rows = [(key, 0, 0, 0, 1, 1, 50, a.tobytes(), long), (key, 0, 0, 0, 2, 2, 50, b.tobytes(), long), (key, 0, 0, 0, 3, 3, 50, b.tobytes(), other), (key, 0, 0, 0, 5, 5, 99, a.tobytes(), long)]
         df = spark.createDataFrame(rows, "key long, low int, high int, block int, id long, label long, n long, sig binary, long binary")
-        got = sorted(tuple(r) for r in neardup.block_pairs(df.where("id <= 3 OR id = 5"), 80, neardup.LEAST_AGREED).collect())
-        assert got == [p for p in ids if p]
+        assert sorted(r.id for r in neardup.block_members(df, 80).collect()) == ids
+
+
+def test_a_loose_group_gives_few_links(spark):
+    """Of all the links in a group of near copies only those come out that join components."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, edited(rng, base, int(rng.integers(0, 14)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = neardup.sketched(docs, 4, "doc_id", "text").toPandas()
+    sets = neardup.Shingler(4).sets([t.encode() for _, t in rows])
+    long = [x.astype(np.uint8).tobytes() for x in neardup.signatures(sets, neardup.LONG)]
+    looked = spark.createDataFrame([(7, 0, 0, int(i), int(i), int(n), bytes(s), g, [int(v) for v in x.view(np.int64)]) for i, n, s, g, x in zip(sketch.doc_id, sketch.n, sketch.sig, long, sets)], "key long, low int, high int, id long, label long, n long, sig binary, long binary, shingles array<long>")
+    links = neardup.block_links(looked, 80).collect()
+    want = brute_components(rows, 4)
+    assert len(links) == len(rows) - len(set(want.values()))
+    assert {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()} == {i: c for i, c in want.items() if i != c}
 
 
 def test_pairs_just_above_the_threshold_are_all_found(spark):
