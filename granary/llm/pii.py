@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import stored
-from granary.llm.spans import SPAN, apart, found, joined, named, ranked, replaced, searchable
+from granary.llm.spans import FOUND, SPAN, apart, found, joined, named, ranked, replaced, searchable
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Possessive, and tried at starts of runs or ends of matches alone: the same matches in linear time.
@@ -85,8 +85,9 @@ def places(docs: DataFrame, text_col: str = "text", near: int = NEAR) -> DataFra
     """(entity, doc, left, right) for each place of an entity: the text's hash and the NEAR words before and after."""
     rows = based(docs.select(F.col(text_col).alias("text")), "text", "__")
     each = F.concat(*[F.transform(f"__{k}", lambda m, k=k: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(k).alias("kind"), F.lower(m["s"]).alias("s"))) for k in KINDS[:4]])
-    rows = rows.select("__text", F.array_sort(each).alias("__each")).where(F.size("__each") > 0)
-    rows = rows.withColumn("__words", found(F.col("__text"), WORD))
+    # no filter on the places: it would be pushed below, and texts be searched once for it and once for its rows
+    rows = rows.select("__text", F.array_sort(each).alias("__each"))
+    rows = rows.withColumn("__words", F.when(F.size("__each") > 0, found(F.col("__text"), WORD)).otherwise(F.array().cast(FOUND)))
     of = lambda c, name: F.transform(c, lambda m: m[name])
     # words that end before the place starts, and words that start before it ends
     before = ranked(of("__each", "start"), of("__words", "end"), True)

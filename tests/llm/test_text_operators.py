@@ -96,6 +96,21 @@ def test_entropy_spans_and_allow_list(spark):
     assert got == {0: "entropy:4:28", 1: "", 2: "", 3: "", 4: "", 5: ""}
 
 
+def test_long_texts_with_many_spans(spark):
+    """Spans of a long text are compared and replaced in about linear time, and as a plain version does it."""
+    rng = np.random.default_rng(4)
+    parts = [f"token=ab{i}cdefg" if i % 3 else "".join(rng.choice(list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ123456789"), 24)) for i in range(3000)]
+    text = "é ".join(parts)
+    row = secrets.scan(table(spark, [text])).first()
+    assert row.n_assign == 2000 and row.base_sha256 == sha(base_secrets(text))
+    places = sorted(tuple(map(int, s.split(":")[1:])) for s in row.spans.split(","))
+    out, at = "", 0
+    for a, b in places:
+        out += text[at:a] + "[SECRET]"
+        at = b
+    assert row.n_entropy > 500 and secrets.redacted(table(spark, [text])).first().text == out + text[at:]
+
+
 def test_redaction_keeps_the_rest(spark):
     docs = spark.createDataFrame([(1, 'a token = "abcdef123" b', "x"), (2, "clean", "y"), (3, None, "z")], "doc_id long, text string, __secrets_base string")
     out = secrets.redacted(docs.drop("__secrets_base").withColumn("spans", F.lit(7))).orderBy("doc_id").collect()
@@ -269,7 +284,9 @@ def test_html_hard_cases(spark):
     for h in ("<div>" * 20_000 + "deep", "<table><tr><td>" * 300 + "deep", "<ul><li>" * 2_000 + "deep"):
         assert html_text.visible_text(h).endswith("deep")
     pages = spark.createDataFrame([(1, None), (2, "<p>a"), (2, "<p>a"), (None, "b")], "page_id long, html string")
+    pages = pages.withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("clash"))
     assert sorted((r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [("", 0), ("a", 1), ("a", 1), ("b", 1)]
+    assert html_text.extract(pages.limit(0)).count() == 0
 
 
 def chain_posteriors(emit, move):
@@ -380,7 +397,7 @@ def test_spans_by_sql(spark):
         cur = con.execute(text)
         columns = [d[0] for d in cur.description]
         assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(cur.fetchall(), key=str)
-    assert secrets.scan(docs).where("n_entropy > 0").count() > 10
+    assert secrets.scan(docs).where("n_entropy > 0").count() > 10 and pii.scan(docs).where("n_term > 0").count() > 5
 
 
 @pytest.mark.parametrize("html, text", [
