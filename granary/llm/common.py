@@ -45,9 +45,17 @@ def shared_dir(spark: SparkSession) -> str:
 _MADE: list[str] = []
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has executors delete shuffles that nothing can read any more, such as those that written tables were made of: Spark
+    does so once the driver has collected its garbage, by itself every half hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    let_go(spark)
     path = f"{shared_dir(spark).rstrip('/')}/granary-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _MADE.append(path)

@@ -1,8 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counting.  Words (with text ends) and n-grams up to ORDER of the training rows are counted by tasks, batch by batch, under
-64-bit hashes.  Every hash belongs to one of a number of slices that grows with the table (SHARE bytes of text each).  A
-batch sends each slice its distinct hashes, as differences, and their counts; the slice adds them up, so a frequent
+64-bit hashes.  Every hash belongs to one of a number of slices that grows with the table (SHARE bytes of text each, or down
+to half of it, as the number is a power of two).  A batch sends each slice its distinct hashes, as differences, and their
+counts; the slice adds them up, so a frequent
 word or n-gram costs a batch one entry, and no task sees more than a slice.  Exact counts c of all words, their sum N and
 their number V come from there.
 
@@ -21,7 +22,8 @@ and n-grams; the answers meet the batch's token numbers again by the batch's own
 gathered on the driver but N and V.
 
 Base.  Sums of log10((c + 1) / (N + V + 1)) take the exact counts.  Two of a billion words share their 64-bit hash with a
-chance of some per cent; n-grams are told apart by 48 bits, of which the slice takes a part.
+chance of some per cent; the n-grams of a slice, some million, are told apart by 32 bits, so that one in some thousand that
+is not there takes another's level, less than by the filter itself.
 
 Defined cases: a null text counts as empty (one token, its end); rows of a null doc_id are training rows; repeated
 rows train each on its own and get equal scores; without training rows N = V = 0 and every c is 0; other columns
@@ -38,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import groups, mix, pieces, stored
+from granary.llm.common import distinct, groups, let_go, mix, stored, tokens
 
 #: Bytes of text for each slice, of a training batch and of a batch that is scored.
 SHARE, TRAIN_BYTES, SCORE_BYTES = 8 << 20, 16 << 20, 8 << 20
@@ -46,7 +48,9 @@ HASHES, BITS_PER_ENTRY, BASE, STRENGTH, ORDER = 4, 9, 1.5, 4.0, 3
 #: The end of a text as a token: no word holds a space.
 END = " "
 _C = np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64(0xFFFF)
+_LOW = np.uint64(0xFFFFFFFF)
+#: Set in the filter's keys of words.
+_WORD = np.uint64(1 << 40)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -119,27 +123,35 @@ def word_keys(words: list[bytes]) -> np.ndarray:
 
 def grams(full: np.ndarray, starts: np.ndarray, order: int):
     """(last tokens, keys) of the n-grams within texts, for each n from 2: full: the key of each token's word; starts: the
-    first token of each text. Keys have 48 bits in the upper end of 64."""
+    first token of each text."""
     inside = np.arange(len(full)) - np.repeat(starts, np.diff(np.append(starts, len(full))))
     key = full
     for n in range(2, order + 1):
         key = np.concatenate([np.zeros(1, np.uint64), mix(mix(key[:-1]) + full[1:] * _C)])
         at = np.flatnonzero(inside >= n - 1)
-        yield at, key[at] & ~_LOW
+        yield at, key[at]
 
 
-def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
-    """The slice of each key: slices follow each other as keys do."""
-    return ((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+def codes(keys: np.ndarray, bits: int) -> np.ndarray:
+    """What is kept of keys: the number of the slice, of so many bits, and 32 bits more, in the keys' order."""
+    return keys >> np.uint64(32 - bits)
 
 
-def cuts(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slice, from, to) of sorted keys, for slices that have some."""
-    at = slice_of(keys, slices)
+def cuts(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slice, from, to) of sorted codes, for slices that have some."""
+    at = (found >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.diff(at, prepend=-1))
     return at[first], first, np.append(first[1:], len(at))
 
 
+def squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
 def small(values: np.ndarray) -> bytes:
     """Numbers from 0, most of them below 255: a byte each, and eight more for each of the others."""
     large = values[values >= 255]
@@ -153,24 +165,16 @@ def unsmall(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
-_WIDE = (1 << 32) - 1
-
-
-def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys of 48 bits: differences of four bytes, byte by byte as the upper ones are mostly small; wider ones
-    have eight bytes at the end."""
-    step = np.diff(keys >> np.uint64(16), prepend=np.uint64(0))
-    wide = step[step >= _WIDE]
-    narrow = np.minimum(step, _WIDE).astype("<u4")
-    return len(keys).to_bytes(8, "little") + narrow.view(np.uint8).reshape(-1, 4).T.tobytes() + wide.astype("<u8").tobytes()
+def packed(found: np.ndarray) -> bytes:
+    """Sorted codes of one slice: their lower 32 bits as differences, byte by byte as the upper ones are mostly small."""
+    step = np.diff(found & _LOW, prepend=np.uint64(0)).astype("<u4")
+    return squeezed(step.view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:8], "little")
-    step = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 8).reshape(4, n).T).view("<u4").ravel().astype(np.uint64)
-    at = np.flatnonzero(step == _WIDE)
-    step[at] = np.frombuffer(raw, "<u8", len(at), 8 + 4 * n)
-    return np.cumsum(step) << np.uint64(16)
+    """The lower 32 bits of the codes."""
+    held = np.frombuffer(unsqueezed(raw), np.uint8)
+    return np.cumsum(np.ascontiguousarray(held.reshape(4, -1).T).view("<u4").ravel().astype(np.uint64))
 
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,26 +185,16 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(values[order], first) if len(first) else values
 
 
-class Numbers(dict):
-    """Numbers distinct words in order of sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def numbered(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys of the distinct words of texts, the number among them of each token, and the tokens of each text."""
-    number, found, sizes = Numbers(), [], np.zeros(len(bodies), np.int64)
-    end = np.array([number[END.encode()]], np.int32)
-    for i, body in enumerate(bodies):
-        for part in pieces(body.lower()):
-            found.append(np.array(list(map(number.__getitem__, part.split())), np.int32))
-            sizes[i] += len(found[-1])
-        found.append(end)
-        sizes[i] += 1
-    keys, back = np.unique(word_keys(list(number)), return_inverse=True)
-    return keys, back.astype(np.int32)[np.concatenate(found)], sizes
+    words, numbers, sizes = tokens([b.lower() for b in bodies])
+    keys, back = np.unique(word_keys([*words, END.encode()]), return_inverse=True)
+    back = back.astype(np.int32)
+    ids = np.full(len(numbers) + len(bodies), back[-1], np.int32)
+    inside = np.ones(len(ids), bool)
+    inside[np.cumsum(sizes + 1) - 1] = False  # each text's end
+    ids[inside] = back[numbers]
+    return keys, ids, sizes + 1
 
 
 def rows_of(docs: DataFrame, trained, id_col: str, text_col: str) -> DataFrame:
@@ -227,20 +221,25 @@ def together(arrays: list[np.ndarray], kind) -> np.ndarray:
     return np.concatenate(arrays) if arrays else np.zeros(0, kind)
 
 
-def counted(rows: DataFrame, slices: int, order: int, bits: int) -> DataFrame:
+def word_entries(keys: np.ndarray, slice_bits: int) -> np.ndarray:
+    """The filter's keys of words."""
+    return codes(keys, slice_bits) & _LOW | _WORD
+
+
+def counted(rows: DataFrame, slice_bits: int, order: int, bits: int) -> DataFrame:
     """Each slice's word keys, their counts and the filter, from training rows. Tasks count before anything is shuffled."""
 
     def run(batches):
         for _, bodies in groups(batches, TRAIN_BYTES):
             keys, ids, sizes = numbered(bodies)
             c = np.bincount(ids, minlength=len(keys))
-            for s, a, b in zip(*cuts(keys, slices)):
+            for s, a, b in zip(*cuts(codes(keys, slice_bits))):
                 yield message(s, COUNTS, keys[a:b].tobytes(), small(c[a:b]))
             full = keys[ids]
             for _, found in grams(full, np.cumsum(sizes) - sizes, order):
-                distinct, times = np.unique(found, return_counts=True)
-                for s, a, b in zip(*cuts(distinct, slices)):
-                    yield message(s, GRAMS, packed(distinct[a:b]), small(times[a:b]))
+                some, times = np.unique(codes(found, slice_bits), return_counts=True)
+                for s, a, b in zip(*cuts(some)):
+                    yield message(s, GRAMS, packed(some[a:b]), squeezed(small(times[a:b])))
 
     def add(table: pa.Table) -> pa.Table:
         words, counts, both, times = [], [], [], []
@@ -250,10 +249,10 @@ def counted(rows: DataFrame, slices: int, order: int, bits: int) -> DataFrame:
                 counts.append(unsmall(r["b"], len(words[-1])))
             else:
                 both.append(unpacked(r["a"]))
-                times.append(unsmall(r["b"], len(both[-1])))
+                times.append(unsmall(unsqueezed(r["b"]), len(both[-1])))
         keys, c = summed(together(words, np.uint64), together(counts, np.int64))
         found, n = summed(together(both, np.uint64), together(times, np.int64))
-        held = Filter.of(np.concatenate([keys & ~_LOW, found]), levels(np.concatenate([c, n])), bits)
+        held = Filter.of(np.concatenate([word_entries(keys, slice_bits), found]), levels(np.concatenate([c, n])), bits)
         return table_of([message(table.column("slice")[0].as_py(), MODEL, keys.tobytes(), small(c), held.bits.tobytes(), n=int(c.sum()), v=len(keys))])
 
     return rows.where("train").select("doc_id", "body").mapInArrow(run, KINDS).groupBy("slice").applyInArrow(add, KINDS)
@@ -268,11 +267,12 @@ def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.nd
 
 
 class Fitted:
-    """N, V, the number of slices and the order of a model whose slices are in a table."""
+    """N, V, the bits of a slice's number and the order of a model whose slices are in a table."""
 
-    def __init__(self, counts: DataFrame, slices: int, order: int) -> None:
-        self.counts, self.slices, self.order = counts, slices, order
+    def __init__(self, counts: DataFrame, slice_bits: int, order: int) -> None:
+        self.counts, self.slice_bits, self.order = counts, slice_bits, order
         self.total, self.distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+        let_go(counts.sparkSession)  # the counting's shuffle, before scoring makes its own
 
 
 def log_probabilities(total: int, distinct: int, ids: np.ndarray, word_level: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -292,34 +292,35 @@ def fit(docs: DataFrame, trained, share: int = SHARE, order: int = ORDER, bits:
     filter for each entry. On both no result depends but for the filter's false positives."""
     rows = rows_of(docs, trained, id_col, text_col)
     size = rows.agg(F.coalesce(F.sum(F.length("body") + 1), F.lit(0))).first()[0]
-    slices = max(1, -(-size // share))
-    return Fitted(stored(counted(rows, slices, order, bits), "counts"), slices, order)
+    slice_bits = (max(1, -(-size // share)) - 1).bit_length()
+    return Fitted(stored(counted(rows, slice_bits, order, bits), "counts"), slice_bits, order)
 
 
 def score(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, base_score, score."""
-    slices, total, distinct, order = model.slices, model.total, model.distinct, model.order
+    slice_bits, total, kinds, order = model.slice_bits, model.total, model.distinct, model.order
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def distinct_grams(full: np.ndarray, starts: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    def coded(full: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each n from 2 the last tokens of n-grams, and the codes of all, one n after another."""
         each = list(grams(full, starts, order))
-        return each, np.unique(np.concatenate([k for _, k in each])) if each else np.zeros(0, np.uint64)
+        return [at for at, _ in each], codes(together([k for _, k in each], np.uint64), slice_bits)
 
     def ask(batches):
         batch = TaskContext.get().partitionId() << 32
         for docs_, bodies in groups(batches, SCORE_BYTES):
             keys, ids, sizes = numbered(bodies)
-            _, both = distinct_grams(keys[ids], np.cumsum(sizes) - sizes)
-            of_words, of_both = ({s: (a, b) for s, a, b in zip(*cuts(k, slices))} for k in (keys, both))
+            both = distinct(coded(keys[ids], np.cumsum(sizes) - sizes)[1])
+            of_words, of_both = ({s: (a, b) for s, a, b in zip(*cuts(k))} for k in (codes(keys, slice_bits), both))
             for s in sorted(of_words.keys() | of_both.keys()):
                 (a, b), (c, d) = of_words.get(s, (0, 0)), of_both.get(s, (0, 0))
                 yield message(s, PROBES, keys[a:b].tobytes(), packed(both[c:d]), batch=batch)
             # byte by byte of the numbers, as the upper ones are mostly 0
-            planes = pa.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+            planes = squeezed(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes())
             sink = pa.BufferOutputStream()  # ids may be null
             with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64()), ("n", pa.int64())])) as w:
                 w.write_batch(pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(sizes)], names=["doc_id", "n"]))
-            yield message(batch % slices, TEXTS, sink.getvalue().to_pybytes(), keys.tobytes(), planes, batch=batch)
+            yield message(batch % (1 << slice_bits), TEXTS, sink.getvalue().to_pybytes(), planes, batch=batch)
             batch += 1
 
     def answer(table: pa.Table) -> pa.Table:
@@ -332,25 +333,36 @@ def score(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str
         out = []
         for r in rows:
             if r["kind"] == TEXTS:
-                out.append(message(-1, TEXTS, r["a"], r["b"], r["c"], batch=r["batch"]))
+                out.append(message(-1, TEXTS, r["a"], r["b"], batch=r["batch"]))
             elif r["kind"] == PROBES:
                 words = np.frombuffer(r["a"], "<u8")
-                out.append(message(r["slice"], FOUND, small(looked_up(keys, c, words)), small(read(words & ~_LOW)), small(read(unpacked(r["b"]))), batch=r["batch"], n=len(words)))
+                counts = squeezed(small(looked_up(keys, c, words)) + small(read(word_entries(words, slice_bits))))
+                out.append(message(r["slice"], FOUND, r["a"], counts, squeezed(small(read(unpacked(r["b"])))), batch=r["batch"]))
         return table_of(out)
 
     def finish(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["slice"])  # the texts first, then answers as keys are in order
         texts = pa.ipc.open_stream(rows[0]["a"]).read_all()
-        keys, sizes = np.frombuffer(rows[0]["b"], "<u8"), texts.column("n").to_numpy()
-        n = int(sizes.sum())
-        ids = np.ascontiguousarray(np.frombuffer(pa.decompress(rows[0]["c"], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T).view("<i4").ravel()
-        c, level, of_both = (together([x(r) for r in rows[1:]], np.int64) for x in (lambda r: unsmall(r["a"], r["n"]), lambda r: unsmall(r["b"], r["n"]), lambda r: np.frombuffer(r["c"], np.uint8).astype(np.int64)))
+        sizes = texts.column("n").to_numpy()
+        ids = np.ascontiguousarray(np.frombuffer(unsqueezed(rows[0]["b"]), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+        words, counts, word_levels, gram_levels = [], [], [], []
+        for r in rows[1:]:
+            words.append(np.frombuffer(r["a"], "<u8"))
+            raw, n = unsqueezed(r["b"]), len(words[-1])
+            counts.append(unsmall(raw, n))
+            word_levels.append(np.frombuffer(raw, np.uint8)[n + 8 * int((counts[-1] >= 255).sum()) :][:n].astype(np.int64))
+            gram_levels.append(np.frombuffer(unsqueezed(r["c"]), np.uint8).astype(np.int64))
+        keys, c, level, of_gram = together(words, np.uint64), together(counts, np.int64), together(word_levels, np.int64), together(gram_levels, np.int64)
         starts = np.cumsum(sizes) - sizes
-        each, both = distinct_grams(keys[ids], starts)
-        if len(both) != len(of_both) or len(c) != len(keys):
-            raise ValueError(f"{len(both)} n-grams, {len(of_both)} answers")
-        logs = log_probabilities(total, distinct, ids, level, [(at, of_both[np.searchsorted(both, k)]) for at, k in each])
-        base = np.log10((c + 1) / float(total + distinct + 1))[ids]
+        ends, found = coded(keys[ids], starts)
+        order_ = np.argsort(found)
+        place = np.empty(len(found), np.int64)  # which of the distinct codes each is
+        place[order_] = np.cumsum(np.diff(found[order_], prepend=found[order_[:1]]) != 0)
+        if len(of_gram) != (place.max(initial=-1) + 1):
+            raise ValueError(f"{place.max(initial=-1) + 1} n-grams, {len(of_gram)} answers")
+        parts = np.split(of_gram[place], np.cumsum([len(e) for e in ends])[:-1]) if ends else []
+        logs = log_probabilities(total, kinds, ids, level, list(zip(ends, parts)))
+        base = np.log10((c + 1) / float(total + kinds + 1))[ids]
         columns = [texts.column("doc_id").combine_chunks(), pa.array(sizes), *(pa.array(np.add.reduceat(x, starts)) for x in ((c > 0).astype(np.int64)[ids], base, logs))]
         return pa.Table.from_arrays(columns, schema=schema)
 

@@ -303,11 +303,14 @@ def test_tokens_are_the_words_between_white_space():
         assert len(words) == len(set(words)) == len({w for x in want for w in x})
 
 
-def test_packed_keys_and_small_numbers():
+def test_packed_codes_and_small_numbers():
     rng = np.random.default_rng(1)
     for size in (0, 1, 5000):
-        keys = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64)) * np.uint64(2) & ~np.uint64(0xFFFF)
-        assert (lm_score.unpacked(lm_score.packed(np.sort(keys))) == np.sort(keys)).all()
+        keys = common.distinct(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+        for bits in (0, 3):
+            found = common.distinct(lm_score.codes(keys, bits))
+            back = [np.uint64(s << 32) + lm_score.unpacked(lm_score.packed(found[a:b])) for s, a, b in zip(*lm_score.cuts(found))]
+            assert (lm_score.together(back, np.uint64) == found).all() and all(0 <= s < 1 << bits for s in lm_score.cuts(found)[0])
         numbers = rng.integers(0, 600, size)
         assert (lm_score.unsmall(lm_score.small(numbers), size) == numbers).all()
     counts = np.arange(1, 5000)
