@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import distinct, groups, let_go, mix, stored, tokens
 
 #: Bytes of text for each slice, of a training batch and of a batch that is scored.
-SHARE, TRAIN_BYTES, SCORE_BYTES = 8 << 20, 16 << 20, 8 << 20
+SHARE, TRAIN_BYTES, SCORE_BYTES = 8 << 20, 16 << 20, 16 << 20
 HASHES, BITS_PER_ENTRY, BASE, STRENGTH, ORDER = 4, 9, 1.5, 4.0, 3
 #: The end of a text as a token: no word holds a space.
 END = " "
