@@ -108,7 +108,10 @@ class Tokens:
             keys = hashed(list(core))
             self.keys = grown(self.keys, self.used, keys)
             if self.vectors:
-                rows = self.vectors.of(keys) + index_vectors(hashed(list(shape))) + index_vectors(hashed(list(tail)))
+                sides = dict.fromkeys(zip(shape, tail))  # few different ones
+                sides = dict(zip(sides, range(len(sides))))
+                beside = index_vectors(hashed([x for x, _ in sides])) + index_vectors(hashed([x for _, x in sides]))
+                rows = self.vectors.of(keys) + beside[[sides[x] for x in zip(shape, tail)]]
                 self.rows = grown(self.rows, self.used, rows.astype(np.float32))
             self.used += len(keys)
         self.words.count(np.concatenate(each))
