@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import distinct, groups, let_go, mix, stored, tokens
+from granary.llm.common import distinct, groups, let_go, mix, squeezed, stored, tokens, unsqueezed
 
 #: Bytes of text for each slice, of a training batch and of a batch that is scored.
 SHARE, TRAIN_BYTES, SCORE_BYTES = 8 << 20, 16 << 20, 16 << 20
@@ -144,14 +144,6 @@ def cuts(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at[first], first, np.append(first[1:], len(at))
 
 
-def squeezed(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def unsqueezed(raw: bytes) -> bytes:
-    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
-
-
 def small(values: np.ndarray) -> bytes:
     """Numbers from 0, most of them below 255: a byte each, and eight more for each of the others."""
     large = values[values >= 255]

@@ -29,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, groups, grown, kept, mix, stored, texts, trimmed
+from granary.llm.common import Words, batch_of, distinct, groups, grown, kept, mix, squeezed, stored, texts, trimmed, unsqueezed
 
 DIMS, NONZERO, WINDOW = 32, 4, 2
 #: Words whose context vectors are broadcast, about 140 bytes each; bytes of text for each slice, and of a batch.
 VOCABULARY, SHARE, BATCH = 100_000, 8 << 20, 16 << 20
+#: Bytes of text whose words are listed at once, and tokens whose neighbours are added up at once: they bound a worker's
+#: memory, and no result depends on them.
+PART, TOKENS = 2 << 20, 1 << 18
 HIDDEN, SAMPLE, EPOCHS, SEED = 24, 12_000, 40, 11
 
 
@@ -118,37 +121,74 @@ class Tokens:
         return each
 
 
-def sums_of(each: list[np.ndarray], token_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, counts, context sums) of the words of texts, given as token numbers. No context crosses texts."""
-    flat = np.concatenate([y for x in each for y in (x, np.full(WINDOW, -1, np.int32))])
-    seen = np.unique(flat[flat >= 0])
-    keys, inverse = np.unique(token_keys[seen], return_inverse=True)
-    local = np.full(int(seen.max(initial=0)) + 1, -1, np.int64)
-    local[seen] = inverse
-    word = np.where(flat >= 0, local[np.maximum(flat, 0)], -1)
-    places, signs = index_parts(keys)
-    total = np.zeros(len(keys) * DIMS)
-    for shift in range(1, WINDOW + 1):
-        a, b = word[:-shift], word[shift:]
-        both = (a >= 0) & (b >= 0)
-        a, b = a[both], b[both]
-        for x, y in ((a, b), (b, a)):
-            for k in range(NONZERO):
-                total += np.bincount(x * DIMS + places[y, k], signs[y, k], len(total))
-    return keys, np.bincount(word[word >= 0], minlength=len(keys)), np.rint(total).astype(np.int64).reshape(-1, DIMS)
+class Batch:
+    """The tokens of a batch of texts, taken up in parts, as numbers among the distinct words of their part."""
+
+    def __init__(self) -> None:
+        self.size, self.keys, self.words = 0, [], []
+
+    def take(self, coder: Tokens, bodies: list[bytes]) -> None:
+        flat = np.concatenate([y for x in coder.ids(bodies) for y in (x, np.full(WINDOW, -1, np.int32))])
+        seen = distinct(flat[flat >= 0])
+        keys, back = np.unique(coder.keys[seen], return_inverse=True)
+        local = np.full(int(seen.max(initial=-1)) + 2, -1, np.int32)  # the last one is that of -1
+        local[seen] = back
+        self.size += sum(map(len, bodies)) + len(bodies)
+        self.keys.append(keys)
+        self.words.append(local[flat])
+
+    def numbered(self) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted distinct keys, the number among them of each token, with WINDOW times -1 behind each text)."""
+        keys = distinct(np.concatenate(self.keys))
+        for i, own in enumerate(self.keys):
+            self.words[i] = np.append(np.searchsorted(keys, own), -1).astype(np.int32)[self.words[i]]
+        return keys, np.concatenate(self.words)
+
+
+def sums_of(keys: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, context sums) of words, given as in Batch.numbered(). No context crosses texts."""
+    kind = np.int32 if 2 * WINDOW * len(word) < 1 << 31 else np.int64
+    places, signs = np.zeros((NONZERO, len(keys)), np.uint8), np.zeros((NONZERO, len(keys)), np.int8)
+    for a in range(0, len(keys), TOKENS):
+        places[:, a : a + TOKENS], signs[:, a : a + TOKENS] = (x.T for x in index_parts(keys[a : a + TOKENS]))
+    n, total = np.zeros(len(keys), np.int64), np.zeros(len(keys) * DIMS, kind)
+    for at in range(0, len(word), TOKENS):
+        here = word[at : at + TOKENS]
+        n += np.bincount(here[here >= 0], minlength=len(keys))
+        for shift in range(1, WINDOW + 1):
+            b = word[at + shift : at + shift + TOKENS]
+            a = here[: len(b)]
+            both = (a >= 0) & (b >= 0)
+            a, b = a[both].astype(np.int64), b[both].astype(np.int64)
+            for x, y in ((a, b), (b, a)):
+                for k in range(NONZERO):
+                    np.add.at(total, x * DIMS + places[k, y], signs[k, y].astype(kind))
+    return n, total.reshape(-1, DIMS)
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Whole numbers byte by byte, signs in the lowest bit, so that small ones compress well."""
+    """Whole numbers byte by byte, as many bytes as the largest needs, signs in the lowest bit: small ones compress well."""
+    x = x.astype(np.int64)
     z = (x << 1 ^ x >> 63).astype("<u8")
-    return z.view(np.uint8).reshape(-1, 8).T.tobytes()
+    width = max(1, -(-int(z.max(initial=0)).bit_length() // 8))
+    return squeezed(bytes([width]) + np.ascontiguousarray(z.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
 
 
 def unplanes(raw: bytes) -> np.ndarray:
-    z = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    raw = unsqueezed(raw)
+    held = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    z = np.zeros((held.shape[1], 8), np.uint8)
+    z[:, : raw[0]] = held.T
+    z = z.view("<u8").ravel()
     return (z >> np.uint64(1)).astype(np.int64) ^ -(z & np.uint64(1)).astype(np.int64)
 
 
+def binaries(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes, without a copy."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows[:1].nbytes)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
 def contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
     """(key long, n long, sums binary): count and context sums of every word of the whole corpus, in the shared folder."""
     rows = texts(docs, id_col, text_col)
@@ -157,23 +197,34 @@ def contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     schema = pa.schema([("slice", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("sums", pa.binary())])
     words = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sums", pa.binary())])
 
+    def messages(batch: Batch):
+        keys, word = batch.numbered()
+        n, sums = sums_of(keys, word)
+        at = ((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)  # keys are in order
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        for a, b in zip(first, np.append(first[1:], len(at))):
+            yield pa.RecordBatch.from_pylist([{"slice": int(at[a]), "keys": keys[a:b].tobytes(), "counts": planes(n[a:b]), "sums": planes(sums[a:b].ravel())}], schema=schema)
+
     def run(batches):
-        coder = kept(("quality",), Tokens)
-        for _, bodies in groups(batches, BATCH):
-            keys, n, sums = sums_of(coder.ids(bodies), coder.keys)
-            at = ((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)  # keys are in order
-            first = np.flatnonzero(np.diff(at, prepend=-1))
-            for a, b in zip(first, np.append(first[1:], len(at))):
-                yield pa.RecordBatch.from_pylist([{"slice": int(at[a]), "keys": keys[a:b].tobytes(), "counts": planes(n[a:b]), "sums": planes(sums[a:b].ravel())}], schema=schema)
+        coder, batch = kept(("quality",), Tokens), Batch()
+        for _, bodies in groups(batches, PART):
+            batch.take(coder, bodies)
+            if batch.size >= BATCH:
+                yield from messages(batch)
+                batch = Batch()
+        if batch.size:
+            yield from messages(batch)
 
     def add(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in table.column("keys")])
-        n = np.concatenate([unplanes(x.as_py()) for x in table.column("counts")])
-        sums = np.concatenate([unplanes(x.as_py()) for x in table.column("sums")]).reshape(-1, DIMS)
-        order = np.argsort(keys)
-        first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
-        sums = np.add.reduceat(sums[order], first).astype("<i8")
-        return pa.Table.from_arrays([pa.array(keys[order][first].view(np.int64)), pa.array(np.add.reduceat(n[order], first)), pa.array([x.tobytes() for x in sums], pa.binary())], schema=words)
+        each = [np.frombuffer(x.as_py(), "<u8") for x in table.column("keys")]
+        keys = distinct(np.concatenate(each))
+        n, sums = np.zeros(len(keys), np.int64), np.zeros((len(keys), DIMS), "<i8")
+        for own, counts, found in zip(each, table.column("counts"), table.column("sums")):  # a message at a time
+            at = np.searchsorted(keys, own)
+            n[at] += unplanes(counts.as_py())
+            sums[at] += unplanes(found.as_py()).reshape(-1, DIMS)
+        cut = range(0, len(keys), 1 << 14)
+        return pa.Table.from_batches([batch_of(words, keys[a : a + (1 << 14)].view(np.int64), n[a : a + (1 << 14)], binaries(sums[a : a + (1 << 14)])) for a in cut], words)
 
     sent = rows.mapInArrow(run, "slice int, keys binary, counts binary, sums binary")
     return stored(sent.groupBy("slice").applyInArrow(add, "key long, n long, sums binary"), "contexts")

@@ -197,6 +197,70 @@ def test_context_vectors_by_plain_sums(spark):
     assert np.allclose(few.of(rare), quality.index_vectors(rare)) and np.allclose(np.linalg.norm(few.of(few.keys), axis=1), 1, atol=1e-6)
 
 
+class Caught(Exception):
+    pass
+
+
+class Rows:
+    """Stands in for a table: hands over the function that tasks would run."""
+
+    def agg(self, *columns):
+        return self
+
+    def first(self):
+        return [20 << 20]
+
+    def mapInArrow(self, run, schema):
+        raise Caught(run)
+
+
+def batches_of(texts):
+    import pyarrow as pa
+
+    return [pa.record_batch([pa.array(range(len(part)), pa.int64()), pa.array(part, pa.binary())], names=["doc_id", "body"]) for part in (texts[a : a + 500] for a in range(0, len(texts), 500))]
+
+
+def test_context_sums_of_a_batch_take_little_memory(spark, monkeypatch):
+    """A batch of 16 MB with as many distinct words as documents have."""
+    import tracemalloc
+
+    monkeypatch.setattr(quality, "texts", lambda *a: Rows())
+    with pytest.raises(Caught) as caught:
+        quality.contexts(None)
+    rng = np.random.default_rng(12)
+    words = [b"w%d" % i for i in range(400_000)]
+    texts = [b" ".join(words[i] for i in (400_000 * rng.random(1200) ** 3).astype(int)) for _ in range(2000)]
+    assert 15 << 20 < sum(map(len, texts)) < 17 << 20
+    tracemalloc.start()
+    sent = sum(1 for _ in caught.value.args[0](iter(batches_of(texts))))
+    most = tracemalloc.get_traced_memory()[1] >> 20
+    tracemalloc.stop()
+    assert sent >= 3 and most < 250, f"{most} MB"
+
+
+def test_context_sums_by_parts(spark, monkeypatch):
+    """Parts of a batch and blocks of tokens change no sum; large sums keep their size."""
+    monkeypatch.setattr(quality, "texts", lambda *a: Rows())
+    rng = np.random.default_rng(13)
+    texts = [" ".join(rng.choice(["the", "The,", "a", "dog", "Cat!", "..."], rng.integers(0, 40))).encode() for _ in range(300)]
+    found = []
+    for part, tokens, batch in ((2 << 20, 1 << 18, 16 << 20), (200, 7, 3000), (1, 1, 1)):
+        for name, value in (("PART", part), ("TOKENS", tokens), ("BATCH", batch)):
+            monkeypatch.setattr(quality, name, value)
+        with pytest.raises(Caught) as caught:
+            quality.contexts(None)
+        total = {}
+        for b in caught.value.args[0](iter(batches_of(texts))):
+            for r in b.to_pylist():
+                rows = np.column_stack([quality.unplanes(r["counts"]), quality.unplanes(r["sums"]).reshape(-1, quality.DIMS)])
+                for key, row in zip(np.frombuffer(r["keys"], "<u8").tolist(), rows):
+                    total[key] = total.get(key, 0) + row
+        found.append({k: v.tolist() for k, v in total.items()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 5
+    for x in ([], [0], [-1, 1, 127, -128, 128], [1 << 40, -(1 << 62), 5]):
+        assert quality.unplanes(quality.planes(np.array(x, np.int64))).tolist() == x
+
+
 def test_tokens_are_forgotten_and_learned_again():
     vectors = quality.Vectors(np.sort(quality.hashed([b"w1", b"w2"])), np.ones((2, quality.DIMS)))
     for coder in (quality.Tokens(), quality.Tokens(vectors)):
