@@ -40,10 +40,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import distinct, groups, let_go, mix, squeezed, stored, tokens, unsqueezed
+from granary.llm.common import distinct, groups, let_go, mix, small_batches, squeezed, stored, tokens, unsqueezed
 
 #: Bytes of text for each slice, of a training batch and of a batch that is scored.
 SHARE, TRAIN_BYTES, SCORE_BYTES = 8 << 20, 16 << 20, 16 << 20
+#: Bytes of text whose words are listed at once, and tokens or keys that are worked on at once: they bound a worker's
+#: memory, and no result depends on them.
+PART, BLOCK = 2 << 20, 1 << 18
 HASHES, BITS_PER_ENTRY, BASE, STRENGTH, ORDER = 4, 9, 1.5, 4.0, 3
 #: The end of a text as a token: no word holds a space.
 END = " "
@@ -81,8 +84,8 @@ class Filter:
         flags = np.zeros(size, np.uint8)
         for level in range(1, int(q.max(initial=0)) + 1):
             at = np.flatnonzero(q >= level)
-            for a in range(0, len(at), 1 << 18):
-                x, step = cls.seeds(keys[at[a : a + (1 << 18)]], level)
+            for a in range(0, len(at), BLOCK):
+                x, step = cls.seeds(keys[at[a : a + BLOCK]], level)
                 for i in range(HASHES):
                     flags[cls.bit(x, step, i, size)] = 1
         return cls(np.packbits(flags, bitorder="little"), size)
@@ -108,11 +111,13 @@ class Filter:
 
     def read(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: probes until one is missing."""
-        out, at, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        while len(at):
-            at = at[self.has(keys[at], level)]
-            out[at] = level
-            level += 1
+        out = np.zeros(len(keys), np.uint8)
+        for a in range(0, len(keys), BLOCK):
+            at, level, here = np.arange(min(BLOCK, len(keys) - a)), 1, keys[a : a + BLOCK]
+            while len(at):
+                at = at[self.has(here[at], level)]
+                out[a + at] = level
+                level += 1
         return out
 
 
@@ -121,15 +126,43 @@ def word_keys(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words]), "<u8")
 
 
-def grams(full: np.ndarray, starts: np.ndarray, order: int):
-    """(last tokens, keys) of the n-grams within texts, for each n from 2: full: the key of each token's word; starts: the
-    first token of each text."""
-    inside = np.arange(len(full)) - np.repeat(starts, np.diff(np.append(starts, len(full))))
-    key = full
-    for n in range(2, order + 1):
-        key = np.concatenate([np.zeros(1, np.uint64), mix(mix(key[:-1]) + full[1:] * _C)])
-        at = np.flatnonzero(inside >= n - 1)
-        yield at, key[at]
+def firsts(sizes: np.ndarray) -> np.ndarray:
+    """Whether each token is the first of its text."""
+    out = np.zeros(int(sizes.sum()), bool)
+    out[np.cumsum(sizes) - sizes] = True
+    return out
+
+
+def last_tokens(first: np.ndarray, a: int, n: int) -> np.ndarray:
+    """The last tokens, from a on in a block, of n-grams within texts."""
+    low, end = max(n - 1, a), min(len(first), a + BLOCK)
+    across = np.zeros(max(0, end - low), bool)
+    for k in range(n - 1 if len(across) else 0):
+        across |= first[low - k : end - k]
+    return low + np.flatnonzero(~across)
+
+
+def grams(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, n: int):
+    """Keys of the n-grams within texts, in order of their last tokens, a block at a time. keys: of words; ids: the word of
+    each token; sizes: the tokens of each text."""
+    first = firsts(sizes)
+    for a in range(0, len(ids), BLOCK):
+        at, low = last_tokens(first, a, n), max(0, a - n + 1)
+        if len(at):
+            key = full = keys[ids[low : a + BLOCK]]
+            for k in range(1, n):
+                key = mix(mix(key[:-1]) + full[k:] * _C)
+            yield key[at - low - n + 1]
+
+
+def gram_codes(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, orders, bits: int) -> np.ndarray:
+    """The codes of all n-grams of some orders, one order after another."""
+    out, used = np.empty(sum(int(np.maximum(sizes - n + 1, 0).sum()) for n in orders), np.uint64), 0
+    for n in orders:
+        for found in grams(keys, ids, sizes, n):
+            out[used : used + len(found)] = codes(found, bits)
+            used += len(found)
+    return out
 
 
 def codes(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -139,9 +172,36 @@ def codes(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def cuts(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slice, from, to) of sorted codes, for slices that have some."""
-    at = (found >> np.uint64(32)).astype(np.int64)
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    return at[first], first, np.append(first[1:], len(at))
+    first = [np.zeros(min(1, len(found)), np.int64)]
+    for a in range(1, len(found), BLOCK):
+        at = found[a - 1 : a + BLOCK] >> np.uint64(32)
+        first.append(a + np.flatnonzero(at[1:] != at[:-1]))
+    first = np.concatenate(first)
+    return (found[first] >> np.uint64(32)).astype(np.int64), first, np.append(first[1:], len(found))
+
+
+def placed(found: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    """The value of each code, given those of the distinct codes in order."""
+    part, out, used = np.empty(len(found), np.uint8), np.empty(len(found), values.dtype), 0
+    for a in range(0, len(found), BLOCK):
+        part[a : a + BLOCK] = found[a : a + BLOCK] >> np.uint64(28 + bits)
+    for k in range(16):
+        at = np.flatnonzero(part == k)
+        order = np.argsort(found[at])
+        at, here = at[order], found[at[order]]
+        place = used + np.cumsum(np.diff(here, prepend=here[:1]) != 0)
+        used = int(place[-1]) + 1 if len(at) else used
+        if used <= len(values):
+            out[at] = values[place]
+    if used != len(values):
+        raise ValueError(f"{used} n-grams, {len(values)} answers")
+    return out
+
+
+def runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of sorted numbers, and how often each is there."""
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+    return found[first], np.diff(np.append(first, len(found)))
 
 
 def small(values: np.ndarray) -> bytes:
@@ -174,23 +234,60 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(values[order], first) if len(first) else values
-
-
-def numbered(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys of the distinct words of texts, the number among them of each token, and the tokens of each text."""
-    words, numbers, sizes = tokens([b.lower() for b in bodies])
-    keys, back = np.unique(word_keys([*words, END.encode()]), return_inverse=True)
-    back = back.astype(np.int32)
-    ids = np.full(len(numbers) + len(bodies), back[-1], np.int32)
-    inside = np.ones(len(ids), bool)
-    inside[np.cumsum(sizes + 1) - 1] = False  # each text's end
-    ids[inside] = back[numbers]
-    return keys, ids, sizes + 1
+    return keys[first], np.add.reduceat(values[order], first, dtype=np.int64) if len(first) else values.astype(np.int64)
+
+
+def level_of_sums(keys: list[np.ndarray], values: list[np.ndarray], pieces: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ones of several sorted arrays of 32-bit keys, and the levels of the sums of their values."""
+    ends = [np.searchsorted(k, np.arange(pieces + 1, dtype=np.uint64) * np.uint64((1 << 32) // pieces)) for k in keys]
+    out = []
+    for i in range(pieces):
+        found, n = summed(*(together([x[e[i] : e[i + 1]] for x, e in zip(each, ends)], kind) for each, kind in ((keys, np.uint32), (values, np.uint8))))
+        out.append((found, levels(n).astype(np.uint8)))
+    return np.concatenate([f for f, _ in out]), np.concatenate([q for _, q in out])
+
+
+class Batch:
+    """Texts of a batch, taken up in parts, as numbers among the distinct words of their part."""
+
+    def __init__(self) -> None:
+        self.bytes, self.docs, self.keys, self.ids, self.sizes = 0, [], [], [], []
+
+    def take(self, docs: list, bodies: list[bytes]) -> None:
+        words, numbers, sizes = tokens([b.lower() for b in bodies])
+        keys, back = np.unique(word_keys([*words, END.encode()]), return_inverse=True)
+        back = back.astype(np.int32)
+        ids = np.full(len(numbers) + len(bodies), back[-1], np.int32)
+        inside = np.ones(len(ids), bool)
+        inside[np.cumsum(sizes + 1) - 1] = False  # each text's end
+        ids[inside] = back[numbers]
+        self.bytes += sum(map(len, bodies))
+        for held, more in ((self.keys, keys), (self.ids, ids), (self.sizes, sizes + 1)):
+            held.append(more)
+        self.docs += docs
+
+    def numbered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys of the distinct words of texts, the number among them of each token, and the tokens of each text."""
+        keys = distinct(np.concatenate(self.keys))
+        self.ids = [np.searchsorted(keys, own).astype(np.int32)[ids] for own, ids in zip(self.keys, self.ids)]
+        return keys, np.concatenate(self.ids), np.concatenate(self.sizes)
+
+
+def in_batches(batches, size: int):
+    """Batches of about size bytes, and at least one text."""
+    held = Batch()
+    for docs, bodies in groups(batches, min(PART, size)):
+        held.take(docs, bodies)
+        if held.bytes >= size:
+            yield held
+            held = Batch()
+    if held.docs:
+        yield held
 
 
 def rows_of(docs: DataFrame, trained, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, body, train)."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), F.coalesce(trained, F.lit(True)).alias("train"))
 
 
@@ -222,16 +319,17 @@ def counted(rows: DataFrame, slice_bits: int, order: int, bits: int) -> DataFram
     """Each slice's word keys, their counts and the filter, from training rows. Tasks count before anything is shuffled."""
 
     def run(batches):
-        for _, bodies in groups(batches, TRAIN_BYTES):
-            keys, ids, sizes = numbered(bodies)
+        for batch in in_batches(batches, TRAIN_BYTES):
+            keys, ids, sizes = batch.numbered()
             c = np.bincount(ids, minlength=len(keys))
             for s, a, b in zip(*cuts(codes(keys, slice_bits))):
                 yield message(s, COUNTS, keys[a:b].tobytes(), small(c[a:b]))
-            full = keys[ids]
-            for _, found in grams(full, np.cumsum(sizes) - sizes, order):
-                some, times = np.unique(codes(found, slice_bits), return_counts=True)
-                for s, a, b in zip(*cuts(some)):
-                    yield message(s, GRAMS, packed(some[a:b]), squeezed(small(times[a:b])))
+            for n in range(2, order + 1):
+                found = gram_codes(keys, ids, sizes, [n], slice_bits)
+                found.sort()
+                for s, a, b in zip(*cuts(found)):
+                    some, times = runs(found[a:b])
+                    yield message(s, GRAMS, packed(some), squeezed(small(times)))
 
     def add(table: pa.Table) -> pa.Table:
         words, counts, both, times = [], [], [], []
@@ -240,11 +338,13 @@ def counted(rows: DataFrame, slice_bits: int, order: int, bits: int) -> DataFram
                 words.append(np.frombuffer(r["a"], "<u8"))
                 counts.append(unsmall(r["b"], len(words[-1])))
             else:
-                both.append(unpacked(r["a"]))
-                times.append(unsmall(unsqueezed(r["b"]), len(both[-1])))
+                both.append(unpacked(r["a"]).astype(np.uint32))
+                n = unsmall(unsqueezed(r["b"]), len(both[-1]))
+                times.append(n.astype(np.min_scalar_type(n.max(initial=0))))
         keys, c = summed(together(words, np.uint64), together(counts, np.int64))
-        found, n = summed(together(both, np.uint64), together(times, np.int64))
-        held = Filter.of(np.concatenate([word_entries(keys, slice_bits), found]), levels(np.concatenate([c, n])), bits)
+        found, q = level_of_sums(both, times)
+        del both, times
+        held = Filter.of(np.concatenate([word_entries(keys, slice_bits), found]), np.concatenate([levels(c), q]), bits)
         return table_of([message(table.column("slice")[0].as_py(), MODEL, keys.tobytes(), small(c), held.bits.tobytes(), n=int(c.sum()), v=len(keys))])
 
     return rows.where("train").select("doc_id", "body").mapInArrow(run, KINDS).groupBy("slice").applyInArrow(add, KINDS)
@@ -279,6 +379,25 @@ def log_probabilities(total: int, distinct: int, ids: np.ndarray, word_level: np
     return np.log10(np.minimum(p, 1.0))
 
 
+def log_sums(total: int, distinct: int, ids: np.ndarray, sizes: np.ndarray, word_level: np.ndarray, levels_: np.ndarray, order: int) -> np.ndarray:
+    """The sum of log10 p of each text. levels_: of the n-grams, one order after another; tokens are taken in blocks."""
+    first, logs = firsts(sizes), np.empty(len(ids))
+    used = np.cumsum([0] + [int(np.maximum(sizes - n + 1, 0).sum()) for n in range(2, order + 1)])
+    before = [(np.zeros(0, np.int64), levels_[:0])] * (order - 1)
+    for a in range(0, len(ids), BLOCK):
+        low, end, found = max(0, a - 1), min(len(ids), a + BLOCK), []  # the token before the block is a history
+        for k in range(order - 1):
+            at = last_tokens(first, a, k + 2)
+            level = levels_[used[k] : used[k] + len(at)]
+            used[k] += len(at)
+            at, level = np.concatenate([before[k][0], at]), np.concatenate([before[k][1], level])
+            keep = at == end - 1
+            before[k] = at[keep], level[keep]
+            found.append((at - low, level.astype(np.int64)))
+        logs[a:end] = log_probabilities(total, distinct, ids[low:end], word_level, found)[a - low :]
+    return np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+
+
 def fit(docs: DataFrame, trained, share: int = SHARE, order: int = ORDER, bits: int = BITS_PER_ENTRY, id_col: str = "doc_id", text_col: str = "text") -> Fitted:
     """The model of the rows for which the column trained is not false; share: bytes of text for each slice, bits: of the
     filter for each entry. On both no result depends but for the filter's false positives."""
@@ -293,27 +412,24 @@ def score(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str
     slice_bits, total, kinds, order = model.slice_bits, model.total, model.distinct, model.order
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def coded(full: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """For each n from 2 the last tokens of n-grams, and the codes of all, one n after another."""
-        each = list(grams(full, starts, order))
-        return [at for at, _ in each], codes(together([k for _, k in each], np.uint64), slice_bits)
-
     def ask(batches):
-        batch = TaskContext.get().partitionId() << 32
-        for docs_, bodies in groups(batches, SCORE_BYTES):
-            keys, ids, sizes = numbered(bodies)
-            both = distinct(coded(keys[ids], np.cumsum(sizes) - sizes)[1])
+        number = TaskContext.get().partitionId() << 32
+        for batch in in_batches(batches, SCORE_BYTES):
+            keys, ids, sizes = batch.numbered()
+            both = gram_codes(keys, ids, sizes, range(2, order + 1), slice_bits)
+            both.sort()
             of_words, of_both = ({s: (a, b) for s, a, b in zip(*cuts(k))} for k in (codes(keys, slice_bits), both))
             for s in sorted(of_words.keys() | of_both.keys()):
                 (a, b), (c, d) = of_words.get(s, (0, 0)), of_both.get(s, (0, 0))
-                yield message(s, PROBES, keys[a:b].tobytes(), packed(both[c:d]), batch=batch)
+                yield message(s, PROBES, keys[a:b].tobytes(), packed(runs(both[c:d])[0]), batch=number)
+            del both
             # byte by byte of the numbers, as the upper ones are mostly 0
             planes = squeezed(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes())
             sink = pa.BufferOutputStream()  # ids may be null
             with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64()), ("n", pa.int64())])) as w:
-                w.write_batch(pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(sizes)], names=["doc_id", "n"]))
-            yield message(batch % (1 << slice_bits), TEXTS, sink.getvalue().to_pybytes(), planes, batch=batch)
-            batch += 1
+                w.write_batch(pa.RecordBatch.from_arrays([pa.array(batch.docs, pa.int64()), pa.array(sizes)], names=["doc_id", "n"]))
+            yield message(number % (1 << slice_bits), TEXTS, sink.getvalue().to_pybytes(), planes, batch=number)
+            number += 1
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -321,7 +437,7 @@ def score(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str
         keys = np.frombuffer(own[0]["a"], "<u8") if own else np.zeros(0, np.uint64)
         c = unsmall(own[0]["b"], len(keys)) if own else np.zeros(0, np.int64)
         bits = np.frombuffer(own[0]["c"], np.uint8) if own else None
-        read = Filter(bits, 8 * len(bits)).read if own else lambda k: np.zeros(len(k), np.int64)
+        read = Filter(bits, 8 * len(bits)).read if own else lambda k: np.zeros(len(k), np.uint8)
         out = []
         for r in rows:
             if r["kind"] == TEXTS:
@@ -343,20 +459,14 @@ def score(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str
             raw, n = unsqueezed(r["b"]), len(words[-1])
             counts.append(unsmall(raw, n))
             word_levels.append(np.frombuffer(raw, np.uint8)[n + 8 * int((counts[-1] >= 255).sum()) :][:n].astype(np.int64))
-            gram_levels.append(np.frombuffer(unsqueezed(r["c"]), np.uint8).astype(np.int64))
-        keys, c, level, of_gram = together(words, np.uint64), together(counts, np.int64), together(word_levels, np.int64), together(gram_levels, np.int64)
+            gram_levels.append(np.frombuffer(unsqueezed(r["c"]), np.uint8))
+        keys, c, level, of_gram = together(words, np.uint64), together(counts, np.int64), together(word_levels, np.int64), together(gram_levels, np.uint8)
+        del rows, words, counts, word_levels, gram_levels
         starts = np.cumsum(sizes) - sizes
-        ends, found = coded(keys[ids], starts)
-        order_ = np.argsort(found)
-        place = np.empty(len(found), np.int64)  # which of the distinct codes each is
-        place[order_] = np.cumsum(np.diff(found[order_], prepend=found[order_[:1]]) != 0)
-        if len(of_gram) != (place.max(initial=-1) + 1):
-            raise ValueError(f"{place.max(initial=-1) + 1} n-grams, {len(of_gram)} answers")
-        parts = np.split(of_gram[place], np.cumsum([len(e) for e in ends])[:-1]) if ends else []
-        logs = log_probabilities(total, kinds, ids, level, list(zip(ends, parts)))
-        base = np.log10((c + 1) / float(total + kinds + 1))[ids]
-        columns = [texts.column("doc_id").combine_chunks(), pa.array(sizes), *(pa.array(np.add.reduceat(x, starts)) for x in ((c > 0).astype(np.int64)[ids], base, logs))]
-        return pa.Table.from_arrays(columns, schema=schema)
+        sums = [np.add.reduceat((c > 0)[ids], starts, dtype=np.int64), np.add.reduceat(np.log10((c + 1) / float(total + kinds + 1))[ids], starts)]
+        level_of = placed(gram_codes(keys, ids, sizes, range(2, order + 1), slice_bits), of_gram, slice_bits)
+        sums.append(log_sums(total, kinds, ids, sizes, level, level_of, order))
+        return pa.Table.from_arrays([texts.column("doc_id").combine_chunks(), pa.array(sizes), *map(pa.array, sums)], schema=schema)
 
     rows = rows_of(docs, F.lit(True), id_col, text_col).select("doc_id", "body").mapInArrow(ask, KINDS)
     answers = rows.unionByName(model.counts).groupBy("slice").applyInArrow(answer, KINDS)

@@ -341,6 +341,86 @@ def test_model_scores_by_plain_counts(spark, order, share):
         assert sum(p(history[-order + 1 :] if order > 1 else (), w) for w in vocabulary) <= 1 + 1e-9
 
 
+class Steps(list):
+    """Stands in for a table: notes the functions that tasks would run."""
+
+    def mapInArrow(self, run, schema):
+        self.append(run)
+        return self
+
+    applyInArrow = mapInArrow
+
+    def select(self, *columns):
+        return self
+
+    where = groupBy = unionByName = select
+
+
+def model_steps(monkeypatch, slice_bits, total, distinct):
+    """The functions of the counting's and the scoring's tasks: count, add, ask, answer, finish."""
+    from types import SimpleNamespace
+
+    steps = Steps()
+    monkeypatch.setattr(lm_score, "rows_of", lambda *a: steps)
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    lm_score.counted(steps, slice_bits, 3, 9)
+    lm_score.score(None, SimpleNamespace(slice_bits=slice_bits, total=total, distinct=distinct, order=3, counts=None))
+    return list(steps)
+
+
+def by(column, messages):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    whole = pa.Table.from_batches(messages) if isinstance(messages[0], pa.RecordBatch) else pa.concat_tables(messages)
+    return [whole.filter(pc.equal(whole[column], k)) for k in pc.unique(whole[column]).to_pylist()]
+
+
+def test_model_tasks_take_little_memory(spark, monkeypatch):
+    """A batch of 16 MB with as many distinct words as documents have: tasks that count, that ask and that finish."""
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    words = [b"w%d" % i for i in range(400_000)]
+    texts = [b" ".join(words[i] for i in (400_000 * rng.random(1200) ** 3).astype(int)) for _ in range(2000)]
+    count, add, ask, answer, finish = model_steps(monkeypatch, 4, 10**7, 10**6)
+    seen = []
+
+    def watched(f):
+        tracemalloc.start()
+        out = f()
+        seen.append(tracemalloc.get_traced_memory()[1] >> 20)
+        tracemalloc.stop()
+        return out
+
+    sent = watched(lambda: list(count(iter(batches_of(texts)))))
+    models = [add(t) for t in by("slice", sent)]
+    asked = watched(lambda: list(ask(iter(batches_of(texts)))))
+    answers = [answer(t) for t in by("slice", asked + [b for m in models for b in m.to_batches()])]
+    out = watched(lambda: [finish(t) for t in by("batch", answers)])
+    assert sum(t.num_rows for t in out) == 2000 and max(seen) < 200, f"{seen} MB"
+
+
+def test_model_by_parts(spark, monkeypatch):
+    """Parts of a batch and blocks of tokens change no score and no message's size."""
+    texts = [(t or "").encode() for _, t in lm_rows()] + [b"x y " * 900, b""]
+    found = []
+    for part, block in ((2 << 20, 1 << 18), (300, 64), (1, 3)):
+        monkeypatch.setattr(lm_score, "PART", part)
+        monkeypatch.setattr(lm_score, "BLOCK", block)
+        for bits in (0, 3):
+            count, add, ask, answer, finish = model_steps(monkeypatch, bits, 10**4, 100)
+            models = [add(t) for t in by("slice", list(count(iter(batches_of(texts)))))]
+            sent = list(ask(iter(batches_of(texts)))) + [b for m in models for b in m.to_batches()]
+            (out,) = [finish(t) for t in by("batch", [answer(t) for t in by("slice", sent)])]
+            found.append((sum(b.nbytes for b in sent), out.to_pylist()))
+    assert found[0] == found[2] == found[4] and found[1] == found[3] == found[5]
+    for keys in ([], [[3, 5, 5 << 20], [], [5, (1 << 32) - 1]]):
+        got = lm_score.level_of_sums([np.array(k, np.uint32) for k in keys], [np.full(len(k), 200, np.uint8) for k in keys])
+        want = Counter(x for k in keys for x in k)
+        assert got[0].tolist() == sorted(want) and got[1].tolist() == [int(lm_score.levels(np.array([200 * want[x]]))[0]) for x in sorted(want)]
+
+
 def test_false_positives_are_few(spark):
     rows = lm_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
